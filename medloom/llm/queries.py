@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medloom.llm import langid, spm
+from medloom.llm import langid, pfp, simhash, spm
 from medloom.llm.common import documents
 
 
@@ -16,9 +16,19 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_documents(documents(spark, sf_dir))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfp.remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op4_language": op4_language,
     "op5_sentencepiece": op5_sentencepiece,
+    "op7_simhash": op7_simhash,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
