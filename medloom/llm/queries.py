@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medloom.llm import langid, pfp, simhash, spm
+from medloom.llm import langid, licenses, media, pfp, simhash, spm
 from medloom.llm.common import documents
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(documents(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -20,14 +24,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp.remove_repeats(documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op4_language": op4_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_simhash": op7_simhash,
+    "op8_licenses": op8_licenses,
     "op10_repeats": op10_repeats,
 }
 
