@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medloom.llm import langid, licenses, media, pfp, simhash, spm
+from medloom.llm import langid, licenses, media, pfp, secrets, simhash, spm
 from medloom.llm.common import documents
 
 
@@ -20,6 +20,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_documents(documents(spark, sf_dir))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -36,9 +40,12 @@ QUERIES = {
     "op1_media": op1_media,
     "op4_language": op4_language,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_licenses": op8_licenses,
     "op10_repeats": op10_repeats,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_secrets": secrets.oracle(),
+}
