@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medloom.llm import langid, licenses, media, pfp, secrets, simhash, spm
+from medloom.llm import langid, licenses, linededup, media, pfp, secrets, simhash, spm
 from medloom.llm.common import documents
 
 
@@ -32,6 +32,10 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(documents(spark, sf_dir))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp.remove_repeats(documents(spark, sf_dir))
 
@@ -43,9 +47,11 @@ QUERIES = {
     "op6_secrets": op6_secrets,
     "op7_simhash": op7_simhash,
     "op8_licenses": op8_licenses,
+    "op9_lines": op9_lines,
     "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_secrets": secrets.oracle(),
+    "op9_lines": linededup.oracle(),
 }
