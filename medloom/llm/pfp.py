@@ -9,9 +9,10 @@ bytes, so ranks of dictionary and parse are 128-bit hashes and sorting is Spark'
 
 1. Phrases whose core occurs once hold no repeat; they go after an aggregate over core hashes.
 2. Phrases with a whole context that occurs again are repeats in all of their windows.
-3. What is left are phrases at the rim of repeats, with known cores in new contexts. Their suffixes,
-   with what follows in the parse, are ranked one by one: each window is a row of two hashes. A
-   repeated context with rivals sends one member, so copies aren't expanded.
+3. What is left are phrases at the rim of repeats, with known cores in new contexts. Their contexts
+   are cut out of the texts. Their suffixes, with what follows in the parse, are ranked in blocks of
+   BLOCK windows in the same way, and those of blocks that still have rivals one by one. A repeated
+   context with rivals sends one member, so copies aren't expanded.
 4. Texts and what is to go meet by document, and the kept bytes are joined.
 
 Everything that can be hot (a core, a context or a window in very many documents) is counted with
@@ -36,6 +37,8 @@ LENGTH = 400
 #: Bytes of a hash, positions of which the least leads, and bytes of a text parsed at a time.
 GRAM = 8
 PARSED = 4 << 20
+#: Windows of a rim phrase that are ranked together before they are ranked one by one.
+BLOCK = 16
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -76,31 +79,47 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _hashed(view, cores, contexts):
+    """Hashes of byte ranges: 64 bits for cores, twice 64 for contexts."""
+    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+
+    key = np.array([xxh3_64_intdigest(view[a:z]) for a, z in cores], np.uint64).view(np.int64)
+    return key, np.frombuffer(b"".join([xxh3_128_digest(view[a:z]) for a, z in contexts]), np.int64).reshape(-1, 2)
+
+
 def _phrases(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each phrase: hash of its core, hash of its context, its document and windows."""
+    """A row for each phrase: hash of its core, hash of its context, its document, its first and
+    last window and its leader."""
     core = length - span(length) + 1
 
     def run(batch):
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
-
-        key, context, first, last, sizes = [], [], [], [], []
+        key, context, first, last, lead, sizes = [], [], [], [], [], []
         for text in batch.column(2):
             data = text.as_buffer().to_pybytes()
             if len(data) < length:
                 sizes.append(0)
                 continue
-            lo, hi, lead = leaders(data, length)
-            view = memoryview(data)
-            key += [xxh3_64_intdigest(view[m : m + core]) for m in lead.tolist()]
-            context += [xxh3_128_digest(view[a:z]) for a, z in zip(lo.tolist(), (hi + length).tolist())]
-            first.append(lo), last.append(hi), sizes.append(len(lo))
+            lo, hi, m = leaders(data, length)
+            k, e = _hashed(memoryview(data), ((x, x + core) for x in m.tolist()), zip(lo.tolist(), (hi + length).tolist()))
+            key.append(k), context.append(e), first.append(lo), last.append(hi), lead.append(m), sizes.append(len(lo))
         if not key:
             return None
-        both = np.frombuffer(b"".join(context), np.int64).reshape(-1, 2)
+        both = np.concatenate(context)
         ids = [np.repeat(np.asarray(batch.column(i)), sizes) for i in (0, 1)]
-        return {"k": pa.array(np.array(key, np.uint64).view(np.int64)), "e1": pa.array(both[:, 0]), "e2": pa.array(both[:, 1]), "d": pa.array(ids[0]), "h": pa.array(ids[1]), "lo": pa.array(np.concatenate(first)), "hi": pa.array(np.concatenate(last))}
+        return {"k": pa.array(np.concatenate(key)), "e1": pa.array(both[:, 0]), "e2": pa.array(both[:, 1]), "d": pa.array(ids[0]), "h": pa.array(ids[1])} | {c: pa.array(np.concatenate(x).astype(np.int32)) for c, x in (("lo", first), ("hi", last), ("lead", lead))}
 
-    return arrow_map(docs.select("d", "h", "text"), run, "k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo bigint, hi bigint")
+    return arrow_map(docs.select("d", "h", "text"), run, "k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo int, hi int, lead int")
+
+
+def _judged(rows: DataFrame, n: int) -> DataFrame:
+    """d, h, lo, hi, lead of the rows whose core occurs again: `whole` if the context does too,
+    `rim` if the core has other contexts (one row of each context)."""
+    own = F.xxhash64("d", "h", "lo")
+    contexts = rows.groupBy("k", "e1", "e2").agg(F.count("*").alias("n"), F.min(own).alias("one"))
+    rivals = contexts.groupBy("k").agg(F.count("*").alias("kinds"))
+    known = contexts.join(rivals, "k").where("n > 1 or kinds > 1").repartition(n)
+    whole, rim = F.col("n") > 1, (F.col("kinds") > 1) & ((F.col("n") == 1) | (own == F.col("one")))
+    return rows.join(known, ["k", "e1", "e2"]).select("d", "h", "lo", "hi", "lead", whole.alias("whole"), rim.alias("rim")).checkpoint()
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -128,32 +147,51 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     named = _named(docs)
     known = _phrases(named, length)
     shared = known.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k").repartition(n)
-    phrases = known.join(shared, "k").withColumn("own", F.xxhash64("d", "h", "lo")).checkpoint()
-    contexts = phrases.groupBy("k", "e1", "e2").agg(F.count("*").alias("n"), F.min("own").alias("one"))
-    rivals = contexts.groupBy("k").agg(F.count("*").alias("kinds"))
-    judged = phrases.join(contexts.join(rivals, "k").where("n > 1 or kinds > 1").repartition(n), ["k", "e1", "e2"]).select("d", "h", "lo", "hi", (F.col("n") > 1).alias("whole"), ((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("own") == F.col("one")))).alias("rim"))
-    whole = judged.where("whole").select("d", "h", F.col("lo").alias("a"), (F.col("hi") + length).alias("z"))
-    rim = judged.where("rim").groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("rims"))
-    texts = _packed(named).join(rim.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "z", "rims")
+    phrases = _judged(known.join(shared, "k").checkpoint(), n)
+    rims = phrases.where("rim").groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi", "lead")).alias("rims"))
+
+    def cut_out(batch):
+        rows = [(d, h, r["lo"], r["hi"], r["lead"], data[r["lo"] : r["hi"] + length]) for d, h, z, rims in zip(*(batch.column(i).to_pylist() for i in range(4))) for data in [_unpack(z)] for r in rims]
+        return {c: pa.array(x, kind) for c, x, kind in zip(("d", "h", "lo", "hi", "lead", "context"), zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))}
+
+    texts = _packed(named).join(rims.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "z", "rims")
+    context = arrow_map(texts, cut_out, "d bigint, h bigint, lo int, hi int, lead int, context binary").checkpoint()
+
+    def blocks(batch):
+        d, h, lows, highs, leads, data = (batch.column(i).to_pylist() for i in range(6))
+        out = [[] for _ in range(8)]
+        for row in zip(d, h, lows, highs, leads, data):
+            lo, hi, lead, base = row[2], row[3], row[4], row[2]
+            # windows by their distance to the leader, in blocks of BLOCK
+            ends = [(max(lo, lead - j * BLOCK - BLOCK + 1), min(hi, lead - j * BLOCK), lead - j * BLOCK) for j in range((lead - hi) // BLOCK, (lead - lo) // BLOCK + 1)]
+            k, e = _hashed(memoryview(row[5]), ((t - base, t - BLOCK + 1 - base + length) for _, _, t in ends), ((a - base, z - base + length) for a, z, _ in ends))
+            for own, x in zip(out, (k, e[:, 0], e[:, 1], [row[0]] * len(ends), [row[1]] * len(ends), [a for a, _, _ in ends], [z for _, z, _ in ends], [lo] * len(ends))):
+                own.extend(x)
+        return {c: pa.array(np.array(x, np.int32 if i > 4 else np.int64)) for i, (c, x) in enumerate(zip(("k", "e1", "e2", "d", "h", "lo", "hi", "lead"), out))}
+
+    parts = _judged(arrow_map(context, blocks, "k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo int, hi int, lead int").checkpoint(), n)
+    last = parts.where("rim").groupBy("d", "h", F.col("lead").alias("lo")).agg(F.collect_set(F.struct(F.col("lo").alias("a"), F.col("hi").alias("z"))).alias("blocks"))
 
     def windows(batch):
         from xxhash import xxh3_128_digest
 
         digests, at, sizes = [], [], []
-        for packed, rims in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            view = memoryview(_unpack(packed))
-            places = [p for r in rims for p in range(r["lo"], r["hi"] + 1)]
-            digests += [xxh3_128_digest(view[p : p + length]) for p in places]
+        for lo, data, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            view = memoryview(data)
+            places = [p for b in own for p in range(b["a"], b["z"] + 1)]
+            digests += [xxh3_128_digest(view[p - lo : p - lo + length]) for p in places]
             at += places
             sizes.append(len(places))
         both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
         ids = [np.repeat(np.asarray(batch.column(i)), sizes) for i in (0, 1)]
-        return {"w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1]), "d": pa.array(ids[0]), "h": pa.array(ids[1]), "p": pa.array(at, pa.int64())}
+        return {"w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1]), "d": pa.array(ids[0]), "h": pa.array(ids[1]), "p": pa.array(at, pa.int32())}
 
-    ranked = arrow_map(texts, windows, "w1 bigint, w2 bigint, d bigint, h bigint, p bigint").checkpoint()
+    each = context.select("d", "h", "lo", "context").join(last.hint("shuffle_hash"), ["d", "h", "lo"])
+    ranked = arrow_map(each, windows, "w1 bigint, w2 bigint, d bigint, h bigint, p int").checkpoint()
     again = ranked.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2").repartition(n)
     single = ranked.join(again, ["w1", "w2"]).select("d", "h", F.col("p").alias("a"), (F.col("p") + length).alias("z"))
-    return whole.union(single)
+    ranges = [x.where("whole").select("d", "h", F.col("lo").alias("a"), (F.col("hi") + length).alias("z")) for x in (phrases, parts)]
+    return ranges[0].union(ranges[1]).union(single)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> DataFrame:
