@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medloom.llm import langid, licenses, linededup, media, pfp, secrets, simhash, spm
+from medloom.llm import langid, licenses, linededup, media, pfp, pii, secrets, simhash, spm
 from medloom.llm.common import documents
 
 
@@ -12,6 +12,10 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -42,6 +46,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media": op1_media,
+    "op2_pii": op2_pii,
     "op4_language": op4_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_secrets": op6_secrets,
