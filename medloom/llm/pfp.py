@@ -39,6 +39,9 @@ GRAM = 8
 PARSED = 4 << 20
 #: Windows of a rim phrase that are ranked together before they are ranked one by one.
 BLOCK = 16
+#: Hash buckets that documents with a rim fall in: at most so many rows are broadcast, to leave
+#: most other texts out of a shuffle.
+BUCKETS = 1 << 20
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
@@ -128,7 +131,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     def run(batch):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         return {"doc_id": batch.column(0), "d": batch.column(1), "h": batch.column(2), "z": pa.array([pack(t.as_buffer().to_pybytes()) for t in batch.column(3)], pa.binary())}
 
     return arrow_map(docs, run, "doc_id bigint, d bigint, h bigint, z binary")
@@ -154,7 +157,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         rows = [(d, h, r["lo"], r["hi"], r["lead"], data[r["lo"] : r["hi"] + length]) for d, h, z, rims in zip(*(batch.column(i).to_pylist() for i in range(4))) for data in [_unpack(z)] for r in rims]
         return {c: pa.array(x, kind) for c, x, kind in zip(("d", "h", "lo", "hi", "lead", "context"), zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))}
 
-    texts = _packed(named).join(rims.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "z", "rims")
+    rims = rims.checkpoint()
+    bucket = F.pmod("h", F.lit(BUCKETS)).alias("bucket")
+    some = named.join(F.broadcast(rims.select(bucket).distinct()), F.pmod("h", F.lit(BUCKETS)) == F.col("bucket"), "left_semi")
+    texts = _packed(some).join(rims.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "z", "rims")
     context = arrow_map(texts, cut_out, "d bigint, h bigint, lo int, hi int, lead int, context binary").checkpoint()
 
     def blocks(batch):
