@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from medloom.llm import langid, licenses, linededup, media, pfp, pii, secrets, simhash, spm
+from medloom.llm import decontam, langid, licenses, linededup, media, pfp, pii, secrets, simhash, spm
 from medloom.llm.common import documents
+from medloom.runtime import table
 
 
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media": op1_media,
     "op2_pii": op2_pii,
+    "op3_decontamination": op3_decontamination,
     "op4_language": op4_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_secrets": op6_secrets,
