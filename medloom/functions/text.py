@@ -6,6 +6,7 @@ Every function takes and returns Spark columns, so a chain of them stays in one
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, functions as F
@@ -17,6 +18,11 @@ UNIT_VALUES = r"\d+\.?\d*\s*(?:ng|pg|µg|ug|mEq|mIU|mcg|IU)\s*/\s*(?:mL|L|dL|uL|
 EDGES = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, wherever and how often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any kind."""
     return F.regexp_replace(c, EDGES, "")
@@ -78,13 +84,16 @@ def expand(c: Column, table: dict[str, str] = lexicon.ABBREVIATIONS) -> Column:
     It differs from one replacement after another where two abbreviations overlap: the first
     place in the text wins."""
     pattern = abbreviation_pattern(table)
-    known = F.create_map(*[F.lit(x) for k, v in table.items() for x in (k.lower(), v)])
-    hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    full = F.transform(hits, lambda h: F.coalesce(F.element_at(known, F.lower(h)), h))
-    text = F.array_join(F.zip_with(F.split(c, pattern, -1), F.concat(full, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    count = F.size(F.filter(hits, lambda h: F.element_at(known, F.lower(h)).isNotNull()))
-    some = c.rlike(pattern)
-    return F.struct(F.when(some, text).otherwise(c).alias("text"), F.when(some, count).otherwise(F.lit(0)).alias("expanded"))
+    known = F.from_json(F.lit(json.dumps({k.lower(): v for k, v in table.items()})), "map<string,string>")
+
+    def written(hits):
+        full = F.transform(hits, lambda h: F.coalesce(F.element_at(known, F.lower(h)), h))
+        text = F.array_join(F.zip_with(F.split(c, pattern, -1), F.concat(full, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+        count = F.size(F.filter(hits, lambda h: F.element_at(known, F.lower(h)).isNotNull()))
+        some = F.size(hits) > 0
+        return F.struct(F.when(some, text).otherwise(c).alias("text"), F.when(some, count).otherwise(F.lit(0)).alias("expanded"))
+
+    return let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), written)
 
 
 def normalize_vitals(c: Column) -> Column:
@@ -120,12 +129,12 @@ def normalize(c: Column) -> Column:
 
 def truncate(c: Column, most: int = 512) -> Column:
     """The first words, up to the last full stop if that is late enough."""
-    own = words(c)
-    head = F.array_join(F.slice(own, 1, most), " ")
-    stop = F.length(head) - F.instr(F.reverse(head), ".")  # place of the last full stop, from 0
-    has = F.instr(head, ".") > 0
-    cut = F.when(has & (stop > F.length(head) * 0.7), F.substring(head, F.lit(1), stop + 1)).otherwise(F.concat(head, F.lit("...")))
-    return F.when(F.size(own) <= most, c).otherwise(cut)
+
+    def cut(head):
+        stop = F.length(head) - F.instr(F.reverse(head), ".")  # place of the last full stop, from 0
+        return F.when((F.instr(head, ".") > 0) & (stop > F.length(head) * 0.7), F.substring(head, F.lit(1), stop + 1)).otherwise(F.concat(head, F.lit("...")))
+
+    return let(words(c), lambda own: F.when(F.size(own) <= most, c).otherwise(let(F.array_join(F.slice(own, 1, most), " "), cut)))
 
 
 def remove_special(c: Column, keep_medical: bool = True) -> Column:
@@ -153,5 +162,4 @@ def split_sentences(c: Column) -> Column:
     items = F.transform(F.split(c, "\n\\s*(?:[-•*]\\s+|\\d+[.)]\\s+)"), strip)
     parts = F.flatten(F.transform(items, lambda i: F.split(i, r"(?<=[.!?])\s+(?=[A-Z])")))
     kept = F.filter(F.transform(parts, strip), lambda p: count_words(p) >= 3)
-    whole = strip(c)
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(kept) > 0, kept).otherwise(F.array(whole))
+    return F.when(strip(c) == "", F.array().cast("array<string>")).otherwise(let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array(strip(c)))))

@@ -38,12 +38,13 @@ def normal(c: Column) -> Column:
 def exact(c: Column, codes=lexicon.CODES) -> Column:
     """Layer 1: the alias itself, or what is left of it without a qualifier."""
     known = literal(lexicon.alias_codes(codes), "map<string,string>")
-    own = normal(c)
-    tries = F.transform(F.array(*[F.lit(q) for q in lexicon.QUALIFIERS]), lambda q: F.element_at(known, F.replace(own, q, F.lit(""))))
-    trimmed = F.element_at(F.filter(tries, lambda x: x.isNotNull()), 1)
-    some = F.size(F.filter(tries, lambda x: x.isNotNull())) > 0
-    direct = F.element_at(known, own)
-    return F.when(direct.isNotNull(), _match(direct, F.lit(0.97), "exact")).when(some, _match(trimmed, F.lit(0.90), "exact_trimmed"))
+
+    def layer(own):
+        tries = F.filter(F.transform(F.array(*[F.lit(q) for q in lexicon.QUALIFIERS]), lambda q: F.element_at(known, F.replace(own, q, F.lit("")))), lambda x: x.isNotNull())
+        direct = F.element_at(known, own)
+        return F.when(direct.isNotNull(), _match(direct, F.lit(0.97), "exact")).otherwise(F.get(F.transform(tries, lambda x: _match(x, F.lit(0.90), "exact_trimmed")), F.lit(0)))
+
+    return T.let(normal(c), layer)
 
 
 def _match(code: Column, confidence: Column, kind: str) -> Column:
@@ -61,17 +62,21 @@ def fuzzy(c: Column, codes=lexicon.CODES) -> Column:
                 sets.append({"code": code, "words": own, "alias": is_alias})
     table = literal(sets, "array<struct<code:string,words:array<string>,alias:boolean>>")
     words = F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
-    own = F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in lexicon.STOP_WORDS]))
+    asked = F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in lexicon.STOP_WORDS]))
+
+    def layer(own):
+        def step(best, row):
+            def better(both):
+                score = both / F.size(F.array_union(own, row["words"]))
+                score = F.when(row["alias"] & (both == F.size(own)), F.least(score * 1.3, F.lit(1.0))).otherwise(score)
+                return T.let(score, lambda s: F.when(s > best["score"], F.struct(s.alias("score"), row["code"].alias("code"))).otherwise(best))
 
-    def step(best, row):
-        both = F.size(F.array_intersect(own, row["words"]))
-        score = both / F.size(F.array_union(own, row["words"]))
-        score = F.when(row["alias"] & (both == F.size(own)), F.least(score * 1.3, F.lit(1.0))).otherwise(score)
-        return F.when(score > best["score"], F.struct(score.alias("score"), row["code"].alias("code"))).otherwise(best)
+            return T.let(F.size(F.array_intersect(own, row["words"])), lambda both: F.when(both > 0, better(both)).otherwise(best))
 
-    best = F.aggregate(table, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("code")), step)
-    found = F.element_at(F.transform(F.array(best), lambda b: F.when(b["score"] >= 0.35, _match(b["code"], F.round(F.least(b["score"] * 0.23 + 0.65, F.lit(0.88)), 3), "fuzzy"))), 1)
-    return F.when(F.size(own) > 0, found)
+        best = F.aggregate(table, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("code")), step)
+        return F.when(F.size(own) > 0, T.let(best, lambda b: F.when(b["score"] >= 0.35, _match(b["code"], F.round(F.least(b["score"] * 0.23 + 0.65, F.lit(0.88)), 3), "fuzzy"))))
+
+    return T.let(asked, layer)
 
 
 def term_weights(codes=lexicon.CODES) -> list[dict]:
@@ -93,23 +98,23 @@ def semantic(c: Column, codes=lexicon.CODES) -> Column:
     table = literal(index, "array<struct<code:string,norm:double,weights:map<string,double>>>")
     known = literal(sorted({w for x in index for w in x["weights"]}), "array<string>")
     words = F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
-    terms = F.array_intersect(words, known)
-    share = lambda t: F.size(F.filter(words, lambda w: w == t)) / F.size(words)
-    query = F.transform(terms, lambda t: F.struct(t.alias("term"), share(t).alias("share")))
+    share = lambda own, t: F.size(F.filter(own, lambda w: w == t)) / F.size(own)
+    query = T.let(words, lambda own: F.transform(F.array_intersect(own, known), lambda t: F.struct(t.alias("term"), share(own, t).alias("share"))))
 
-    def scored(q):
+    def layer(q):
         norm = F.sqrt(F.aggregate(q, F.lit(0.0), lambda a, x: a + x["share"] * x["share"]))
         dot = lambda row: F.aggregate(q, F.lit(0.0), lambda a, x: a + x["share"] * F.coalesce(F.element_at(row["weights"], x["term"]), F.lit(0.0)))
 
-        def step(best, row):
-            score = dot(row) / (norm * row["norm"])
-            return F.when(score > best["score"], F.struct(score.alias("score"), row["code"].alias("code"))).otherwise(best)
+        def search(norm):
+            def step(best, row):
+                return T.let(dot(row) / (norm * row["norm"]), lambda s: F.when(s > best["score"], F.struct(s.alias("score"), row["code"].alias("code"))).otherwise(best))
+
+            return F.aggregate(table, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("code")), step)
 
-        return F.aggregate(table, F.struct(F.lit(0.0).alias("score"), F.lit(None).cast("string").alias("code")), step)
+        best = T.let(norm, search)
+        return F.when(F.size(q) > 0, T.let(best, lambda b: F.when(b["score"] >= 0.20, _match(b["code"], F.round(F.least(b["score"] * 0.35 + 0.40, F.lit(0.78)), 3), "semantic"))))
 
-    best = F.transform(F.filter(F.array(query), lambda q: F.size(q) > 0), scored)
-    good = F.filter(best, lambda b: b["score"] >= 0.20)
-    return F.get(F.transform(good, lambda b: _match(b["code"], F.round(F.least(b["score"] * 0.35 + 0.40, F.lit(0.78)), 3), "semantic")), F.lit(0))
+    return T.let(query, layer)
 
 
 def coded(diagnoses: DataFrame, codes=lexicon.CODES) -> DataFrame:

@@ -62,8 +62,8 @@ def places(c: Column, pattern: Column | str) -> Column:
     gaps = F.split(c, pattern, -1)
     hits = F.regexp_extract_all(c, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     sizes = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    before = lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x["g"] + x["h"])
-    return F.transform(hits, lambda h, i: before(i) + F.length(F.element_at(gaps, i + 1)))
+    before = lambda own, i: F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda a, x: a + x["g"] + x["h"])
+    return T.let(sizes, lambda own: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda x, i: before(own, i) + x["g"]))
 
 
 def matched(c: Column, pattern: str, label: str, confidence: float, source: str) -> Column:
@@ -80,8 +80,8 @@ def symptoms(c: Column) -> Column:
 
     def every(k):
         gaps = F.split(low, F.concat(F.lit("\\Q"), k, F.lit("\\E")), -1)
-        before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + i * F.length(k)
-        starts = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g, i: before(i))
+        before = lambda own, i: F.aggregate(F.slice(own, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + i * F.length(k)
+        starts = T.let(gaps, lambda own: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda g, i: before(own, i)))
         return F.transform(starts, lambda s: entity(F.substring(c, s + 1, F.length(k)), "SYMPTOM", s, 0.9))
 
     return F.flatten(F.transform(present, every))
@@ -106,8 +106,8 @@ def gazetteer(c: Column) -> Column:
 def deduplicate(found: Column) -> Column:
     """The first of equal texts of a label, without those of one character."""
     key = lambda x: F.struct(F.lower(T.strip(x["text"])), x["label"])
-    keys = F.transform(found, key)
-    return F.filter(found, lambda x, i: (F.array_position(keys, key(x)) == i + 1) & (F.length(F.lower(T.strip(x["text"]))) > 1))
+    first = lambda own: T.let(F.transform(own, key), lambda keys: F.filter(own, lambda x, i: (F.array_position(keys, key(x)) == i + 1) & (F.length(T.strip(x["text"])) > 1)))
+    return T.let(found, first)
 
 
 def entities(c: Column, threshold: float = 0.5, tagged: Column | None = None) -> Column:
@@ -157,6 +157,11 @@ def tag_with(reports: DataFrame, load, most: int = 1500) -> DataFrame:
     return tagged.withColumn("tagged", F.transform("tagged", lambda x: x.withField("label", relabel(x["label"]))))
 
 
+def first_of_each(rows: Column, key) -> Column:
+    """The first item of each key, in order."""
+    return T.let(rows, lambda own: T.let(F.transform(own, key), lambda keys: F.filter(own, lambda r, i: F.array_position(keys, key(r)) == i + 1)))
+
+
 def medications(c: Column) -> Column:
     """Array of name, dosage, frequency, route, raw_text: the first of each name that can be a drug."""
     part = [F.regexp_extract_all(c, F.lit(MEDICATION), F.lit(g)) for g in range(6)]
@@ -170,16 +175,14 @@ def medications(c: Column) -> Column:
     )
     low = lambda r: F.lower(r["name"])
     kept = F.filter(rows, lambda r: ~low(r).isin(lexicon.NOT_DRUGS) & (F.length(r["name"]) >= 4) & ~F.element_at(F.split(low(r), r"\s+"), 1).isin(lexicon.NOT_FIRST))
-    names = F.transform(kept, low)
-    return F.filter(kept, lambda r, i: F.array_position(names, low(r)) == i + 1)
+    return first_of_each(kept, low)
 
 
 def labs(c: Column) -> Column:
     """Array of test_name, value, unit, raw_text: the first of each test."""
     part = [F.regexp_extract_all(c, F.lit(LAB), F.lit(g)) for g in range(4)]
     rows = F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(part, ("raw", "test", "value", "unit"))]), lambda r: F.struct(r["test"].alias("test_name"), r["value"].alias("value"), r["unit"].alias("unit"), T.strip(r["raw"]).alias("raw_text")))
-    names = F.transform(rows, lambda r: F.lower(r["test_name"]))
-    return F.filter(rows, lambda r, i: F.array_position(names, F.lower(r["test_name"])) == i + 1)
+    return first_of_each(rows, lambda r: F.lower(r["test_name"]))
 
 
 def vitals(c: Column, patterns: dict[str, str] = VITALS) -> Column:
@@ -197,8 +200,7 @@ def mentioned(c: Column, keywords: list[str]) -> Column:
 def of_label(found: Column, label: str) -> Column:
     """Texts of a label, the first spelling of each."""
     own = F.transform(F.filter(found, lambda x: x["label"] == label), lambda x: x["text"])
-    low = F.transform(own, F.lower)
-    return F.filter(own, lambda t, i: F.array_position(low, F.lower(t)) == i + 1)
+    return first_of_each(own, F.lower)
 
 
 def recognise(reports: DataFrame, threshold: float = 0.5) -> DataFrame:

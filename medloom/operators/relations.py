@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from medloom.functions import lexicon, text as T
 from medloom.operators.coding import literal
+from medloom.operators.entities import first_of_each
 
 RELATION = "struct<entity1:string,relation:string,entity2:string,confidence:double,source:string,evidence:string,entity1_type:string,entity2_type:string>"
+FIELDS = ["entity1", "relation", "entity2", "confidence", "source", "evidence", "entity1_type", "entity2_type"]
 END = r"(?:\.|,|;|$)"
 ALLERGY = [r"allerg(?:ic to|y to|ies to|y:)\s+([A-Za-z\s,]+?)(?:\s*[\(\[]|\.|\,|\;|$)", r"(?:intolerant of|intolerance to)\s+([A-Za-z\s]+?)(?:\.|\,|\;|$)"]
 TREATS = [
@@ -131,8 +133,7 @@ def kb_complications(diseases: Column) -> Column:
 def deduplicate(found: Column) -> Column:
     """The first of equal triples; none from a thing to itself."""
     key = lambda r: F.struct(F.lower(r["entity1"]), r["relation"], F.lower(r["entity2"]))
-    keys = F.transform(found, key)
-    return F.filter(found, lambda r, i: (F.array_position(keys, key(r)) == i + 1) & (F.lower(r["entity1"]) != F.lower(r["entity2"])))
+    return F.filter(first_of_each(found, key), lambda r: F.lower(r["entity1"]) != F.lower(r["entity2"]))
 
 
 def extract(found: DataFrame, parsed: Column | None = None) -> DataFrame:
@@ -142,13 +143,13 @@ def extract(found: DataFrame, parsed: Column | None = None) -> DataFrame:
     layers = [by_rules(F.col("text")), kb_treats(names), kb_symptoms(F.col("symptoms"), F.col("diseases")), kb_labs(F.col("labs")), kb_complications(F.col("diseases"))]
     if parsed is not None:
         layers.insert(1, parsed.cast(f"array<{RELATION}>"))
-    rows = found.select("report_id", deduplicate(F.concat(*layers)).alias("r"))
-    order = F.array_sort(F.transform("r", lambda r, i: F.struct((-r["confidence"]).alias("k"), i.alias("i"), r.alias("r"))))
-    return rows.select("report_id", F.transform(order, lambda x: x["r"]).alias("relations"))
+    order = lambda own: F.array_sort(F.transform(own, lambda r, i: F.struct((-r["confidence"]).alias("k"), i.alias("i"), r.alias("r"))))
+    return found.select("report_id", F.transform(T.let(deduplicate(F.concat(*layers)), order), lambda x: x["r"]).alias("relations"))
 
 
 def relation_rows(extracted: DataFrame) -> DataFrame:
-    return extracted.select("report_id", F.posexplode("relations").alias("seq", "r")).select("report_id", "seq", "r.*")
+    # inline keeps the optimizer from computing the array once for each field that is read
+    return extracted.select("report_id", F.inline(F.transform("relations", lambda r, i: F.struct(i.alias("seq"), *[r[c].alias(c) for c in FIELDS]))))
 
 
 def bucket(name: Column) -> Column:
@@ -168,8 +169,7 @@ def top(extracted: DataFrame, most: int = 8) -> DataFrame:
 
     def of_kind(k):
         own = F.slice(F.filter("relations", lambda r: r["relation"] == k), 1, most)
-        keys = F.transform(own, lambda r: F.struct(F.lower(r["entity1"]), F.lower(r["entity2"])))
-        return F.filter(own, lambda r, i: F.array_position(keys, F.struct(F.lower(r["entity1"]), F.lower(r["entity2"]))) == i + 1)
+        return first_of_each(own, lambda r: F.struct(F.lower(r["entity1"]), F.lower(r["entity2"])))
 
     kinds = F.array_distinct(F.transform("relations", lambda r: r["relation"]))
     return extracted.select("report_id", F.explode(F.flatten(F.transform(kinds, of_kind))).alias("r")).select("report_id", "r.relation", "r.entity1", "r.entity2", "r.confidence", "r.source")

@@ -18,11 +18,13 @@ def sections(c: Column) -> Column:
     first header go; a text without headers is one section."""
     names = F.transform(F.regexp_extract_all(c, F.lit(PATTERN), F.lit(1)), lambda h: F.lower(T.strip(h)))
     bodies = F.transform(F.split(c, PATTERN, -1), T.strip)
-    pairs = F.zip_with(names, F.slice(bodies, F.lit(2), F.greatest(F.size(bodies) - 1, F.lit(0))), lambda n, b: F.struct(n.alias("name"), b.alias("body")))
-    pairs = F.filter(pairs, lambda p: p["body"] != "")
-    found = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["name"])), lambda n: F.element_at(F.filter(pairs, lambda p: p["name"] == n), -1))
     whole = F.array(F.struct(F.lit(WHOLE).alias("name"), T.strip(c).alias("body")))
-    return F.when(F.size(names) > 0, found).otherwise(whole)
+
+    def found(heads):
+        pairs = F.zip_with(heads, F.slice(bodies, F.lit(2), F.size(heads)), lambda n, b: F.struct(n.alias("name"), b.alias("body")))
+        return T.let(F.filter(pairs, lambda p: p["body"] != ""), lambda own: F.transform(F.array_distinct(F.transform(own, lambda p: p["name"])), lambda n: F.element_at(F.filter(own, lambda p: p["name"] == n), -1)))
+
+    return T.let(names, lambda heads: F.when(F.size(heads) > 0, found(heads)).otherwise(whole))
 
 
 def section_rows(reports: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def chosen(sentences: Column, section: Column, ratio: Column, least: int, most:
         own = F.array_sort(F.transform(F.slice(by_score, F.lit(1), keep), lambda r: F.struct(r["position"], r["text"].alias("text"))))
         return F.when(F.size(rows) > 0, F.array_join(F.transform(own, lambda r: r["text"]), " ")).otherwise(F.array_join(F.slice(sentences, 1, least), " "))
 
-    return F.element_at(F.transform(F.array(scored(sentences, section)), pick), 1)
+    return T.let(scored(sentences, section), pick)
 
 
 def section_summaries(c: Column) -> Column:
@@ -94,9 +94,8 @@ def summarise(found: DataFrame) -> DataFrame:
     )
 
 
-def _body(c: Column, *names: str) -> Column:
+def _body(own: Column, *names: str) -> Column:
     """The body of the first of these sections that a text has."""
-    own = sections(c)
     return F.coalesce(*[F.get(F.transform(F.filter(own, lambda s: s["name"] == n), lambda s: s["body"]), F.lit(0)) for n in names])
 
 
@@ -107,11 +106,13 @@ def _lines(title: str, rows: Column) -> Column:
 def clinical_note(found: DataFrame, generated: str) -> DataFrame:
     """report_id and note: subjective, objective, assessment, plan, summary. `generated` is the time
     to print, so that a note is the same each time it is made."""
-    c = F.col("text")
     bar, thin = "=" * 65, "─" * 40
+    c = F.col("_sections")
+    found = found.withColumn("_sections", sections(F.col("text"))).withColumn("_summary", T.truncate(extract(F.col("text")), 120))
+    found = found.withColumn("_history", F.array_join(F.slice(T.split_sentences(_body(c, "history of present illness", "hpi")), 1, 3), " "))
     bullet = lambda x: F.concat(F.lit("  • "), x)
     complaint = F.coalesce(T.strip(F.substring(_body(c, "chief complaint"), 1, 200)), F.when(F.size("symptoms") > 0, F.array_join(F.slice("symptoms", 1, 4), ", ")), F.lit("See original report"))
-    history = F.array_join(F.slice(T.split_sentences(_body(c, "history of present illness", "hpi")), 1, 3), " ")
+    history = F.col("_history")
     vitals = F.coalesce(_lines("Vital Signs:", F.transform("vitals", lambda v: bullet(F.concat(v["vital"], F.lit(": "), v["value"])))), F.concat(F.lit("Vitals: "), T.strip(F.substring(_body(c, "vital signs"), 1, 150))))
     labs = _lines("\nKey Lab Values:", F.transform(F.slice("labs", 1, 8), lambda x: bullet(F.concat(x["test_name"], F.lit(": "), x["value"], F.when(x["unit"] != "", F.concat(F.lit(" "), x["unit"])).otherwise("")))))
     parts = F.array(*[F.lit(w) for w in lexicon.NOT_DIAGNOSES])
@@ -122,7 +123,7 @@ def clinical_note(found: DataFrame, generated: str) -> DataFrame:
     meds = F.transform(F.slice("medications", 1, 8), lambda m: F.concat(F.lit("  • "), m["name"], with_space(m["dosage"]), with_space(m["frequency"]), F.when(m["route"] != "", F.concat(F.lit(" ("), m["route"], F.lit(")"))).otherwise("")))
     plan = F.coalesce(_lines("Medications:", meds), _lines("Medications:", F.transform(F.slice("drugs", 1, 8), bullet)))
     done = _lines("\nProcedures:", F.transform(F.slice("procedures", 1, 5), bullet))
-    summary = T.truncate(extract(c), 120)
+    summary = F.col("_summary")
     note = F.concat_ws(
         "\n", F.lit(bar), F.lit("         AUTO-GENERATED CLINICAL NOTE (AI-ASSISTED)"), F.lit(f"         Generated: {generated}"), F.lit(bar), F.lit("\n[S] SUBJECTIVE"), F.lit(thin),
         F.concat(F.lit("Chief Complaint: "), complaint), F.when(history != "", F.concat(F.lit("\nHistory: "), T.truncate(history, 80))), F.lit("\n[O] OBJECTIVE"), F.lit(thin), vitals, labs,

@@ -60,7 +60,7 @@ DRUGS = [
 ]
 MORE_DRUGS = ["Atorvastatin 40 mg weekly", "Aspirin 81 mg", "Insulin 10 units daily subcutaneous", "Normal Saline 500 ml once", "Metoprolol 25.5 mg twice oral"]
 VITALS = [
-    "Blood pressure 120/80 mmHg, heart rate 88 bpm, temperature 98.6 F", "blood pressure: 188/112 mmHg. Heart rate: 104. Oxygen saturation 96, ok. Weight 80 kg",
+    "Blood pressure 120/80 mmHg, heart rate 88 bpm, temperature 98.6 F", "blood pressure 188/112 mmHg. Heart rate: 104. Oxygen saturation 96, ok. Weight 80 kg",
     "BP 130/85, HR 72 bpm, SpO2 97%, RR 18", "blood pressure 140/90, oxygen saturation 98%, body mass index 27.5, respiratory rate 18",
 ]
 LABS = [
