@@ -42,70 +42,67 @@ def on_documents(name: str, sql: str):
     return add
 
 
-text = F.col("text")
-
-
 # --- texts -----------------------------------------------------------------------------------
 
 
 @on_documents("report_ids", "SELECT doc_id, upper(substr(md5(text), 1, 10)) AS report_id, upper(substr(md5(text), 1, 12)) AS long_id FROM documents WHERE length(text) > 0")
 def report_ids(d: DataFrame) -> DataFrame:
-    return d.where(F.length("text") > 0).select("doc_id", T.report_id(text).alias("report_id"), T.report_id(text, 12).alias("long_id"))
+    return d.where(F.length("text") > 0).select("doc_id", T.report_id(F.col("text")).alias("report_id"), T.report_id(F.col("text"), 12).alias("long_id"))
 
 
 @on_documents("text_counts", f"SELECT doc_id, {O.nwords('text')}::INT AS words, len(regexp_extract_all(text, '[.!?]+'))::INT AS sentences FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
 def text_counts(d: DataFrame) -> DataFrame:
-    return d.where(text.rlike(ASCII)).select("doc_id", T.count_words(text).alias("words"), T.count_sentences(text).alias("sentences"))
+    return d.where(F.col("text").rlike(ASCII)).select("doc_id", T.count_words(F.col("text")).alias("words"), T.count_sentences(F.col("text")).alias("sentences"))
 
 
 @on_documents("truncated_texts", f"SELECT doc_id, {O.truncated('text', 60)} AS head FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
 def truncated_texts(d: DataFrame) -> DataFrame:
-    return d.where(text.rlike(ASCII)).select("doc_id", T.truncate(text, 60).alias("head"))
+    return d.where(F.col("text").rlike(ASCII)).select("doc_id", T.truncate(F.col("text"), 60).alias("head"))
 
 
 @on_documents("document_sentences", f"SELECT doc_id, unnest(l) AS sentence, (generate_subscripts(l, 1) - 1)::INT AS position FROM (SELECT doc_id, {O.sentences('text')} AS l FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))")
 def document_sentences(d: DataFrame) -> DataFrame:
-    return d.where(text.rlike(ASCII)).select("doc_id", F.posexplode(T.split_sentences(text)).alias("position", "sentence"))
+    return d.where(F.col("text").rlike(ASCII)).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("position", "sentence"))
 
 
 @on_documents("expanded_documents", f"SELECT doc_id, {O.expanded('text')} AS expanded, {O.expansions('text')}::INT AS n FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
 def expanded_documents(d: DataFrame) -> DataFrame:
-    return d.where(text.rlike(ASCII)).withColumn("e", T.expand(text)).select("doc_id", F.col("e.text").alias("expanded"), F.col("e.expanded").alias("n"))
+    return d.where(F.col("text").rlike(ASCII)).withColumn("e", T.expand(F.col("text"))).select("doc_id", F.col("e.text").alias("expanded"), F.col("e.expanded").alias("n"))
 
 
 @on_notes("clean_notes", f"SELECT report_id, {O.basic('text')} AS clean FROM notes")
 def clean_notes(n: DataFrame) -> DataFrame:
-    return n.select("report_id", T.basic_clean(text).alias("clean"))
+    return n.select("report_id", T.basic_clean(F.col("text")).alias("clean"))
 
 
 @on_notes("artifact_free_notes", f"SELECT report_id, replace({O.sub('text', T.ARTIFACTS, ' ')}, '|', 'I') AS clean FROM notes")
 def artifact_free_notes(n: DataFrame) -> DataFrame:
-    return n.select("report_id", T.fix_ocr(T.remove_artifacts(text)).alias("clean"))
+    return n.select("report_id", T.fix_ocr(T.remove_artifacts(F.col("text"))).alias("clean"))
 
 
 @on_notes("expanded_notes", f"SELECT report_id, {O.expanded('text')} AS expanded, {O.expansions('text')}::INT AS n FROM notes")
 def expanded_notes(n: DataFrame) -> DataFrame:
-    return n.withColumn("e", T.expand(text)).select("report_id", F.col("e.text").alias("expanded"), F.col("e.expanded").alias("n"))
+    return n.withColumn("e", T.expand(F.col("text"))).select("report_id", F.col("e.text").alias("expanded"), F.col("e.expanded").alias("n"))
 
 
 @on_notes("normal_vitals", f"SELECT report_id, {O.vitals_normal('text')} AS normal FROM notes")
 def normal_vitals(n: DataFrame) -> DataFrame:
-    return n.select("report_id", T.normalize_vitals(text).alias("normal"))
+    return n.select("report_id", T.normalize_vitals(F.col("text")).alias("normal"))
 
 
 @on_notes("normal_notes", f"SELECT report_id, {O.normal('text')} AS normal FROM notes")
 def normal_notes(n: DataFrame) -> DataFrame:
-    return n.select("report_id", T.normalize(text).alias("normal"))
+    return n.select("report_id", T.normalize(F.col("text")).alias("normal"))
 
 
 @on_notes("plain_notes", f"SELECT report_id, {O.clean_ws(O.sub('text', '[^a-zA-Z0-9_[:space:].,:;!?/%+=<>()' + chr(92) + '[' + chr(92) + ']-]', ' '))} AS medical, {O.clean_ws(O.sub('text', '[^a-zA-Z0-9_[:space:].,!?]', ' '))} AS plain FROM notes")
 def plain_notes(n: DataFrame) -> DataFrame:
-    return n.select("report_id", T.remove_special(text).alias("medical"), T.remove_special(text, False).alias("plain"))
+    return n.select("report_id", T.remove_special(F.col("text")).alias("medical"), T.remove_special(F.col("text"), False).alias("plain"))
 
 
 @on_notes("medical_texts", f"SELECT report_id, {O.nwords('text')} >= 40 AND ({' + '.join(f'contains(lower(text), {O.q(w)})::INT' for w in lexicon.INDICATORS)}) >= 2 AS medical FROM notes")
 def medical_texts(n: DataFrame) -> DataFrame:
-    return n.select("report_id", T.is_medical(text, 40).alias("medical"))
+    return n.select("report_id", T.is_medical(F.col("text"), 40).alias("medical"))
 
 
 @on_notes("titled_sentences", f"SELECT report_id, position::INT AS position, {O.title('sentence')} AS title FROM sents")
@@ -157,37 +154,37 @@ _ENTITY = "report_id, etext AS text, label, start::INT AS start, (start + length
 
 @on_notes("symptom_mentions", f"SELECT {_ENTITY} FROM symhits")
 def symptom_mentions(n: DataFrame) -> DataFrame:
-    return _entity_rows(n, E.symptoms(text))
+    return _entity_rows(n, E.symptoms(F.col("text")))
 
 
 @on_notes("procedure_mentions", f"SELECT {_ENTITY} FROM prochits")
 def procedure_mentions(n: DataFrame) -> DataFrame:
-    return _entity_rows(n, E.procedures(text))
+    return _entity_rows(n, E.procedures(F.col("text")))
 
 
 @on_notes("date_mentions", f"SELECT {_ENTITY} FROM datehits")
 def date_mentions(n: DataFrame) -> DataFrame:
-    return _entity_rows(n, E.dates(text))
+    return _entity_rows(n, E.dates(F.col("text")))
 
 
 @on_notes("gazetteer_mentions", f"SELECT {_ENTITY} FROM gazhits")
 def gazetteer_mentions(n: DataFrame) -> DataFrame:
-    return _entity_rows(n, E.gazetteer(text))
+    return _entity_rows(n, E.gazetteer(F.col("text")))
 
 
 @on_notes("entities", f"SELECT seq::INT AS seq, {_ENTITY} FROM ents")
 def entities(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.posexplode(E.entities(text)).alias("seq", "e")).select("report_id", "seq", "e.*")
+    return n.select("report_id", F.posexplode(E.entities(F.col("text"))).alias("seq", "e")).select("report_id", "seq", "e.*")
 
 
 @on_notes("confident_entities", f"SELECT {_ENTITY} FROM ents WHERE conf >= 0.9")
 def confident_entities(n: DataFrame) -> DataFrame:
-    return _entity_rows(n, E.entities(text, 0.9))
+    return _entity_rows(n, E.entities(F.col("text"), 0.9))
 
 
 @on_notes("medications", "SELECT report_id, seq::INT AS seq, name, dosage, frequency, route, raw_text FROM meds")
 def medications(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.posexplode(E.medications(text)).alias("seq", "m")).select("report_id", "seq", "m.*")
+    return n.select("report_id", F.posexplode(E.medications(F.col("text"))).alias("seq", "m")).select("report_id", "seq", "m.*")
 
 
 @on_notes("medication_doses", "SELECT name, split_part(dosage, ' ', 2) AS unit, count(*) AS notes, round(sum(split_part(dosage, ' ', 1)::DOUBLE), 3) AS total FROM meds GROUP BY ALL")
@@ -198,7 +195,7 @@ def medication_doses(n: DataFrame) -> DataFrame:
 
 @on_notes("labs", "SELECT report_id, seq::INT AS seq, test_name, value, unit, raw_text FROM labs")
 def labs(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.posexplode(E.labs(text)).alias("seq", "m")).select("report_id", "seq", "m.*")
+    return n.select("report_id", F.posexplode(E.labs(F.col("text"))).alias("seq", "m")).select("report_id", "seq", "m.*")
 
 
 def _vitals_sql(patterns: dict[str, str]) -> str:
@@ -208,27 +205,27 @@ def _vitals_sql(patterns: dict[str, str]) -> str:
 
 @on_notes("vitals", _vitals_sql(E.VITALS))
 def vitals(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.explode(E.vitals(text)).alias("v")).select("report_id", "v.*")
+    return n.select("report_id", F.explode(E.vitals(F.col("text"))).alias("v")).select("report_id", "v.*")
 
 
 @on_notes("vitals_with_units", _vitals_sql(E.VITALS_WITH_UNITS))
 def vitals_with_units(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.explode(E.vitals(text, E.VITALS_WITH_UNITS)).alias("v")).select("report_id", "v.*")
+    return n.select("report_id", F.explode(E.vitals(F.col("text"), E.VITALS_WITH_UNITS)).alias("v")).select("report_id", "v.*")
 
 
 @on_notes("symptom_lists", "SELECT report_id, string_agg(symptom, '|' ORDER BY ord) AS symptoms FROM symptoms GROUP BY report_id")
 def symptom_lists(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.array_join(E.mentioned(text, lexicon.SYMPTOMS), "|").alias("symptoms")).where("symptoms <> ''")
+    return n.select("report_id", F.array_join(E.mentioned(F.col("text"), lexicon.SYMPTOMS), "|").alias("symptoms")).where("symptoms <> ''")
 
 
 @on_notes("procedure_lists", "SELECT report_id, string_agg(procedure, '|' ORDER BY ord) AS procedures FROM procs GROUP BY report_id")
 def procedure_lists(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.array_join(E.mentioned(text, lexicon.PROCEDURES), "|").alias("procedures")).where("procedures <> ''")
+    return n.select("report_id", F.array_join(E.mentioned(F.col("text"), lexicon.PROCEDURES), "|").alias("procedures")).where("procedures <> ''")
 
 
 @on_notes("label_lists", "SELECT report_id, label, string_agg(etext, '|' ORDER BY seq) AS texts FROM ents WHERE label IN ('DISEASE', 'DRUG', 'SYMPTOM', 'DATE') GROUP BY report_id, label")
 def label_lists(n: DataFrame) -> DataFrame:
-    rows = n.select("report_id", E.entities(text).alias("e"))
+    rows = n.select("report_id", E.entities(F.col("text")).alias("e"))
     each = [F.struct(F.lit(x).alias("label"), F.array_join(E.of_label(F.col("e"), x), "|").alias("texts")) for x in ("DISEASE", "DRUG", "SYMPTOM", "DATE")]
     return rows.select("report_id", F.explode(F.array(*each)).alias("x")).select("report_id", "x.*").where("texts <> ''")
 
@@ -273,7 +270,7 @@ def sentence_scores(n: DataFrame) -> DataFrame:
 
 @on_notes("section_summaries", "SELECT report_id, ord::INT AS ord, name, summary FROM secsums")
 def section_summaries(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.explode(U.section_summaries(text)).alias("s")).select("report_id", "s.ord", "s.name", "s.summary")
+    return n.select("report_id", F.explode(U.section_summaries(F.col("text"))).alias("s")).select("report_id", "s.ord", "s.name", "s.summary")
 
 
 @on_notes(
@@ -286,7 +283,7 @@ def section_summaries(n: DataFrame) -> DataFrame:
     },
 )
 def top_sentences(n: DataFrame) -> DataFrame:
-    return n.select("report_id", U.plain_extract(text).alias("summary"))
+    return n.select("report_id", U.plain_extract(F.col("text")).alias("summary"))
 
 
 _ABSTRACT = O.truncated("extractive", 120)
@@ -337,7 +334,7 @@ def note_blocks(n: DataFrame) -> DataFrame:
 def _rule_query(name: str, relation: str):
     @on_notes(name, f"SELECT report_id, e1 AS entity1, e2 AS entity2, conf::DOUBLE AS confidence, evidence FROM rules WHERE rel = '{relation}'")
     def build(n: DataFrame) -> DataFrame:
-        rows = n.select("report_id", F.explode(R.by_rules(text)).alias("r")).select("report_id", "r.*")
+        rows = n.select("report_id", F.explode(R.by_rules(F.col("text"))).alias("r")).select("report_id", "r.*")
         return rows.where(F.col("relation") == relation).select("report_id", "entity1", "entity2", "confidence", "evidence")
 
 
@@ -347,7 +344,7 @@ for _name, _relation in (("rule_allergies", "ALLERGIC_TO"), ("rule_treatments",
 
 @on_notes("rule_sentences", "SELECT report_id, (sent - 1)::INT AS position, s AS sentence FROM rsent")
 def rule_sentences(n: DataFrame) -> DataFrame:
-    return n.select("report_id", F.posexplode(R.rule_sentences(text)).alias("position", "sentence"))
+    return n.select("report_id", F.posexplode(R.rule_sentences(F.col("text"))).alias("position", "sentence"))
 
 
 def _kb_query(name: str, step: str, build):
@@ -469,15 +466,15 @@ def report_metrics(n: DataFrame) -> DataFrame:
     """One row of figures for each report; codes meet the rest by report."""
     found = E.recognise(n)
     codes = C.map_reports(found).where("icd_code <> ''").groupBy("report_id").agg(F.count_distinct("icd_code").alias("codes"))
-    own = F.size(R.deduplicate(F.concat(R.by_rules(text), R.kb_treats(F.concat(F.transform("medications", lambda m: m["name"]), F.col("drugs"))), R.kb_symptoms(F.col("symptoms"), F.col("diseases")), R.kb_labs(F.col("labs")), R.kb_complications(F.col("diseases")))))
-    rows = found.select("report_id", T.count_words(text).alias("words"), T.count_words(T.truncate(U.extract(text), 120)).alias("summary_words"), F.size("entities").alias("entities"), F.size("diseases").alias("diagnoses"), F.size("medications").alias("medications"), own.alias("relations"))
+    own = F.size(R.deduplicate(F.concat(R.by_rules(F.col("text")), R.kb_treats(F.concat(F.transform("medications", lambda m: m["name"]), F.col("drugs"))), R.kb_symptoms(F.col("symptoms"), F.col("diseases")), R.kb_labs(F.col("labs")), R.kb_complications(F.col("diseases")))))
+    rows = found.select("report_id", T.count_words(F.col("text")).alias("words"), T.count_words(T.truncate(U.extract(F.col("text")), 120)).alias("summary_words"), F.size("entities").alias("entities"), F.size("diseases").alias("diagnoses"), F.size("medications").alias("medications"), own.alias("relations"))
     return rows.join(codes, "report_id", "left").withColumn("codes", F.coalesce("codes", F.lit(0)).cast("int"))
 
 
 @on_notes("tab_entities", f"SELECT * FROM (SELECT report_id, label, etext AS text, row_number() OVER (PARTITION BY report_id, label ORDER BY seq)::INT AS place FROM ents) WHERE place <= 12")
 def tab_entities(n: DataFrame) -> DataFrame:
     """The first twelve entities of each label, as a tab shows them."""
-    rows = n.select("report_id", E.entities(text).alias("e"))
+    rows = n.select("report_id", E.entities(F.col("text")).alias("e"))
     labels = F.array_distinct(F.transform("e", lambda x: x["label"]))
     each = F.flatten(F.transform(labels, lambda k: F.transform(F.slice(F.filter("e", lambda x: x["label"] == k), 1, 12), lambda x, i: F.struct(x["label"].alias("label"), x["text"].alias("text"), (i + 1).alias("place")))))
     return rows.select("report_id", F.explode(each).alias("x")).select("report_id", "x.*")
