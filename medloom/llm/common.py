@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from medloom.runtime import checkpoint_dir, ship, table
 
 #: Rows and bytes of one Arrow batch: what bounds a Python worker's memory besides one text.
-BATCH_ROWS = 4000
-BATCH_BYTES = 24 << 20
+BATCH_ROWS = 1500
+BATCH_BYTES = 12 << 20
 
 
 def prepare(spark: SparkSession) -> None:
