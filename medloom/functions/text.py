@@ -72,10 +72,29 @@ def basic_clean(c: Column) -> Column:
     return clean_whitespace(unix_lines(fix_ocr(remove_artifacts(c))))
 
 
+def any_of(names) -> str:
+    """A pattern for any of the names, the longest first, as a tree by characters: a match tries one
+    branch for each character rather than every name."""
+    tree: dict = {}
+    for name in names:
+        node = tree
+        for c in name.lower():
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def shown(node: dict) -> str:
+        own = [re.escape(c).replace("\\ ", " ") + shown(below) for c, below in sorted(node.items()) if c]
+        if not own:
+            return ""
+        inner = own[0] if len(own) == 1 and "" not in node else "(?:" + "|".join(own) + ")"
+        return inner + "?" if "" in node else inner
+
+    return shown(tree)
+
+
 def abbreviation_pattern(table: dict[str, str]) -> str:
-    """One alternation for the whole table, longest first; values with units come first and stay."""
-    keys = sorted(table, key=len, reverse=True)
-    return rf"(?i){UNIT_VALUES}|\b(?:{'|'.join(re.escape(k) for k in keys)})\b"
+    """One pattern for the whole table, longest first; values with units come first and stay."""
+    return rf"(?i){UNIT_VALUES}|\b{any_of(table)}\b"
 
 
 def expand(c: Column, table: dict[str, str] = lexicon.ABBREVIATIONS) -> Column:

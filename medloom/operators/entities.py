@@ -6,8 +6,6 @@ gazetteer of diagnosis aliases and of drugs tags them, which is not the same as
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from medloom.functions import lexicon, text as T
@@ -46,7 +44,7 @@ DRUG_NAMES = sorted(lexicon.DRUG_DISEASES, key=lambda x: (-len(x), x))
 
 
 def words_pattern(names: list[str]) -> str:
-    return r"(?i)\b(?:" + "|".join(re.escape(n).replace("\\ ", " ") for n in names) + r")\b"
+    return r"(?i)\b" + T.any_of(names) + r"\b"
 
 
 def _strings(own: list[str]) -> Column:
@@ -57,20 +55,18 @@ def entity(text, label: str, start, confidence: float, source: str = "rule") ->
     return F.struct(text.alias("text"), F.lit(label).alias("label"), start.cast("int").alias("start"), (start + F.length(text)).cast("int").alias("end"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source")).cast(ENTITY)
 
 
-def places(c: Column, pattern: Column | str) -> Column:
+def places(c: Column, pattern: str, hits: Column) -> Column:
     """Starts of the matches of a pattern, from the lengths of the pieces between them."""
-    gaps = F.split(c, pattern, -1)
-    hits = F.regexp_extract_all(c, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+    sizes = F.zip_with(F.split(c, pattern, -1), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
     before = lambda own, i: F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda a, x: a + x["g"] + x["h"])
     return T.let(sizes, lambda own: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda x, i: before(own, i) + x["g"]))
 
 
 def matched(c: Column, pattern: str, label: str, confidence: float, source: str) -> Column:
     """Entities of all matches of a pattern."""
-    hits = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    found = F.zip_with(hits, places(c, pattern), lambda h, p: entity(h, label, p, confidence, source))
-    return F.when(c.rlike(pattern), found).otherwise(F.array().cast(f"array<{ENTITY}>"))
+    none = F.array().cast(f"array<{ENTITY}>")
+    found = lambda hits: F.zip_with(hits, places(c, pattern, hits), lambda h, p: entity(h, label, p, confidence, source))
+    return T.let(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda hits: F.when(F.size(hits) > 0, found(hits)).otherwise(none))
 
 
 def symptoms(c: Column) -> Column:

@@ -104,5 +104,6 @@ def made_up_sql(key: str = "doc_id") -> str:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """report_id and text of a made-up note for each document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(F.col("doc_id").alias("report_id"), made_up(F.col("doc_id")).alias("text"))
+    # keys are dealt out first: a file of one row group would make all notes in one task
+    keys = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("report_id"))
+    return keys.repartition(spark.sparkContext.defaultParallelism).select("report_id", made_up(F.col("report_id")).alias("text"))
