@@ -120,7 +120,7 @@ def _judged(rows: DataFrame, n: int) -> DataFrame:
     own = F.xxhash64("d", "h", "lo")
     contexts = rows.groupBy("k", "e1", "e2").agg(F.count("*").alias("n"), F.min(own).alias("one"))
     rivals = contexts.groupBy("k").agg(F.count("*").alias("kinds"))
-    known = contexts.join(rivals, "k").where("n > 1 or kinds > 1").repartition(n)
+    known = contexts.join(rivals.repartition(n), "k").where("n > 1 or kinds > 1").repartition(n)
     whole, rim = F.col("n") > 1, (F.col("kinds") > 1) & ((F.col("n") == 1) | (own == F.col("one")))
     return rows.join(known, ["k", "e1", "e2"]).select("d", "h", "lo", "hi", "lead", whole.alias("whole"), rim.alias("rim")).checkpoint()
 
