@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,7 +30,7 @@ from medloom.llm.common import arrow_map
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered words and pairs of one Python worker; the memory is emptied when it is full.
-WORDS, PAIRS = 400_000, 300_000
+WORDS, PAIRS = 300_000, 400_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -115,14 +116,17 @@ class MergeModel:
                 self.raw[i] = " ⁇ ".encode()
         self.pack = struct.Struct("<I").pack
         self.whole: dict[str, bool] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.joins: dict[int, bool] = {}
+        self.raw_array = None
+        self.sizes = [len(p) for p in self.pieces]
         self.words: dict[str, bytes] = {}
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, self.ids[p])
         self.automaton.make_automaton()
+        self.shorter = [next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), -1) for p in self.pieces]
         full = MARK * self.longest_mark
         self.rests = [self.merge(MARK * n) for n in range(self.longest_mark)]
         if any(self.merge(full + MARK * n) != [full, *rest] for n, rest in enumerate(self.rests)):
@@ -154,62 +158,72 @@ class MergeModel:
             got = self.whole[piece] = len(piece) == 1 or self.merge(piece) == [piece]
         return got
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether merging the two again gives the same two."""
-        got = self.fits.get((left, right))
-        if got is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            got = self.fits[left, right] = self.merge(left + right) == [left, right]
-        return got
-
-    def tokens(self, word: str) -> list[str]:
-        """The tokens of a word with one leading space mark at most, by backtracking."""
-        size = len(word)
-        if size == 1:
-            return [word]
-        lengths: list[list[int]] = [[] for _ in range(size)]
-        for end, length in self.automaton.iter(word):
-            lengths[end - length + 1].append(length)
-        failed = 0
-        out: list[str] = []
-        at = 0
-        choice = lengths[0][:] or [1]
-        pending = []
-        while at < size:
-            found = None
-            previous = out[-1] if out else None
-            while choice:
-                length = choice.pop()
-                token = word[at : at + length]
-                if failed >> (at + length) & 1 or not self.reachable(token):
-                    continue
-                if previous is None or self.compatible(previous, token):
-                    found = token
+    def joined(self, last: int, i: int) -> bool:
+        """Whether piece i may follow piece last, or start a word if last is negative."""
+        key = last * len(self.pieces) + i
+        fit = self.joins.get(key)
+        if fit is None:
+            if len(self.joins) >= PAIRS:
+                self.joins.clear()
+            token = self.pieces[i]
+            fit = self.joins[key] = self.reachable(token) and (last < 0 or self.merge(self.pieces[last] + token) == [self.pieces[last], token])
+        return fit
+
+    def tokens(self, word: str) -> list[int]:
+        """The pieces of a word with one leading space mark at most, by backtracking; a character
+        that no piece has is the complement of its code point and merges with nothing."""
+        size, sizes, shorter = len(word), self.sizes, self.shorter
+        best = [-1] * size
+        for end, i in self.automaton.iter(word):
+            best[end + 1 - sizes[i]] = i  # the longest match of a start comes last
+        out: list[int] = []
+        failed, at, last, i = 0, 0, -1, best[0]
+        while True:
+            while i >= 0:
+                if not failed >> (at + sizes[i]) & 1 and self.joined(last, i):
                     break
-            if found is None:
-                if not out:
-                    raise ValueError(f"no tokens for {word!r}")
-                failed |= 1 << at
-                at -= len(out.pop())
-                choice = pending.pop()
+                i = shorter[i]
+            if i >= 0 or best[at] < 0 and not failed >> at & 1:
+                if i < 0:
+                    i = ~ord(word[at])
+                out.append(i)
+                at += sizes[i] if i >= 0 else 1
+                if at == size:
+                    return out
+                last, i = max(i, -1), best[at]
                 continue
-            out.append(found)
-            pending.append(choice)
-            at += len(found)
-            if at < size:
-                choice = lengths[at][:] or [1]
-        return out
+            failed |= 1 << at
+            if not out:
+                raise ValueError(f"no tokens for {word!r}")
+            gone = out.pop()
+            at -= sizes[gone] if gone >= 0 else 1
+            last = max(out[-1], -1) if out else -1
+            if gone >= 0:
+                i = shorter[gone]
+            else:
+                i = -1
+                failed |= 1 << at
 
-    def _packed(self, tokens: list[str]) -> bytes:
+    def longest(self, word: str) -> list[int] | None:
+        """Ids of the longest matches from the left, if they cover the word and each is compatible
+        with its predecessor: then they are what backtracking would end with, at its first try."""
+        at, last, out = 0, -1, []
+        joins, sizes, count = self.joins, self.sizes, len(self.pieces)
+        for end, i in self.automaton.iter_long(word):
+            if end + 1 - sizes[i] != at:
+                return None
+            fit = joins.get(last * count + i)
+            if not (self.joined(last, i) if fit is None else fit):
+                return None
+            out.append(i)
+            last, at = i, end + 1
+        return out if at == len(word) else None
+
+    def _packed(self, tokens: list[int]) -> bytes:
         out = []
-        for t in tokens:
-            i = self.ids.get(t)
-            if i is None:
-                out += [self.pack(self.byte_ids[b]) for b in t.encode()]
-            else:
-                out.append(self.pack(i))
-        return b"".join(out)
+        for i in tokens:
+            out += [i] if i >= 0 else [self.byte_ids[b] for b in chr(~i).encode()]
+        return struct.pack(f"<{len(out)}I", *out)
 
     def word(self, word: str) -> bytes:
         """Packed ids of a space mark and the word, which has no space mark."""
@@ -217,13 +231,14 @@ class MergeModel:
         if got is None:
             if len(self.words) >= WORDS:
                 self.words.clear()
-            got = self.words[word] = self._packed(self.tokens(MARK + word) if word else [MARK])
+            ids = self.longest(MARK + word)
+            got = self.words[word] = self._packed(ids or self.tokens(MARK + word))
         return got
 
     def run(self, marks: int) -> bytes:
         """Packed ids of a run of space marks: equal scores, so the leftmost grows first."""
         full, rest = divmod(marks, self.longest_mark)
-        return self.pack(self.ids[MARK * self.longest_mark]) * full + self._packed(self.rests[rest])
+        return self.pack(self.ids[MARK * self.longest_mark]) * full + self._packed([self.ids[p] for p in self.rests[rest]])
 
     def spaced(self, marks: int, word: str) -> bytes:
         """Packed ids of a run of space marks with a word behind it. The run's own merges score
@@ -231,7 +246,7 @@ class MergeModel:
         if not word:
             return self.run(marks)
         tokens = self.tokens(MARK + word)
-        if tokens[0] == MARK:
+        if tokens[0] == self.ids[MARK]:
             return self.run(marks) + self._packed(tokens[1:])
         return self.run(marks - 1) + self._packed(tokens)
 
@@ -264,10 +279,25 @@ class MergeModel:
 
     def decode(self, ids) -> str:
         """Text of ids: begin and end ids vanish, the first space mark of the first piece with it."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
+        return self._text(b"".join(map(self.raw.__getitem__, ids))).decode()
+
+    def _text(self, raw: bytes) -> bytes:
         if self.dummy_prefix and raw.startswith(b" "):
             raw = raw[1:]
-        return raw.decode(errors="replace")
+        return raw.decode(errors="replace").encode()
+
+    def decode_all(self, packed: list[bytes]):
+        """UTF-8 of the text of each of the packed ids, taken piece by piece from one array."""
+        if self.raw_array is None:
+            self.raw_array = pa.array(self.raw, pa.binary())
+        ids = np.frombuffer(b"".join(packed), "<u4")
+        pieces = self.raw_array.take(pa.array(ids))
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data, at = memoryview(pieces.buffers()[2]) if len(ids) else b"", 0
+        for p in packed:
+            end = at + len(p) // 4
+            yield self._text(bytes(data[ends[at] : ends[end]]))
+            at = end
 
 
 _MODELS: dict[bytes, MergeModel] = {}
@@ -288,22 +318,17 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, keep_ids: b
     data = read_model(model_path or default_model())
 
     def run(batch):
-        import numpy as np
-
         model = model_of(data)
         bos, eos = model.pack(model.bos), model.pack(model.eos)
-        counts, ids_sha, text_sha, kept = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            packed = bos + model.encode_packed(text or "") + eos
-            ids = np.frombuffer(packed, "<u4").tolist()
-            counts.append(len(ids))
-            ids_sha.append(hashlib.sha256(packed).hexdigest())
-            text_sha.append(hashlib.sha256(model.decode(ids).encode()).hexdigest())
-            if keep_ids:
-                kept.append(ids)
-        out = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        packed = [bos + model.encode_packed(text or "") + eos for text in batch.column(1).to_pylist()]
+        counts = np.array([len(p) // 4 for p in packed], np.int64)
+        out = {
+            "doc_id": batch.column(0), "n_tokens": pa.array(counts), "ids_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in model.decode_all(packed)], pa.string()),
+        }
         if keep_ids:
-            out["ids"] = pa.array(kept, pa.list_(pa.int32()))
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
         return out
 
     return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, SCHEMA + ", ids array<int>" * keep_ids)
