@@ -108,7 +108,7 @@ class LanguageModel:
         start = 0
         while start < len(words):
             size, end = 0, start
-            while end < len(words) and (end == start or size < 400_000):
+            while end < len(words) and (end == start or size < 150_000):
                 size += len(words[end]) + 1
                 end += 1
             grams, letter[start:end], kind = gram_features(words[start:end])

@@ -18,36 +18,48 @@ from pyspark.sql import DataFrame
 
 from medloom.llm.common import arrow_map
 
+#: References: how such a sentence begins, and the names that may follow, by identifier.
+LEADS = ["licensed under", "released under", "distributed under", "available under", "provided under", *(f"this {x} is {v} under" for x in ("work", "project", "file", "software", "program", "document", "text", "code") for v in ("licensed", "released", "distributed"))]
+NAMES = {
+    "apache2_ref": ["apache license version 2 0", "apache license version 2 0 the license", "apache license 2 0", "apache 2 0 license"],
+    "mit_ref": ["mit license"],
+    "bsd_ref": ["bsd license", "bsd 2 clause license", "bsd 3 clause license"],
+    "gpl2_ref": ["gnu general public license version 2", "gnu gpl version 2", "gpl v2"],
+    "gpl3_ref": ["gnu general public license version 3", "gnu gpl version 3", "gpl v3"],
+    "lgpl3_ref": ["gnu lesser general public license version 3", "gnu lgpl version 3"],
+    "agpl3_ref": ["gnu affero general public license version 3", "gnu agpl version 3"],
+    "mpl2_ref": ["mozilla public license version 2 0", "mozilla public license v 2 0"],
+    "cc0_ref": ["cc0 1 0", "cc0 1 0 universal"],
+}
+#: Parts of the public licences for works, which go by short and long names and have versions.
+PARTS = {"by": "attribution", "nc": "noncommercial", "nd": "noderivatives", "sa": "sharealike"}
+WORKS = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]
+for _kind in WORKS:
+    _long = " ".join(PARTS[x] for x in _kind.split())
+    for _version in ("2 0", "3 0", "4 0"):
+        NAMES[f"cc_{_kind}_{_version}_ref".replace(" ", "_")] = [f"cc {_kind} {_version}", f"creative commons {_long} {_version}", f"creative commons {_long} {_version} international license", f"creative commons {_long} {_version} license"]
+
 #: Known sentences after normalising, by identifier.
 SENTENCES = {
-    "apache2_ref": [
-        "licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license", "this file is licensed under the apache license version 2 0",
-        "released under the apache license version 2 0", "this work is licensed under the apache license version 2 0",
-    ],
     "apache2_comply": ["you may not use this file except in compliance with the license"],
     "apache2_copy": ["you may obtain a copy of the license at http www apache org licenses license 2 0", "you may obtain a copy of the license at https www apache org licenses license 2 0"],
     "apache2_asis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
     "apache2_see": ["see the license for the specific language governing permissions and limitations under the license"],
-    "mit_ref": ["released under the mit license", "licensed under the mit license", "this work is licensed under the mit license", "this project is licensed under the mit license", "distributed under the mit license"],
     "mit_grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "mit_notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
     "mit_asis": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
-    "gpl2_ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2", "released under the gnu general public license version 2"],
-    "gpl3_ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
     "gpl_free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl_hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
-    "lgpl3_ref": ["licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3"],
     "bsd_grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd_source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd_binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "bsd_name": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
-    "bsd_ref": ["released under the bsd license", "licensed under the bsd license", "licensed under the bsd 3 clause license"],
-    "mpl2_ref": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0"],
-    "cc_by_ref": ["this work is licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0"],
-    "cc0_ref": ["this work is dedicated to the public domain", "licensed under cc0 1 0"],
+    "mpl2_form": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "public_domain": ["this work is dedicated to the public domain"],
     "copyright": ["copyright"],
     "reserved": ["all rights reserved"],
 }
+SENTENCES |= {i: [f"{lead} {the}{name}" for lead in LEADS for name in own for the in ("", "the ", "a ")] for i, own in NAMES.items()}
 #: Ordered rules: the licence that a run of identifiers names. Longer runs come first.
 RULES = [
     ("Apache-2.0", ("apache2_ref", "apache2_comply", "apache2_copy", "apache2_asis", "apache2_see")),
@@ -66,15 +78,18 @@ RULES = [
     ("GPL-3.0-or-later", ("gpl_free",)),
     ("LGPL-3.0", ("lgpl3_ref",)),
     ("BSD", ("bsd_ref",)),
+    ("AGPL-3.0", ("agpl3_ref",)),
     ("MPL-2.0", ("mpl2_ref",)),
-    ("CC-BY-4.0", ("cc_by_ref",)),
+    ("MPL-2.0", ("mpl2_form",)),
     ("CC0-1.0", ("cc0_ref",)),
+    ("Public-Domain", ("public_domain",)),
     ("Proprietary", ("reserved",)),
+    *((f"CC-{k.upper().replace(' ', '-')}-{v.replace(' ', '.')}", (f"cc_{k}_{v}_ref".replace(" ", "_"),)) for k in WORKS for v in ("2 0", "3 0", "4 0")),
 ]
 
 _END = re.compile(r"[.!?;:]+(?:[\"')\]]*)(?=\s|$)|\n+")
 #: A sentence without one of these can't be known.
-_HINT = re.compile(r"licen[sc]e|copyright|\(c\)|©|all rights|permission|redistribut|warrant|merchantab|public domain|endorse|free software|cc0|cc by", re.I)
+_HINT = re.compile(r"licen[sc]e|copyright|\(c\)|©|all rights|permission|redistribut|warrant|merchantab|public domain|endorse|free software|cc0|cc by|creative commons", re.I)
 _HOLDER = re.compile(r"^(?:copyright|\(c\)|©)(?:\s|\(c\)|©|copyright)*\s*[\d,\s-]*.*$", re.I | re.S)
 _OTHER = re.compile(r"[\W_]+")
 

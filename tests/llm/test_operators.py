@@ -408,3 +408,15 @@ def test_long_texts_are_parsed_in_stretches(monkeypatch):
     spread = lambda a, z, m: [x for f, t, k in zip(a, z, m) for x in [k] * (t - f + 1)]
     assert spread(lo, hi, lead) == spread(lo2, hi2, lead2) and len(lo2) >= len(lo)
     assert all(f <= k < f + pfp.LENGTH for f, k in zip(lo, lead))
+
+
+def test_items_of_common_words_are_found(spark):
+    rows = [(i, f"one two three four five six seven eight nine ten end{i}") for i in range(40)] + [(99, "three two one four five six seven eight nine ten")]
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontam.find(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()} == set(range(40))
+
+
+def test_public_licences_by_short_and_long_name(spark):
+    rows = [(1, "Licensed under CC BY-NC 4.0."), (2, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License."), (3, "Released under the GNU Affero General Public License, version 3.")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "CC-BY-NC-4.0", 2: "CC-BY-SA-3.0", 3: "AGPL-3.0"}
