@@ -6,6 +6,8 @@ gazetteer of diagnosis aliases and of drugs tags them, which is not the same as
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from medloom.functions import lexicon, text as T
@@ -120,17 +122,10 @@ def relabel(label: Column) -> Column:
 
 
 def chunks(text: str, most: int) -> list[tuple[int, str]]:
-    """Stretches of at most `most` characters for a model, cut behind the last full stop, with
-    their offsets."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + most)
-        stop = text.rfind(".", at, end)
-        if end < len(text) and stop > at:
-            end = stop + 1
-        out.append((at, text[at:end]))
-        at = end
-    return out
+    """Stretches of at most `most` characters for a model, with their offsets: the rest if it is
+    short enough, else up to the last full stop, else as many as fit."""
+    stretch = re.compile(rf"(?s).{{1,{most}}}\Z|.{{1,{most - 1}}}\.|.{{1,{most}}}")
+    return [(m.start(), m.group()) for m in stretch.finditer(text)]
 
 
 def tag_with(reports: DataFrame, load, most: int = 1500) -> DataFrame:
@@ -207,15 +202,17 @@ def recognise(reports: DataFrame, threshold: float = 0.5) -> DataFrame:
     drugs = F.filter(of_label(F.col("entities"), "DRUG"), lambda d: ~F.lower(d).isin(lexicon.NOT_DRUGS) & (F.length(d) > 2))
     return rows.select(
         "report_id", "text", "entities", of_label(F.col("entities"), "DISEASE").alias("diseases"), drugs.alias("drugs"), mentioned(c, lexicon.SYMPTOMS).alias("symptoms"),
-        mentioned(c, lexicon.PROCEDURES).alias("procedures"), of_label(F.col("entities"), "DATE").alias("dates"), medications(c).alias("medications"), labs(c).alias("labs"), vitals(c).alias("vitals"),
+        mentioned(c, lexicon.PROCEDURES).alias("procedures"), of_label(F.col("entities"), "BODY_PART").alias("body_parts"), of_label(F.col("entities"), "DATE").alias("dates"), medications(c).alias("medications"), labs(c).alias("labs"), vitals(c).alias("vitals"),
     )
 
 
-def summary(found: DataFrame) -> DataFrame:
+def summary(found: DataFrame, model: str = "gazetteer") -> DataFrame:
     """The display form of recognised reports as one JSON column."""
     own = F.struct(
-        F.slice("diseases", 1, 5).alias("diseases"), F.slice("symptoms", 1, 5).alias("symptoms"), F.slice("procedures", 1, 5).alias("procedures"), F.size("medications").alias("medications"),
-        F.size("labs").alias("labs"), F.size("entities").alias("entities"),
+        F.size("entities").alias("total_entities"), F.lit(model).alias("model_used"), F.col("diseases"), F.col("drugs"), F.slice("symptoms", 1, 5).alias("symptoms"), F.slice("procedures", 1, 5).alias("procedures"),
+        F.transform("medications", lambda m: F.struct(m["name"].alias("name"), m["dosage"].alias("dosage"), m["frequency"].alias("frequency"))).alias("medications_structured"),
+        F.transform("labs", lambda x: F.struct(x["test_name"].alias("test"), T.strip(F.concat_ws(" ", x["value"], x["unit"])).alias("value"))).alias("lab_values"),
+        F.map_from_entries(F.transform("vitals", lambda v: F.struct(v["vital"], v["value"]))).alias("vitals"),
     )
     return found.select("report_id", F.to_json(own).alias("summary"))
 

@@ -55,4 +55,7 @@ def process(reports: DataFrame, expand_abbreviations: bool = True, abbreviations
 def statistics(reports: DataFrame) -> DataFrame:
     """Display figures of processed reports."""
     clean = F.col("clean_text")
-    return process(reports).select("report_id", "word_count", "original_word_count", "abbreviations_expanded", F.size(sections(clean)).alias("section_count"), F.size(T.split_sentences(clean)).alias("sentence_count"), F.array_join(F.transform(sections(clean), lambda s: s["name"]), ",").alias("section_names"))
+    return process(reports).select(
+        "report_id", F.lit("text").alias("source_type"), "original_word_count", F.col("word_count").alias("cleaned_word_count"), F.transform(sections(clean), lambda s: s["name"]).alias("sections_detected"),
+        F.size(T.split_sentences(clean)).alias("sentence_count"), "abbreviations_expanded",
+    )

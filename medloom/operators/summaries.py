@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from medloom.functions import lexicon, text as T
 from medloom.operators.coding import literal
-from medloom.operators.sections import WHOLE, sections
+from medloom.operators.sections import sections
 
 
 def score(sentence: Column, position: Column, total: Column, section: Column) -> Column:
@@ -90,7 +92,7 @@ def summarise(found: DataFrame) -> DataFrame:
     words, own = T.count_words(F.col("text")), T.count_words(F.col("abstractive"))
     return rows.select(
         "report_id", "extractive", "abstractive", short(F.col("diseases"), F.col("symptoms"), F.col("medications"), F.col("abstractive")).alias("short"), words.alias("original_words"),
-        own.alias("summary_words"), F.coalesce(F.round(F.try_divide(own, words), 2), F.lit(0.0)).alias("compression"),
+        own.alias("summary_words"), F.coalesce(F.bround(F.try_divide(own, words), 2), F.lit(0.0)).alias("compression"),
     )
 
 
@@ -150,12 +152,29 @@ def simple_note(found: DataFrame, diagnoses: DataFrame, generated: str) -> DataF
     return rows.select("report_id", note.alias("note"))
 
 
+def statistics(summarised: DataFrame, sections_summarised: DataFrame, model: str = "extractive-only") -> DataFrame:
+    """Display figures of summaries. sections_summarised has report_id and sections."""
+    ratio = F.col("compression")
+    rows = summarised.join(sections_summarised, "report_id", "left")
+    return rows.select(
+        "report_id", "original_words", "summary_words", F.concat(F.round(ratio * 100).cast("int"), F.lit("%")).alias("compression_ratio"),
+        F.concat(((1 - ratio) * 100).cast("int"), F.lit("% shorter")).alias("compression_percent"), F.coalesce("sections", F.lit(0)).alias("sections_summarized"), F.lit(model).alias("model_used"),
+    )
+
+
+#: Heads of a note's blocks; lines with these marks are rules and banners.
+BLOCKS = ["[S] SUBJECTIVE", "[O] OBJECTIVE", "[A] ASSESSMENT", "[P] PLAN", "[SUMMARY]"]
+BANNERS = ["═", "─", "AUTO-GENERATED", "AI-GENERATED", "Generated:"]
+
+
 def note_blocks(notes: DataFrame) -> DataFrame:
-    """The blocks of rendered notes: report_id, block, body, without rules and banners."""
-    heads = F.regexp_extract_all("note", F.lit(r"(?m)^\[(S|O|A|P|SUMMARY)\].*$"), F.lit(1))
-    bodies = F.slice(F.split("note", r"(?m)^\[(?:S|O|A|P|SUMMARY)\].*$", -1), F.lit(2), F.size(heads))
-    clean = lambda b: T.strip(F.regexp_replace(F.regexp_replace(b, r"(?m)^(?:[=─]{5,}|⚠.*)$", ""), "\n{2,}", "\n"))
-    return notes.select("report_id", F.explode(F.zip_with(heads, bodies, lambda h, b: F.struct(h.alias("block"), clean(b).alias("body")))).alias("x")).select("report_id", "x.block", "x.body")
+    """The blocks of rendered notes: report_id, place, block, body, without rules and banners."""
+    head = r"(?m)^[ \t]*(" + "|".join(re.escape(b) for b in BLOCKS) + r").*$"
+    kept = F.filter(F.split("note", "\n"), lambda line: ~F.exists(F.array(*[F.lit(b) for b in BANNERS]), lambda b: F.contains(line, b)))
 
+    def blocks(text):
+        bodies = F.transform(F.split(text, head, -1), lambda b: F.regexp_replace(b, r"^\n|\n$", ""))
+        heads = F.regexp_extract_all(text, F.lit(head), F.lit(1))
+        return T.let(heads, lambda own: F.zip_with(own, F.slice(bodies, F.lit(2), F.size(own)), lambda h, b: F.struct(h.alias("block"), b.alias("body"))))
 
-WHOLE_SECTION = WHOLE
+    return notes.select("report_id", F.posexplode(T.let(F.array_join(kept, "\n"), blocks)).alias("place", "x")).select("report_id", "place", "x.block", "x.body")

@@ -137,7 +137,17 @@ def note_sentences(n: DataFrame) -> DataFrame:
     return S.sentence_rows(n)
 
 
-@on_notes("report_statistics", None)
+@on_notes(
+    "report_statistics",
+    f"SELECT report_id, 'text' AS source_type, original_word_count, {O.nwords('clean')}::INT AS cleaned_word_count, n.names AS sections_detected, len({O.sentences('clean')})::INT AS sentence_count, abbreviations_expanded FROM processed JOIN (SELECT report_id, list(name ORDER BY ord) AS names FROM psecs GROUP BY 1) n USING (report_id)",
+    {
+        "basic": f"SELECT report_id::VARCHAR AS report_id, text, {O.basic('text')} AS b FROM notes",
+        "processed": f"SELECT report_id, {O.normal(O.expanded('b'))} AS clean, {O.nwords('text')}::INT AS original_word_count, {O.expansions('b')}::INT AS abbreviations_expanded FROM basic",
+        "pheads": O.STEPS["heads"].replace("text", "clean").replace("FROM notes", "FROM processed"),
+        "ppairs": O.STEPS["pairs"].replace("heads", "pheads"), "pmerged": O.STEPS["merged"].replace("pairs", "ppairs"),
+        "psecs": "SELECT report_id, row_number() OVER (PARTITION BY report_id ORDER BY first) - 1 AS ord, name FROM pmerged UNION ALL SELECT report_id, 0, 'full_report' FROM pheads WHERE len(names) = 0",
+    },
+)
 def report_statistics(n: DataFrame) -> DataFrame:
     return S.statistics(n)
 
@@ -240,12 +250,20 @@ def entity_counts(n: DataFrame) -> DataFrame:
     return entities(n).groupBy("label", "source").agg(F.count("*").alias("n"), F.count_distinct("report_id").alias("reports"))
 
 
+_OWN = {
+    "d": "SELECT report_id, list(disease ORDER BY ord) AS l FROM diseases GROUP BY 1", "g": "SELECT report_id, list(drug ORDER BY seq) AS l FROM drugs GROUP BY 1",
+    "s": "SELECT report_id, list(symptom ORDER BY ord)[1:5] AS l FROM symptoms GROUP BY 1", "p": "SELECT report_id, list(procedure ORDER BY ord)[1:5] AS l FROM procs GROUP BY 1",
+    "m": "SELECT report_id, list({'name': name, 'dosage': dosage, 'frequency': frequency} ORDER BY seq) AS l FROM meds GROUP BY 1", "b": "SELECT report_id, list({'test': test_name, 'value': trim(value || ' ' || unit)} ORDER BY seq) AS l FROM labs GROUP BY 1",
+    "e": "SELECT report_id, count(*) AS l FROM ents GROUP BY 1",
+}
+
+
 @on_notes(
     "entity_summaries",
-    "SELECT n.report_id, to_json({'diseases': coalesce(d.l, []), 'symptoms': coalesce(s.l, []), 'procedures': coalesce(p.l, []), 'medications': coalesce(m.c, 0), 'labs': coalesce(b.c, 0), 'entities': coalesce(e.c, 0)})::VARCHAR AS summary FROM notes n"
-    " LEFT JOIN (SELECT report_id, list(disease ORDER BY ord)[1:5] AS l FROM diseases GROUP BY 1) d USING (report_id) LEFT JOIN (SELECT report_id, list(symptom ORDER BY ord)[1:5] AS l FROM symptoms GROUP BY 1) s USING (report_id)"
-    " LEFT JOIN (SELECT report_id, list(procedure ORDER BY ord)[1:5] AS l FROM procs GROUP BY 1) p USING (report_id) LEFT JOIN (SELECT report_id, count(*) AS c FROM meds GROUP BY 1) m USING (report_id)"
-    " LEFT JOIN (SELECT report_id, count(*) AS c FROM labs GROUP BY 1) b USING (report_id) LEFT JOIN (SELECT report_id, count(*) AS c FROM ents GROUP BY 1) e USING (report_id)",
+    "SELECT n.report_id, to_json({'total_entities': coalesce(e.l, 0), 'model_used': 'gazetteer', 'diseases': coalesce(d.l, []), 'drugs': coalesce(g.l, []), 'symptoms': coalesce(s.l, []), 'procedures': coalesce(p.l, []),"
+    " 'medications_structured': coalesce(m.l, []), 'lab_values': coalesce(b.l, []), 'vitals': map_from_entries(coalesce(v.l, []))})::VARCHAR AS summary FROM notes n"
+    + "".join(f" LEFT JOIN ({sql}) {a} USING (report_id)" for a, sql in _OWN.items())
+    + f" LEFT JOIN (SELECT report_id, list({{'k': vital, 'v': value}} ORDER BY o) AS l FROM ({' UNION ALL '.join(f'SELECT report_id, {i} AS o, {O.q(k)} AS vital, {O.strip(f'regexp_extract(text, {O.q(p)}, 1)')} AS value FROM notes' for i, (k, p) in enumerate(E.VITALS.items()))}) WHERE value <> '' GROUP BY 1) v USING (report_id)",
 )
 def entity_summaries(n: DataFrame) -> DataFrame:
     return E.summary(E.recognise(n))
@@ -306,11 +324,20 @@ def short_summaries(n: DataFrame) -> DataFrame:
     return U.summarise(E.recognise(n)).select("report_id", "short")
 
 
-@on_notes("compression", f"SELECT report_id, round({O.nwords('(' + _ABSTRACT + ')')}::DOUBLE / {O.nwords('text')}, 2) AS compression FROM extracts")
+@on_notes("compression", f"SELECT report_id, round_even({O.nwords('(' + _ABSTRACT + ')')}::DOUBLE / {O.nwords('text')}, 2) AS compression FROM extracts")
 def compression(n: DataFrame) -> DataFrame:
     return U.summarise(E.recognise(n)).select("report_id", "compression")
 
 
+@on_notes(
+    "summary_statistics",
+    "SELECT c.report_id, original_words, summary_words, round(compression * 100)::INT || '%' AS compression_ratio, trunc((1 - compression) * 100)::INT || '% shorter' AS compression_percent, sections AS sections_summarized, 'extractive-only' AS model_used FROM counted c JOIN (SELECT report_id, count(*)::INT AS sections FROM secsums GROUP BY 1) s USING (report_id)",
+    {"counted": f"SELECT report_id, {O.nwords('text')}::INT AS original_words, {O.nwords('(' + _ABSTRACT + ')')}::INT AS summary_words, round_even({O.nwords('(' + _ABSTRACT + ')')}::DOUBLE / {O.nwords('text')}, 2) AS compression FROM extracts"},
+)
+def summary_statistics(n: DataFrame) -> DataFrame:
+    return U.statistics(U.summarise(E.recognise(n)), n.select("report_id", F.size(U.section_summaries(F.col("text"))).alias("sections")))
+
+
 @on_notes("clinical_notes", None)
 def clinical_notes(n: DataFrame) -> DataFrame:
     return U.clinical_note(E.recognise(n), "2024-01-01 00:00")
@@ -471,6 +498,12 @@ def report_metrics(n: DataFrame) -> DataFrame:
     return rows.join(codes, "report_id", "left").withColumn("codes", F.coalesce("codes", F.lit(0)).cast("int"))
 
 
+@on_notes("tab_medications", "SELECT report_id, seq::INT AS seq, name, dosage FROM meds WHERE seq < 2")
+def tab_medications(n: DataFrame) -> DataFrame:
+    """The first medications of each report, as a tab shows them: two here, ten by default there."""
+    return n.select("report_id", F.posexplode(F.slice(E.medications(F.col("text")), 1, 2)).alias("seq", "m")).select("report_id", "seq", "m.name", "m.dosage")
+
+
 @on_notes("tab_entities", f"SELECT * FROM (SELECT report_id, label, etext AS text, row_number() OVER (PARTITION BY report_id, label ORDER BY seq)::INT AS place FROM ents) WHERE place <= 12")
 def tab_entities(n: DataFrame) -> DataFrame:
     """The first twelve entities of each label, as a tab shows them."""

@@ -204,7 +204,7 @@ def test_note_has_its_blocks(spark):
     reports = spark.createDataFrame([(1, "Chief Complaint: Cough.\nPlan: Aspirin 81 mg daily. Rest at home for days.")], "report_id int, text string")
     note = U.clinical_note(E.recognise(reports), "2024-01-01 00:00")
     assert "Generated: 2024-01-01 00:00" in note.first()["note"] and "Chief Complaint: Cough." in note.first()["note"]
-    assert [r["block"] for r in U.note_blocks(note).collect()] == ["S", "O", "A", "P", "SUMMARY"]
+    assert [r["block"] for r in U.note_blocks(note).collect()] == U.BLOCKS
 
 
 def test_empty_tables(spark):
