@@ -92,7 +92,7 @@ def summarise(found: DataFrame) -> DataFrame:
     words, own = T.count_words(F.col("text")), T.count_words(F.col("abstractive"))
     return rows.select(
         "report_id", "extractive", "abstractive", short(F.col("diseases"), F.col("symptoms"), F.col("medications"), F.col("abstractive")).alias("short"), words.alias("original_words"),
-        own.alias("summary_words"), F.coalesce(F.bround(F.try_divide(own, words), 2), F.lit(0.0)).alias("compression"),
+        own.alias("summary_words"), F.coalesce(F.rint(F.try_divide(own, words) * 100) / 100, F.lit(0.0)).alias("compression"),
     )
 
 
