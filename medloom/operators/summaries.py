@@ -173,7 +173,7 @@ def note_blocks(notes: DataFrame) -> DataFrame:
     kept = F.filter(F.split("note", "\n"), lambda line: ~F.exists(F.array(*[F.lit(b) for b in BANNERS]), lambda b: F.contains(line, b)))
 
     def blocks(text):
-        bodies = F.transform(F.split(text, head, -1), lambda b: F.regexp_replace(b, r"^\n|\n$", ""))
+        bodies = F.transform(F.split(text, head, -1), lambda b: F.regexp_replace(b, r"\A\n|\n\z", ""))
         heads = F.regexp_extract_all(text, F.lit(head), F.lit(1))
         return T.let(heads, lambda own: F.zip_with(own, F.slice(bodies, F.lit(2), F.size(own)), lambda h, b: F.struct(h.alias("block"), b.alias("body"))))
 

@@ -42,6 +42,8 @@ def on_documents(name: str, sql: str):
     return add
 
 
+_MAPPED = O.coding_steps("(SELECT disease AS diagnosis FROM diseases)") | {"matches": f"SELECT d.report_id, d.disease AS diagnosis, c.* EXCLUDE (diagnosis) FROM diseases d JOIN coded c ON c.diagnosis = d.disease WHERE length({O.strip('d.disease')}) >= 3"}
+
 # --- texts -----------------------------------------------------------------------------------
 
 
@@ -338,19 +340,78 @@ def summary_statistics(n: DataFrame) -> DataFrame:
     return U.statistics(U.summarise(E.recognise(n)), n.select("report_id", F.size(U.section_summaries(F.col("text"))).alias("sections")))
 
 
-@on_notes("clinical_notes", None)
+_BAR, _THIN = "=" * 65, "─" * 40
+_SIGNS = " UNION ALL ".join(f"SELECT report_id, {i} AS o, {O.q(k)} AS vital, {O.strip(f'regexp_extract(text, {O.q(p)}, 1)')} AS value FROM notes" for i, (k, p) in enumerate(E.VITALS.items()))
+_NOT_REAL = " OR ".join(f"contains(lower(disease), {O.q(w)})" for w in lexicon.NOT_DIAGNOSES)
+_SHORT = "(" + O.truncated("x.extractive", 120) + ")"
+_PARTS = {
+    "signs": f"SELECT report_id, string_agg('  • ' || vital || ': ' || value, chr(10) ORDER BY o) AS t FROM ({_SIGNS}) WHERE value <> '' GROUP BY 1",
+    "lablines": "SELECT report_id, string_agg('  • ' || test_name || ': ' || value || CASE WHEN unit <> '' THEN ' ' || unit ELSE '' END, chr(10) ORDER BY seq) AS t FROM labs WHERE seq < 8 GROUP BY 1",
+    "real": f"SELECT report_id, disease, ord, NOT ({_NOT_REAL}) AND {O.nwords('disease')} <= 6 AS yes, bool_or(NOT ({_NOT_REAL}) AND {O.nwords('disease')} <= 6) OVER (PARTITION BY report_id) AS any_real FROM diseases",
+    "shown": "SELECT report_id, disease, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS i FROM real WHERE yes OR NOT any_real AND ord <= 4",
+    "dxlines": "SELECT report_id, string_agg('  ' || i || '. ' || disease, chr(10) ORDER BY i) AS t FROM shown WHERE i <= 6 GROUP BY 1",
+    "medlines": "SELECT report_id, string_agg('  • ' || name || CASE WHEN dosage <> '' THEN ' ' || dosage ELSE '' END || CASE WHEN frequency <> '' THEN ' ' || frequency ELSE '' END || CASE WHEN route <> '' THEN ' (' || route || ')' ELSE '' END, chr(10) ORDER BY seq) AS t FROM meds WHERE seq < 8 GROUP BY 1",
+    "druglines": "SELECT report_id, string_agg('  • ' || drug, chr(10) ORDER BY seq) AS t FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY seq) AS i FROM drugs) WHERE i <= 8 GROUP BY 1",
+    "proclines": "SELECT report_id, string_agg('  • ' || procedure, chr(10) ORDER BY ord) AS t FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS i FROM procs) WHERE i <= 5 GROUP BY 1",
+    "firstsym": "SELECT report_id, array_to_string(list(symptom ORDER BY ord)[1:4], ', ') AS t FROM symptoms GROUP BY 1",
+    "bodies": f"SELECT n.report_id, any_value(body) FILTER (name = 'chief complaint') AS cc, coalesce(any_value(l) FILTER (name = 'history of present illness'), any_value(l) FILTER (name = 'hpi')) AS h, any_value(body) FILTER (name = 'vital signs') AS vs, coalesce(any_value(body) FILTER (name = 'assessment and plan'), any_value(body) FILTER (name = 'assessment')) AS ap FROM notes n LEFT JOIN seclists USING (report_id) GROUP BY 1",
+    "made": "SELECT x.report_id, concat_ws(chr(10), "
+    + ", ".join(
+        [
+            f"'{_BAR}'", "'         AUTO-GENERATED CLINICAL NOTE (AI-ASSISTED)'", "'         Generated: 2024-01-01 00:00'", f"'{_BAR}'", "chr(10) || '[S] SUBJECTIVE'", f"'{_THIN}'",
+            f"'Chief Complaint: ' || coalesce({O.strip('substr(b.cc, 1, 200)')}, fs.t, 'See original report')",
+            f"CASE WHEN len(b.h) > 0 THEN chr(10) || 'History: ' || ({O.truncated('array_to_string(b.h[1:3], chr(32))', 80)}) END",
+            "chr(10) || '[O] OBJECTIVE'", f"'{_THIN}'", f"coalesce('Vital Signs:' || chr(10) || si.t, 'Vitals: ' || {O.strip('substr(b.vs, 1, 150)')})", "chr(10) || 'Key Lab Values:' || chr(10) || la.t",
+            "chr(10) || '[A] ASSESSMENT'", f"'{_THIN}'", f"coalesce('Diagnoses:' || chr(10) || dx.t, ({O.truncated('b.ap', 100)}))", "chr(10) || '[P] PLAN'", f"'{_THIN}'", "'Medications:' || chr(10) || coalesce(me.t, dr.t)",
+            "chr(10) || 'Procedures:' || chr(10) || pr.t", f"CASE WHEN {_SHORT} <> '' THEN chr(10) || '[SUMMARY]' || chr(10) || '{_THIN}' || chr(10) || ({O.truncated(_SHORT, 80)}) END",
+            f"chr(10) || '{_BAR}'", "'⚠️  AI-GENERATED NOTE — Requires physician review before use'", "'⚠️  NOT for clinical decision-making without verification'", f"'{_BAR}'",
+        ]
+    )
+    + ") AS note FROM extracts x JOIN bodies b USING (report_id)"
+    + "".join(f" LEFT JOIN {t} {a} USING (report_id)" for a, t in (("si", "signs"), ("la", "lablines"), ("dx", "dxlines"), ("me", "medlines"), ("dr", "druglines"), ("pr", "proclines"), ("fs", "firstsym"))),
+}
+
+
+@on_notes("clinical_notes", "SELECT report_id, note FROM made", _PARTS)
 def clinical_notes(n: DataFrame) -> DataFrame:
     return U.clinical_note(E.recognise(n), "2024-01-01 00:00")
 
 
-@on_notes("simple_notes", None)
+_PLAIN_BAR = "=" * 60
+
+
+@on_notes(
+    "simple_notes",
+    "SELECT n.report_id, concat_ws(chr(10), "
+    + ", ".join(
+        [
+            f"'{_PLAIN_BAR}'", "'AUTO-GENERATED CLINICAL NOTE'", "'Generated: 2024-01-01 00:00'", f"'{_PLAIN_BAR}'", "chr(10) || 'PATIENT: N/A '", "chr(10) || 'CHIEF COMPLAINT:' || chr(10) || '  ' || s.t",
+            "chr(10) || 'ASSESSMENT / DIAGNOSES:' || chr(10) || d.t", "chr(10) || 'MEDICATIONS:' || chr(10) || m.t", "chr(10) || 'VITALS:' || chr(10) || v.t", f"chr(10) || '{_PLAIN_BAR}'",
+            "'⚠️  AI-GENERATED — Requires physician review before use'", f"'{_PLAIN_BAR}'",
+        ]
+    )
+    + f""") AS note FROM notes n LEFT JOIN (SELECT report_id, array_to_string(list(symptom ORDER BY ord)[1:3], ', ') AS t FROM symptoms GROUP BY 1) s USING (report_id)
+    LEFT JOIN (SELECT report_id, string_agg('  ' || i || '. ' || x, chr(10) ORDER BY i) AS t FROM (SELECT report_id, x, row_number() OVER (PARTITION BY report_id ORDER BY encode(x)) AS i FROM (SELECT report_id, diagnosis || '  ' || CASE WHEN icd_code <> '' THEN '[' || icd_code || ']' ELSE '' END AS x FROM matches)) GROUP BY 1) d USING (report_id)
+    LEFT JOIN (SELECT report_id, string_agg({O.strip("'  • ' || name || ' ' || dosage || ' ' || frequency")}, chr(10) ORDER BY seq) AS t FROM meds GROUP BY 1) m USING (report_id)
+    LEFT JOIN (SELECT report_id, string_agg('  ' || vital || ': ' || value, chr(10) ORDER BY o) AS t FROM ({_SIGNS}) WHERE value <> '' GROUP BY 1) v USING (report_id)""",
+    _MAPPED,
+)
 def simple_notes(n: DataFrame) -> DataFrame:
     found = E.recognise(n)
     own = C.map_reports(found).groupBy("report_id").agg(F.array_sort(F.collect_list(F.concat("diagnosis", F.lit("  "), F.when(F.col("icd_code") != "", F.concat(F.lit("["), "icd_code", F.lit("]"))).otherwise("")))).alias("coded"))
     return U.simple_note(found, own, "2024-01-01 00:00")
 
 
-@on_notes("note_blocks", None)
+@on_notes(
+    "note_blocks",
+    "SELECT report_id, (row_number() OVER (PARTITION BY report_id ORDER BY g) - 1)::INT AS place, any_value(head) AS block, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT is_head), '') AS body FROM grouped WHERE g > 0 GROUP BY report_id, g",
+    _PARTS
+    | {
+        "lines": "SELECT report_id, unnest(string_split(note, chr(10))) AS line, generate_subscripts(string_split(note, chr(10)), 1) AS k FROM made",
+        "useful": "SELECT *, " + " OR ".join(f"starts_with(trim(line), {O.q(b)})" for b in U.BLOCKS) + " AS is_head FROM lines WHERE NOT (" + " OR ".join(f"contains(line, {O.q(b)})" for b in U.BANNERS) + ")",
+        "grouped": "SELECT *, sum(is_head::INT) OVER (PARTITION BY report_id ORDER BY k) AS g, CASE WHEN is_head THEN trim(line) END AS head FROM useful",
+    },
+)
 def note_blocks(n: DataFrame) -> DataFrame:
     return U.note_blocks(clinical_notes(n))
 
@@ -449,7 +510,6 @@ for _layer_name, _f in (("exact", C.exact), ("fuzzy", C.fuzzy), ("semantic", C.s
 _code_query("code_lookup", "SELECT * FROM coded", C.coded)
 
 
-_MAPPED = O.coding_steps("(SELECT disease AS diagnosis FROM diseases)") | {"matches": f"SELECT d.report_id, d.disease AS diagnosis, c.* EXCLUDE (diagnosis) FROM diseases d JOIN coded c ON c.diagnosis = d.disease WHERE length({O.strip('d.disease')}) >= 3"}
 
 
 @on_notes("code_reports", "SELECT * FROM matches", _MAPPED)
