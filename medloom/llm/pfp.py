@@ -36,7 +36,7 @@ from medloom.llm.common import arrow_map, prepare
 LENGTH = 400
 #: Bytes of a hash, positions of which the least leads, and bytes of a text parsed at a time.
 GRAM = 8
-PARSED = 4 << 20
+PARSED = 1 << 20
 #: Windows of a rim phrase that are ranked together before they are ranked one by one.
 BLOCK = 16
 #: Hash buckets that documents with a rim fall in: at most so many rows are broadcast, to leave
@@ -217,12 +217,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = Fal
             n = 0
             size.append(len(data))
             if len(a):
-                edge = np.zeros(len(data) + 1, np.int64)
-                np.add.at(edge, a, 1)
-                np.add.at(edge, z, -1)
-                out = np.cumsum(edge[:-1]) > 0
-                n = int(np.count_nonzero(out[1:] & ~out[:-1]) + out[0])
-                data = np.frombuffer(data, np.uint8)[~out].tobytes()
+                # ranges that overlap or touch are one run; what lies between runs stays
+                order = np.argsort(a, kind="stable")
+                a, reach = a[order], np.maximum.accumulate(z[order])
+                new = np.flatnonzero(np.r_[True, a[1:] > reach[:-1]])
+                n = len(new)
+                ends = reach[np.r_[new[1:] - 1, len(a) - 1]]
+                view = memoryview(data)
+                data = b"".join(view[x:y] for x, y in zip([0, *ends.tolist()], [*a[new].tolist(), len(data)]))
             removed.append(size[-1] - len(data))
             spans.append(n)
             sha.append(hashlib.sha256(data).hexdigest())

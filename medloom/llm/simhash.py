@@ -17,6 +17,9 @@ with the same component. A null doc_id takes part but never names a component un
 
 from __future__ import annotations
 
+import re
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -27,22 +30,40 @@ from medloom.llm.graph import components
 WORDS, SEED, RADIUS, BITS = 3, 42, 3, 64
 HOT = 4096
 CHUNK = 1 << 15
+#: Bytes beyond which a text's words are read one after another.
+LONG = 4 << 20
+
+
+def stretches(data: bytes):
+    """The words of a text in lists of at most CHUNK, each with the last words of the one before it;
+    a long text is never split as a whole."""
+    if len(data) <= LONG:
+        words = data.split()
+        for start in range(0, max(1, len(words) - WORDS + 1), CHUNK):
+            yield words[start : start + CHUNK + WORDS - 1]
+        return
+    found = (m.group() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data))
+    own = list(islice(found, CHUNK + WORDS - 1))
+    while True:
+        yield own
+        more = list(islice(found, CHUNK))
+        if not more:
+            return
+        own = own[-(WORDS - 1) :] + more
 
 
 def fingerprint(text: str) -> int:
     """The fingerprint of a text, unsigned."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - WORDS + 1)
-    counts = np.zeros(BITS, np.int64)
-    for start in range(0, n, CHUNK):
-        own = words[start : start + CHUNK + WORDS - 1]
-        shingles = map(b" ".join, zip(own, own[1:], own[2:])) if len(words) >= WORDS else [b" ".join(own)]
+    counts, n = np.zeros(BITS, np.int64), 0
+    for own in stretches(text.encode().lower()):
+        if not own:
+            return 0
+        shingles = map(b" ".join, zip(own, own[1:], own[2:])) if len(own) >= WORDS else [b" ".join(own)]
         hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], "<u8")
         counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.uint32)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 

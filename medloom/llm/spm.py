@@ -19,6 +19,7 @@ outside the vocabulary become byte pieces.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 
 import numpy as np
@@ -31,6 +32,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Remembered words and pairs of one Python worker; the memory is emptied when it is full.
 WORDS, PAIRS = 300_000, 400_000
+#: Characters of a text that are encoded at a time.
+LONG = 2 << 20
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -254,7 +257,19 @@ class MergeModel:
         """Packed ids of text without begin and end ids."""
         if not text:
             return b""
-        parts = text.replace(MARK, " ").split(" ")
+        text = text.replace(MARK, " ")
+        if len(text) > LONG and self.dummy_prefix:
+            # a space between two other characters parts words, and the prefix stands for it
+            out, at = [], 0
+            for m in re.finditer(r"(?<=[^ ]) (?=[^ ])", text):
+                if m.start() - at >= LONG:
+                    out.append(self._words_packed(text[at : m.start()]))
+                    at = m.end()
+            return b"".join([*out, self._words_packed(text[at:])])
+        return self._words_packed(text)
+
+    def _words_packed(self, text: str) -> bytes:
+        parts = text.split(" ")
         head = b""
         if not self.dummy_prefix:
             first = parts.pop(0)

@@ -420,3 +420,14 @@ def test_public_licences_by_short_and_long_name(spark):
     rows = [(1, "Licensed under CC BY-NC 4.0."), (2, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License."), (3, "Released under the GNU Affero General Public License, version 3.")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {1: "CC-BY-NC-4.0", 2: "CC-BY-SA-3.0", 3: "AGPL-3.0"}
+
+
+def test_long_texts_in_stretches_are_whole(monkeypatch):
+    rng = random.Random(4)
+    model = spm.model_of(spm.read_model(spm.default_model()))
+    texts = ["".join(rng.choices("abc  def\n", k=3000)), "x" * 3000, " " * 3000, "a " * 900, "", "one", "a b", " ".join("word%d" % (i % 7) for i in range(700))]
+    plain = [(model.encode(t), simhash.fingerprint(t)) for t in texts]
+    monkeypatch.setattr(spm, "LONG", 100)
+    monkeypatch.setattr(simhash, "LONG", 100)
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    assert [(model.encode(t), simhash.fingerprint(t)) for t in texts] == plain
