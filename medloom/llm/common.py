@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from medloom.runtime import checkpoint_dir, ship, table
@@ -10,6 +12,8 @@ from medloom.runtime import checkpoint_dir, ship, table
 #: Rows and bytes of one Arrow batch: what bounds a Python worker's memory besides one text.
 BATCH_ROWS = 1500
 BATCH_BYTES = 12 << 20
+#: Bytes of texts that a function is given at a time; a longer text comes alone.
+SLICE_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -25,16 +29,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def slices(batch: pa.RecordBatch):
+    """The batch in stretches of at most SLICE_BYTES of strings, or of one row."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    ends, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow over df, where function takes a RecordBatch and returns a dict of columns or
-    None. It skips empty batches."""
+    """mapInArrow over df, where function takes a RecordBatch with rows and returns a dict of columns
+    or None. It gets bounded stretches of Spark's batches, so a worker's memory is bounded too."""
     prepare(df.sparkSession)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                out = function(batch)
+            for part in slices(batch):
+                out = function(part)
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
