@@ -151,6 +151,30 @@ def test_common_subsequence():
         assert decontam.common(decontam.places_of(a), len(a), b) == t[-1][-1]
 
 
+ITEM = "the grey heron waits beside a frozen canal until small silver fish rise toward the pale winter light"
+NEAR = "the grey heron waits beside a frozen canal until many silver fish rise toward the dim winter light"
+
+
+def filled(rng, before, item="", after=20):
+    return " ".join([*(f"w{rng.randint(0, 5000)}" for _ in range(before)), *item.split(), *(f"w{rng.randint(0, 5000)}" for _ in range(after))])
+
+
+def test_a_third_of_the_rows_may_be_copies(spark):
+    rng = random.Random(8)
+    copied = filled(rng, 20, ITEM)
+    rows = [(i, copied if i % 3 == 0 else filled(rng, 40)) for i in range(90)] + [(200, filled(rng, 15, NEAR)), (201, filled(rng, 3, NEAR, 50))]
+    bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    got = {r["doc_id"] for r in decontam.find(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    assert got == {*range(0, 90, 3), 200, 201}
+
+
+def test_near_copies_in_five_documents(spark):
+    rng = random.Random(9)
+    rows = [(i, filled(rng, 40)) for i in range(4)] + [(4, filled(rng, 15, NEAR))]
+    bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    assert {r["doc_id"] for r in decontam.find(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()} == {4}
+
+
 # --- languages -------------------------------------------------------------------------------
 
 
