@@ -41,6 +41,8 @@ SCRIPTS = [
 NAMES = ["none", "other", *dict.fromkeys(s[0] for s in SCRIPTS)]
 GRAMS, BITS = (2, 3, 4), 15
 BLOCK = 64
+#: Longer words are learned from in stretches of so many characters, as scripts without spaces have them.
+LONGEST = 64
 FLOOR = -8.0
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, n_spans bigint, spans string"
 
@@ -235,10 +237,9 @@ def learn(docs: DataFrame, rows_per_lang: int = 300, words_per_row: int = 3000,
     def words(batch):
         counts: dict[tuple[str, str], int] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = text.lower().split()
+            own = [w[a : a + LONGEST] for w in text.lower().split() for a in range(0, len(w), LONGEST)]
             for w in own[:: -(-len(own) // words_per_row) or 1]:
-                if len(w) <= 64:
-                    counts[lang, w] = counts.get((lang, w), 0) + 1
+                counts[lang, w] = counts.get((lang, w), 0) + 1
         return {"lang": pa.array([x for x, _ in counts], pa.string()), "word": pa.array([x for _, x in counts], pa.string()), "n": pa.array(counts.values(), pa.int64())} if counts else None
 
     got = arrow_map(sample, words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))

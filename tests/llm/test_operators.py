@@ -214,6 +214,14 @@ def test_mixed_text_has_spans_and_letterless_text_none(spark, docs):
     assert got[-4]["lang_pred"] in {"en", "fr", "de", "es"}
 
 
+def test_a_language_without_spaces_is_learned(spark, docs):
+    rng = random.Random(6)
+    clause = lambda: "".join(rng.choices("的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生", k=90)) + "。"
+    rows = [(-i, clause() + clause(), "zh" if i <= 30 else None, "s", 182) for i in range(1, 41)]
+    got = langid.identify(docs.union(spark.createDataFrame(rows, DOCS))).where("doc_id < 0").collect()
+    assert len(got) == 40 and all(r["lang_pred"] == "zh" and r["score"] > 0.9 for r in got)
+
+
 # --- tokens ----------------------------------------------------------------------------------
 
 
