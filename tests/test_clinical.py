@@ -228,3 +228,11 @@ def test_sources_and_sinks(spark, tmp_path):
     N.write_notes(spark.createDataFrame([("n",)], "note string"), str(tmp_path / "notes"))
     (tmp_path / "table.csv").write_text("zz,sleep\nzz,rest\n")
     assert lexicon.read_pairs(spark, str(tmp_path / "table.csv")) == {"zz": "rest"}
+
+
+def test_tables_are_whole():
+    from medloom.functions import lexicon
+
+    assert len(lexicon.ABBREVIATIONS) == 234 and len(lexicon.alias_codes()) == 296
+    assert lexicon.ABBREVIATIONS["mg"] == "milligrams" and lexicon.alias_codes()["urosepsis"] == "A41.51"
+    assert "n/v/d" in lexicon.ABBREVIATIONS and "brain attack" in lexicon.alias_codes()
