@@ -1,22 +1,30 @@
-"""Removal of repeated byte strings by prefix-free parsing, exact for strings of `length` bytes.
+"""Removal of repeated byte strings by prefix-free parsing, exact for strings of `length` bytes, and
+passages of `words` words that several documents share.
 
-A rolling hash of every few bytes triggers the cuts of the parse: each window of `length` bytes is
-led by the position of its least hash, so the cuts depend on content only and equal windows are
-led alike. The windows with one leader are a phrase of the dictionary: the leader and the bytes
+A rolling hash of every few symbols triggers the cuts of the parse: each window of `length` symbols
+is led by the position of its least hash, so the cuts depend on content only and equal windows are
+led alike. The windows with one leader are a phrase of the dictionary: the leader and the symbols
 that all of its windows cover (the core), and the phrase with its continuation in the parse (the
-context, up to the end of its last window). Corpus order is only needed up to equality of `length`
-bytes, so ranks of dictionary and parse are 128-bit hashes and sorting is Spark's own.
-
-1. Phrases whose core occurs once hold no repeat; they go after an aggregate over core hashes.
-2. Phrases with a whole context that occurs again are repeats in all of their windows.
-3. What is left are phrases at the rim of repeats, with known cores in new contexts. Their contexts
-   are cut out of the texts. Their suffixes, with what follows in the parse, are ranked in blocks of
-   BLOCK windows in the same way, and those of blocks that still have rivals one by one. A repeated
-   context with rivals sends one member, so copies aren't expanded.
-4. Texts and what is to go meet by document, and the kept bytes are joined.
+context, up to the end of its last window). Symbols are bytes, or words by their hashes; both kinds
+of phrases go through the same steps.
+
+1. Phrases whose core occurs once hold no repeat. Cores are counted; a bit map of fixed size tells
+   which may be shared, and other phrases never enter a shuffle.
+2. The parse: phrases whose whole context occurs again are repeats in all of their windows.
+3. The dictionary: what is left are phrases at the rim of repeats, with known cores in new contexts.
+   Distinct contexts are cut out of the texts and dealt by core. The suffix array of the contexts of
+   some cores is made by prefix doubling; neighbours in it that agree in `length` symbols are repeats.
+4. A core with more than CROWD contexts isn't gathered: its windows are counted by their hashes,
+   in blocks of BLOCK windows and then one by one. Nothing is dropped there.
+5. Texts and what is to go meet by document, and the kept bytes are joined. Texts that lose nothing
+   stay where they are read.
 
 Everything that can be hot (a core, a context or a window in very many documents) is counted with
-map-side combining and joined, never gathered. Hashes of 128 bits stand for the strings.
+map-side combining and joined, never gathered. Hashes of 128 bits stand for contexts and windows.
+
+A string of bytes repeats if it starts anywhere else, in the same document too. A passage of words
+(between ASCII white space) repeats if another document holds it: rows with equal doc_id and text
+are one document here.
 
 Edge cases: a null text is an empty text; texts under `length` bytes stay as they are; equal rows,
 repeated ones too, are separate documents with equal texts, so each loses what it shares with the
@@ -29,40 +37,71 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from medloom.llm.common import arrow_map, prepare
 
-LENGTH = 400
-#: Bytes of a hash, positions of which the least leads, and bytes of a text parsed at a time.
-GRAM = 8
+LENGTH, WORDS = 400, 51
+BYTE, WORD = 0, 1
+#: Symbols of a hash and bytes of a symbol, by kind; positions of a text parsed at a time.
+GRAM, WIDE = (8, 2), (1, 8)
 PARSED = 1 << 20
-#: Windows of a rim phrase that are ranked together before they are ranked one by one.
+#: Contexts of a core that are sorted together at most, and bytes of contexts sorted at a time.
+CROWD, SORTED = 1024, 2 << 20
+#: Windows of a crowded core's phrase that are ranked together before they are ranked one by one.
 BLOCK = 16
-#: Hash buckets that documents with a rim fall in: at most so many rows are broadcast, to leave
-#: most other texts out of a shuffle.
-BUCKETS = 1 << 20
-SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-
-
-def span(length: int) -> int:
-    """Positions among which a window's least hash is sought, about half of the window."""
-    return max(1, min(length - GRAM + 1, length * 12 // 25))
-
-
-def leaders(data: bytes, length: int = LENGTH):
-    """First and last window and leading position of each phrase of the parse, as arrays."""
-    n, wide = len(data), span(length)
+#: Bits of the maps of shared cores and of documents: their size is fixed, more bits leave more out.
+BITS = 1 << 26
+#: Bits of one row of a map, a property of Spark's own bit map functions.
+MAP_ROW = 1 << 15
+SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_words bigint"
+PHRASE = "kind int, k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo int, hi int, lead int"
+
+
+def span(length: int, kind: int = BYTE) -> int:
+    """Positions among which a window's least hash is sought: about half of the bytes, more of the words."""
+    return max(1, min(length - GRAM[kind] + 1, length * 12 // 25 if kind == BYTE else length * 5 // 8))
+
+
+def symbols(data: bytes, kind: int) -> bytes:
+    """The text as symbols: its bytes, or eight bytes for each word."""
+    if kind == BYTE:
+        return data
+    from xxhash import xxh3_64_intdigest
+
+    out, start = [], 0
+    while start < len(data):
+        end = start + PARSED
+        while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        out.append(np.fromiter(map(xxh3_64_intdigest, data[start:end].split()), np.uint64).tobytes())
+        start = end
+    return b"".join(out)
+
+
+def _triggers(part: bytes, kind: int) -> np.ndarray:
+    """The rolling hash at each position: high bits are the hash, low bits the position."""
+    if kind == BYTE:
+        h = np.ndarray((len(part) - GRAM[BYTE] + 1,), "<u8", part, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    else:
+        own = np.frombuffer(part, np.uint64)
+        h = (own[:-1] ^ (own[1:] << np.uint64(1)) ^ (own[1:] >> np.uint64(63))) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h &= np.uint64(0xFFFFFFFF00000000)
+    h |= np.arange(len(h), dtype=np.uint64)
+    return h
+
+
+def leaders(data: bytes, length: int = LENGTH, kind: int = BYTE):
+    """First and last window and leading position of each phrase of the parse of symbols, as arrays."""
+    size, wide = WIDE[kind], span(length, kind)
+    n = len(data) // size
     found = [[], [], []]
     for base in range(0, n - length + 1, PARSED):
-        part = data[base : base + PARSED + length - 1]
-        windows = len(part) - length + 1
-        grams = np.ndarray((len(part) - GRAM + 1,), "<u8", part, strides=(1,))
-        h = grams * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h &= np.uint64(0xFFFFFFFF00000000)
-        h |= np.arange(len(h), dtype=np.uint64)
+        part = data[base * size : (base + PARSED + length - 1) * size]
+        windows = len(part) // size - length + 1
+        h = _triggers(part, kind)
         least, have = h, 1
         while have * 2 <= wide:
             least = np.minimum(least[:-have], least[have:])
@@ -82,59 +121,125 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _hashed(view, cores, contexts):
-    """Hashes of byte ranges: 64 bits for cores, twice 64 for contexts."""
-    from xxhash import xxh3_64_intdigest, xxh3_128_digest
+def _wide_hashes(view, ranges, kind: int) -> np.ndarray:
+    """128-bit hashes of ranges of symbols, two numbers each."""
+    from xxhash import xxh3_128_digest
+
+    u = WIDE[kind]
+    return np.frombuffer(b"".join([xxh3_128_digest(view[a * u : z * u], kind) for a, z in ranges]), np.int64).reshape(-1, 2)
+
+
+def _hashes(view, ranges, kind: int) -> np.ndarray:
+    """64-bit hashes of ranges of symbols."""
+    from xxhash import xxh3_64_intdigest
+
+    u = WIDE[kind]
+    return np.array([xxh3_64_intdigest(view[a * u : z * u], kind) for a, z in ranges], np.uint64).view(np.int64)
+
 
-    key = np.array([xxh3_64_intdigest(view[a:z]) for a, z in cores], np.uint64).view(np.int64)
-    return key, np.frombuffer(b"".join([xxh3_128_digest(view[a:z]) for a, z in contexts]), np.int64).reshape(-1, 2)
+def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
+    """A map of BITS bits, those of the column's values set: BITS / 8 bytes, however many rows. The
+    driver gets its rows; it is what a broadcast holds."""
+    bit = F.pmod(F.col(column), F.lit(BITS))
+    rows = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    # buckets are numbered from one and a bit that a multiple of a row's bits names is the last of its bucket
+    out = np.zeros((BITS // MAP_ROW + 2, MAP_ROW // 8), np.uint8)
+    for r in rows.toLocalIterator():
+        own = np.frombuffer(r["bits"], np.uint8)
+        out[r["row"], : len(own)] = own
+    return out
 
 
-def _phrases(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each phrase: hash of its core, hash of its context, its document, its first and
-    last window and its leader."""
-    core = length - span(length) + 1
+def _place(values: np.ndarray):
+    """Row, byte and bit of values in a bit map, as Spark numbers them."""
+    bit = values.view(np.int64) % BITS
+    row = np.where(bit > 0, 1 + (bit - 1) // MAP_ROW, bit // MAP_ROW)
+    position = np.where(bit > 0, (bit - 1) % MAP_ROW, 0)
+    return row, position >> 3, (position & 7).astype(np.uint8)
+
+
+def in_map(shown: np.ndarray, values: np.ndarray) -> np.ndarray:
+    row, byte, bit = _place(values)
+    return (shown[row, byte] >> bit & 1).astype(bool)
+
+
+def _cores(named: DataFrame, lengths: tuple[int, int]) -> DataFrame:
+    """k, the hash of the core of each phrase."""
 
     def run(batch):
-        key, context, first, last, lead, sizes = [], [], [], [], [], []
-        for text in batch.column(2):
+        out = []
+        for text in batch.column(0):
             data = text.as_buffer().to_pybytes()
-            if len(data) < length:
-                sizes.append(0)
-                continue
-            lo, hi, m = leaders(data, length)
-            k, e = _hashed(memoryview(data), ((x, x + core) for x in m.tolist()), zip(lo.tolist(), (hi + length).tolist()))
-            key.append(k), context.append(e), first.append(lo), last.append(hi), lead.append(m), sizes.append(len(lo))
-        if not key:
+            for kind, length in enumerate(lengths):
+                own, core = symbols(data, kind), length - span(length, kind) + 1
+                if len(own) >= length * WIDE[kind]:
+                    out.append(_hashes(memoryview(own), ((x, x + core) for x in leaders(own, length, kind)[2].tolist()), kind))
+        return {"k": pa.array(np.concatenate(out))} if out else None
+
+    return arrow_map(named.select("text"), run, "k bigint")
+
+
+def _phrases(named: DataFrame, shared, lengths: tuple[int, int]) -> DataFrame:
+    """A row for each phrase that may have a shared core: its kind, hashes of core and context, its
+    document, its first and last window and its leader."""
+
+    def run(batch):
+        shown, out = shared.value, [[] for _ in range(8)]
+        d, h = (np.asarray(batch.column(i)) for i in (0, 1))
+        for i, text in enumerate(batch.column(2)):
+            data = text.as_buffer().to_pybytes()
+            for kind, length in enumerate(lengths):
+                own, core = symbols(data, kind), length - span(length, kind) + 1
+                if len(own) < length * WIDE[kind]:
+                    continue
+                view = memoryview(own)
+                lo, hi, lead = leaders(own, length, kind)
+                k = _hashes(view, ((x, x + core) for x in lead.tolist()), kind)
+                go = np.flatnonzero(in_map(shown, k))
+                if len(go):
+                    lo, hi, lead, k = lo[go], hi[go], lead[go], k[go]
+                    e = _wide_hashes(view, zip(lo.tolist(), (hi + length).tolist()), kind)
+                    n = len(go)
+                    for mine, x in zip(out, (np.full(n, kind, np.int32), k, e, np.full(n, d[i]), np.full(n, h[i]), lo, hi, lead)):
+                        mine.append(x)
+        if not out[0]:
             return None
-        both = np.concatenate(context)
-        ids = [np.repeat(np.asarray(batch.column(i)), sizes) for i in (0, 1)]
-        return {"k": pa.array(np.concatenate(key)), "e1": pa.array(both[:, 0]), "e2": pa.array(both[:, 1]), "d": pa.array(ids[0]), "h": pa.array(ids[1])} | {c: pa.array(np.concatenate(x).astype(np.int32)) for c, x in (("lo", first), ("hi", last), ("lead", lead))}
+        kind, k, e, d, h, lo, hi, lead = map(np.concatenate, out)
+        return {"kind": pa.array(kind), "k": pa.array(k), "e1": pa.array(e[:, 0]), "e2": pa.array(e[:, 1]), "d": pa.array(d), "h": pa.array(h)} | {c: pa.array(x.astype(np.int32)) for c, x in (("lo", lo), ("hi", hi), ("lead", lead))}
 
-    return arrow_map(docs.select("d", "h", "text"), run, "k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo int, hi int, lead int")
+    return arrow_map(named.select("d", "h", "text"), run, PHRASE).withColumn("ia", F.xxhash64("d", "h")).withColumn("ib", F.col("ia"))
+
+
+def _again(kind: Column, n: Column, first: Column, last: Column) -> Column:
+    """Whether what was counted repeats: bytes anywhere, words in two documents."""
+    return F.when(kind == WORD, first != last).otherwise(n > 1)
 
 
 def _judged(rows: DataFrame, n: int) -> DataFrame:
-    """d, h, lo, hi, lead of the rows whose core occurs again: `whole` if the context does too,
-    `rim` if the core has other contexts (one row of each context)."""
-    own = F.xxhash64("d", "h", "lo")
-    contexts = rows.groupBy("k", "e1", "e2").agg(F.count("*").alias("n"), F.min(own).alias("one"))
-    rivals = contexts.groupBy("k").agg(F.count("*").alias("kinds"))
-    known = contexts.join(rivals.repartition(n), "k").where("n > 1 or kinds > 1").repartition(n)
-    whole, rim = F.col("n") > 1, (F.col("kinds") > 1) & ((F.col("n") == 1) | (own == F.col("one")))
-    return rows.join(known, ["k", "e1", "e2"]).select("d", "h", "lo", "hi", "lead", whole.alias("whole"), rim.alias("rim")).checkpoint()
+    """The rows whose core occurs again: `whole` if the context repeats, `rim` if the core has other
+    contexts (of a context that repeats, one row, with the first and last of its documents)."""
+    own = F.xxhash64("d", "h", "lo", "lead")
+    contexts = rows.groupBy("kind", "k", "e1", "e2").agg(F.count("*").alias("n"), F.min(own).alias("one"), F.min("ia").alias("ia"), F.max("ib").alias("ib"))
+    contexts = contexts.withColumn("whole", _again(F.col("kind"), F.col("n"), F.col("ia"), F.col("ib")))
+    rivals = contexts.groupBy("kind", "k").agg(F.count("*").alias("kinds"))
+    known = contexts.join(rivals.repartition(n), ["kind", "k"]).where("whole or kinds > 1").repartition(n)
+    rim = (F.col("kinds") > 1) & (~F.col("whole") | (own == F.col("one")))
+    return rows.drop("ia", "ib").join(known, ["kind", "k", "e1", "e2"]).select("kind", "k", "d", "h", "lo", "hi", "lead", "ia", "ib", "kinds", "whole", rim.alias("rim")).checkpoint()
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed, for the way through a shuffle."""
+def _packed(docs: DataFrame, columns: tuple[str, ...], shown, wanted: bool = True) -> DataFrame:
+    """Compressed texts of the documents in (or not in) a bit map, for the way through a shuffle."""
 
     def run(batch):
         import zstandard
 
+        batch = batch.filter(pa.array(in_map(shown.value, np.asarray(batch.column(columns.index("h")))) == wanted))
+        if not batch.num_rows:
+            return None
         pack = zstandard.ZstdCompressor(level=3).compress
-        return {"doc_id": batch.column(0), "d": batch.column(1), "h": batch.column(2), "z": pa.array([pack(t.as_buffer().to_pybytes()) for t in batch.column(3)], pa.binary())}
+        return {c: batch.column(i) for i, c in enumerate(columns)} | {"z": pa.array([pack(t.as_buffer().to_pybytes()) for t in batch.column(len(columns))], pa.binary())}
 
-    return arrow_map(docs, run, "doc_id bigint, d bigint, h bigint, z binary")
+    return arrow_map(docs.select(*columns, "text"), run, ", ".join(f"{c} bigint" for c in columns) + ", z binary")
 
 
 def _unpack(data: bytes) -> bytes:
@@ -143,94 +248,212 @@ def _unpack(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """d, h, a, z: byte ranges that repeated strings of `length` bytes cover, several a document."""
-    prepare(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    named = _named(docs)
-    known = _phrases(named, length)
-    shared = known.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k").repartition(n)
-    phrases = _judged(known.join(shared, "k").checkpoint(), n)
-    rims = phrases.where("rim").groupBy("d", "h").agg(F.collect_set(F.struct("lo", "hi", "lead")).alias("rims"))
-
-    def cut_out(batch):
-        rows = [(d, h, r["lo"], r["hi"], r["lead"], data[r["lo"] : r["hi"] + length]) for d, h, z, rims in zip(*(batch.column(i).to_pylist() for i in range(4))) for data in [_unpack(z)] for r in rims]
-        return {c: pa.array(x, kind) for c, x, kind in zip(("d", "h", "lo", "hi", "lead", "context"), zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))}
-
-    rims = rims.checkpoint()
-    bucket = F.pmod("h", F.lit(BUCKETS)).alias("bucket")
-    some = named.join(F.broadcast(rims.select(bucket).distinct()), F.pmod("h", F.lit(BUCKETS)) == F.col("bucket"), "left_semi")
-    texts = _packed(some).join(rims.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "z", "rims")
-    context = arrow_map(texts, cut_out, "d bigint, h bigint, lo int, hi int, lead int, context binary").checkpoint()
+def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each suffix of a string of symbols, up to `length` symbols, by prefix doubling:
+    equal ranks are suffixes that neighbour each other in the suffix array and agree so far. Places
+    less than `length` before the end have none."""
+    if text.dtype == np.uint8 and length >= 8 and len(text) >= 8:
+        depth, keys = 8, np.ndarray((len(text) - 7,), ">u8", np.ascontiguousarray(text), strides=(1,)).astype(np.uint64)
+    else:
+        depth, keys = 1, text
+    rank = np.unique(keys, return_inverse=True)[1]
+    while depth < length:
+        step = min(depth, length - depth)
+        pair = rank[:-step] * np.int64(len(text) + 1) + rank[step:]
+        rank = np.unique(pair, return_inverse=True)[1]
+        depth += step
+    return rank
+
+
+def _sorted_repeats(rows: DataFrame, lengths: tuple[int, int], n: int) -> DataFrame:
+    """kind, d, h, a, z: ranges of symbols of the contexts' repeats, from the suffix arrays of the
+    contexts of whole cores, some at a time."""
+    dealt = rows.select("kind", "k", "d", "h", "lo", "hi", "ia", "ib", "context").repartition(n, "k").sortWithinPartitions("kind", "k")
+
+    def ranges(batch):
+        kinds, d, h, lo, hi, ia, ib = (np.asarray(batch.column(i)) for i in (0, 2, 3, 4, 5, 6, 7))
+        found: list[list] = [[], [], [], [], []]
+        for kind in np.unique(kinds).tolist():
+            own, length, u = np.flatnonzero(kinds == kind), lengths[kind], WIDE[kind]
+            texts = [batch.column(8)[int(i)].as_buffer().to_pybytes() for i in own]
+            starts = np.cumsum([0, *(len(t) // u for t in texts)])[:-1]
+            sizes = (hi[own] - lo[own] + 1).astype(np.int64)
+            of = np.repeat(np.arange(len(own)), sizes)
+            offset = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rank = suffix_ranks(np.frombuffer(b"".join(texts), np.uint64 if kind == WORD else np.uint8), length)[starts[of] + offset]
+            order = np.argsort(rank, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(rank[order]) > 0])
+            if kind == WORD:
+                again = np.minimum.reduceat(ia[own][of][order], cuts) != np.maximum.reduceat(ib[own][of][order], cuts)
+            else:
+                again = np.diff(np.r_[cuts, len(order)]) > 1
+            repeated = np.zeros(len(order), bool)
+            repeated[order] = np.repeat(again, np.diff(np.r_[cuts, len(order)]))
+            # neighbouring windows of one context are one range
+            at = np.flatnonzero(repeated)
+            if len(at):
+                new = np.r_[True, (np.diff(at) > 1) | (np.diff(of[at]) > 0)]
+                first, last = at[new], at[np.r_[new[1:], True]]
+                i = own[of[first]]
+                for mine, x in zip(found, (np.full(len(i), kind, np.int32), d[i], h[i], lo[i] + offset[first], lo[i] + offset[last] + length)):
+                    mine.append(x)
+        if not found[0]:
+            return None
+        kind, d, h, a, z = map(np.concatenate, found)
+        return pa.RecordBatch.from_pydict({"kind": pa.array(kind), "d": pa.array(d), "h": pa.array(h), "a": pa.array(a.astype(np.int32)), "z": pa.array(z.astype(np.int32))})
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(8).nbytes
+            if size < SORTED:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            k = np.asarray(whole.column(1))
+            done = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])
+            if done:
+                out = ranges(whole.slice(0, done))
+                if out is not None:
+                    yield out
+            held = [whole.slice(done)]
+            size = sum(len(x.as_buffer()) for x in held[0].column(8))
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+            out = ranges(whole[0]) if whole else None
+            if out is not None:
+                yield out
+
+    return dealt.mapInArrow(run, "kind int, d bigint, h bigint, a int, z int")
+
+
+def _crowded_repeats(rows: DataFrame, lengths: tuple[int, int], n: int) -> DataFrame:
+    """kind, d, h, a, z of the repeats in contexts of crowded cores, counted by hashes."""
 
     def blocks(batch):
-        d, h, lows, highs, leads, data = (batch.column(i).to_pylist() for i in range(6))
-        out = [[] for _ in range(8)]
-        for row in zip(d, h, lows, highs, leads, data):
-            lo, hi, lead, base = row[2], row[3], row[4], row[2]
+        out = [[] for _ in range(11)]
+        for kind, d, h, lo, hi, lead, ia, ib, data in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            length, size = lengths[kind], min(BLOCK, lengths[kind] // 2)
             # windows by their distance to the leader, in blocks of BLOCK
-            ends = [(max(lo, lead - j * BLOCK - BLOCK + 1), min(hi, lead - j * BLOCK), lead - j * BLOCK) for j in range((lead - hi) // BLOCK, (lead - lo) // BLOCK + 1)]
-            k, e = _hashed(memoryview(row[5]), ((t - base, t - BLOCK + 1 - base + length) for _, _, t in ends), ((a - base, z - base + length) for a, z, _ in ends))
-            for own, x in zip(out, (k, e[:, 0], e[:, 1], [row[0]] * len(ends), [row[1]] * len(ends), [a for a, _, _ in ends], [z for _, z, _ in ends], [lo] * len(ends))):
+            ends = [(max(lo, lead - j * size - size + 1), min(hi, lead - j * size), lead - j * size) for j in range((lead - hi) // size, (lead - lo) // size + 1)]
+            view = memoryview(data)
+            k = _hashes(view, ((t - lo, t - size + 1 - lo + length) for _, _, t in ends), kind)
+            e = _wide_hashes(view, ((a - lo, z - lo + length) for a, z, _ in ends), kind)
+            m = len(ends)
+            for own, x in zip(out, ([kind] * m, k, e[:, 0], e[:, 1], [d] * m, [h] * m, [a for a, _, _ in ends], [z for _, z, _ in ends], [lo] * m, [ia] * m, [ib] * m)):
                 own.extend(x)
-        return {c: pa.array(np.array(x, np.int32 if i > 4 else np.int64)) for i, (c, x) in enumerate(zip(("k", "e1", "e2", "d", "h", "lo", "hi", "lead"), out))}
+        names = ("kind", "k", "e1", "e2", "d", "h", "lo", "hi", "lead", "ia", "ib")
+        return {c: pa.array(np.array(x, np.int32 if c in ("kind", "lo", "hi", "lead") else np.int64)) for c, x in zip(names, out)}
 
-    parts = _judged(arrow_map(context, blocks, "k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo int, hi int, lead int").checkpoint(), n)
-    last = parts.where("rim").groupBy("d", "h", F.col("lead").alias("lo")).agg(F.collect_set(F.struct(F.col("lo").alias("a"), F.col("hi").alias("z"))).alias("blocks"))
+    columns = ("kind", "d", "h", "lo", "hi", "lead", "ia", "ib", "context")
+    parts = _judged(arrow_map(rows.select(*columns), blocks, PHRASE + ", ia bigint, ib bigint").checkpoint(), n)
+    block = F.struct(F.col("lo").alias("a"), F.col("hi").alias("z"), "ia", "ib")
+    last = parts.where("rim").groupBy("kind", "d", "h", F.col("lead").alias("lo")).agg(F.collect_set(block).alias("blocks"))
 
     def windows(batch):
-        from xxhash import xxh3_128_digest
-
-        digests, at, sizes = [], [], []
-        for lo, data, own in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-            view = memoryview(data)
+        digests, out = [], [[] for _ in range(6)]
+        for kind, d, h, lo, data, own in zip(*(batch.column(i).to_pylist() for i in range(6))):
             places = [p for b in own for p in range(b["a"], b["z"] + 1)]
-            digests += [xxh3_128_digest(view[p - lo : p - lo + length]) for p in places]
-            at += places
-            sizes.append(len(places))
-        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        ids = [np.repeat(np.asarray(batch.column(i)), sizes) for i in (0, 1)]
-        return {"w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1]), "d": pa.array(ids[0]), "h": pa.array(ids[1]), "p": pa.array(at, pa.int32())}
-
-    each = context.select("d", "h", "lo", "context").join(last.hint("shuffle_hash"), ["d", "h", "lo"])
-    ranked = arrow_map(each, windows, "w1 bigint, w2 bigint, d bigint, h bigint, p int").checkpoint()
-    again = ranked.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2").repartition(n)
-    single = ranked.join(again, ["w1", "w2"]).select("d", "h", F.col("p").alias("a"), (F.col("p") + length).alias("z"))
-    ranges = [x.where("whole").select("d", "h", F.col("lo").alias("a"), (F.col("hi") + length).alias("z")) for x in (phrases, parts)]
-    return ranges[0].union(ranges[1]).union(single)
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; the kept bytes themselves
-    as `kept` if keep_bytes."""
-    gone = repeats(docs, length).groupBy("d", "h").agg(F.collect_list(F.struct("a", "z")).alias("gone"))
-    texts = _packed(_named(docs)).join(gone.hint("shuffle_hash"), ["d", "h"], "left").select("doc_id", "z", "gone")
+            digests.append(_wide_hashes(memoryview(data), ((p - lo, p - lo + lengths[kind]) for p in places), kind))
+            m = len(places)
+            first, final = ([b[c] for b in own for _ in range(b["a"], b["z"] + 1)] for c in ("ia", "ib"))
+            for mine, x in zip(out, ([kind] * m, [d] * m, [h] * m, places, first, final)):
+                mine.extend(x)
+        both = np.concatenate(digests)
+        names = ("kind", "d", "h", "p", "ia", "ib")
+        return {"w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1])} | {c: pa.array(np.array(x, np.int32 if c in ("kind", "p") else np.int64)) for c, x in zip(names, out)}
+
+    each = rows.select("kind", "d", "h", "lo", "context").join(last.hint("shuffle_hash"), ["kind", "d", "h", "lo"])
+    ranked = arrow_map(each, windows, "w1 bigint, w2 bigint, kind int, d bigint, h bigint, p int, ia bigint, ib bigint").checkpoint()
+    counted = ranked.groupBy("kind", "w1", "w2").agg(F.count("*").alias("n"), F.min("ia").alias("ia"), F.max("ib").alias("ib"))
+    again = counted.where(_again(F.col("kind"), F.col("n"), F.col("ia"), F.col("ib"))).select("kind", "w1", "w2").repartition(n)
+    width = F.when(F.col("kind") == WORD, lengths[WORD]).otherwise(lengths[BYTE])
+    single = ranked.join(again, ["kind", "w1", "w2"]).select("kind", "d", "h", F.col("p").alias("a"), (F.col("p") + width).alias("z"))
+    return single.union(parts.where("whole").select("kind", "d", "h", F.col("lo").alias("a"), (F.col("hi") + width).alias("z")))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
+    """kind, d, h, a, z: ranges of bytes (kind 0) and of words (kind 1) that repeated strings cover,
+    several a document."""
+    spark = docs.sparkSession
+    prepare(spark)
+    n, lengths = int(spark.conf.get("spark.sql.shuffle.partitions")), (length, words)
+    named = _named(docs)
+    counts = _cores(named, lengths).groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    shared = spark.sparkContext.broadcast(bit_map(counts, "k"))
+    phrases = _judged(_phrases(named, shared, lengths).checkpoint(), n)
+    rims = phrases.where("rim")
+    width = F.when(F.col("kind") == WORD, words).otherwise(length)
+
+    def cut_out(batch):
+        rows = []
+        for d, h, z, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            data = _unpack(z)
+            texts = {kind: symbols(data, kind) for kind in {r["kind"] for r in own}}
+            for r in own:
+                u = WIDE[r["kind"]]
+                rows.append((r["kind"], r["k"], d, h, r["lo"], r["hi"], r["lead"], r["ia"], r["ib"], r["kinds"], texts[r["kind"]][r["lo"] * u : (r["hi"] + lengths[r["kind"]]) * u]))
+        names = ("kind", "k", "d", "h", "lo", "hi", "lead", "ia", "ib", "kinds", "context")
+        types = {"context": pa.binary()} | dict.fromkeys(("kind", "lo", "hi", "lead"), pa.int32())
+        return {c: pa.array(x, types.get(c, pa.int64())) for c, x in zip(names, zip(*rows))}
+
+    by_document = rims.groupBy("d", "h").agg(F.collect_set(F.struct("kind", "k", "lo", "hi", "lead", "ia", "ib", "kinds")).alias("rims"))
+    some = _packed(named, ("d", "h"), spark.sparkContext.broadcast(bit_map(rims, "h")))
+    texts = some.join(by_document.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "z", "rims")
+    context = arrow_map(texts, cut_out, "kind int, k bigint, d bigint, h bigint, lo int, hi int, lead int, ia bigint, ib bigint, kinds bigint, context binary").checkpoint()
+    whole = phrases.where("whole").select("kind", "d", "h", F.col("lo").alias("a"), (F.col("hi") + width).alias("z"))
+    return whole.union(_sorted_repeats(context.where(F.col("kinds") <= crowd), lengths, n)).union(_crowded_repeats(context.where(F.col("kinds") > crowd), lengths, n))
+
+
+def _runs(a: np.ndarray, z: np.ndarray):
+    """First and last places of the maximal runs that ranges cover; those that touch are one run."""
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(z[order])
+    new = np.flatnonzero(np.r_[True, a[1:] > reach[:-1]])
+    return a[new], reach[np.r_[new[1:] - 1, len(a) - 1]]
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, crowd: int = CROWD, keep_bytes: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the number of passages of at least
+    `words` words that other documents hold with the words they cover, of each row; the kept bytes
+    themselves as `kept` if keep_bytes."""
+    prepare(docs.sparkSession)
+    named = _named(docs)
+    found = repeats(docs, length, words, crowd).checkpoint()
+    gone = found.groupBy("d", "h").agg(F.collect_set(F.struct("kind", "a", "z")).alias("gone"))
+    shown = docs.sparkSession.sparkContext.broadcast(bit_map(found, "h"))
+    hit = _packed(named, ("doc_id", "d", "h"), shown).join(gone.hint("shuffle_hash"), ["d", "h"], "left").select("doc_id", "z", "gone")
+    schema = SCHEMA + ", kept binary" * keep_bytes
+
+    def shown_row(size, data, spans, passages, covered):
+        return (size, size - len(data), spans, hashlib.sha256(data).hexdigest(), passages, covered, *([data] if keep_bytes else []))
+
+    def columns(ids, rows):
+        names = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_words", "kept")
+        return {"doc_id": ids} | {c: pa.array(x, pa.binary() if c == "kept" else pa.string() if c == "kept_sha256" else pa.int64()) for c, x in zip(names, zip(*rows))}
+
+    def untouched(batch):
+        batch = batch.filter(pa.array(~in_map(shown.value, np.asarray(batch.column(1)))))
+        rows = [shown_row(len(data), data, 0, 0, 0) for t in batch.column(2) for data in [t.as_buffer().to_pybytes()]]
+        return columns(batch.column(0), rows) if rows else None
 
     def run(batch):
-        size, removed, spans, sha, kept = [], [], [], [], []
-        gone = batch.column(2)
-        at = np.asarray(gone.offsets) if len(gone) else []
-        first, last = np.asarray(gone.values.field(0)), np.asarray(gone.values.field(1))
+        rows, gone = [], batch.column(2)
+        at = np.asarray(gone.offsets)
+        kind, first, last = (np.asarray(gone.values.field(i)) for i in range(3))
         for i, packed in enumerate(batch.column(1).to_pylist()):
             data = _unpack(packed)
-            a, z = first[at[i] : at[i + 1]], last[at[i] : at[i + 1]]
-            n = 0
-            size.append(len(data))
-            if len(a):
-                # ranges that overlap or touch are one run; what lies between runs stays
-                order = np.argsort(a, kind="stable")
-                a, reach = a[order], np.maximum.accumulate(z[order])
-                new = np.flatnonzero(np.r_[True, a[1:] > reach[:-1]])
-                n = len(new)
-                ends = reach[np.r_[new[1:] - 1, len(a) - 1]]
-                view = memoryview(data)
-                data = b"".join(view[x:y] for x, y in zip([0, *ends.tolist()], [*a[new].tolist(), len(data)]))
-            removed.append(size[-1] - len(data))
-            spans.append(n)
-            sha.append(hashlib.sha256(data).hexdigest())
-            if keep_bytes:
-                kept.append(data)
-        out = {"doc_id": batch.column(0), "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return out | ({"kept": pa.array(kept, pa.binary())} if keep_bytes else {})
-
-    return arrow_map(texts, run, SCHEMA + ", kept binary" * keep_bytes)
+            size = len(data)
+            own, a, z = (x[at[i] : at[i + 1]] for x in (kind, first, last))
+            spans = passages = covered = 0
+            if (own == BYTE).any():
+                starts, ends = _runs(a[own == BYTE], z[own == BYTE])
+                spans, view = len(starts), memoryview(data)
+                data = b"".join(view[x:y] for x, y in zip([0, *ends.tolist()], [*starts.tolist(), size]))
+            if (own == WORD).any():
+                starts, ends = _runs(a[own == WORD], z[own == WORD])
+                passages, covered = len(starts), int((ends - starts).sum())
+            rows.append(shown_row(size, data, spans, passages, covered))
+        return columns(batch.column(0), rows)
+
+    return arrow_map(hit, run, schema).union(arrow_map(named.select("doc_id", "h", "text"), untouched, schema))

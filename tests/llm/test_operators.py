@@ -398,24 +398,40 @@ def test_templates_drop_all_but_the_first(spark):
 # --- repeats ---------------------------------------------------------------------------------
 
 
-def without_repeats(rows, length):
+def shared_passages(rows, words):
+    """Runs and words covered by strings of words that a row of another doc_id or text holds too."""
+    holders, split = defaultdict(set), [(d, t or "", (t or "").encode().split()) for d, t in rows]
+    for d, t, w in split:
+        for p in range(len(w) - words + 1):
+            holders[tuple(w[p : p + words])].add((d, t))
+    out = []
+    for _, _, w in split:
+        own = np.zeros(len(w) + 1, bool)
+        for p in range(len(w) - words + 1):
+            if len(holders[tuple(w[p : p + words])]) > 1:
+                own[p : p + words] = True
+        out.append((int((own[1:] & ~own[:-1]).sum() + own[0]), int(own.sum())))
+    return out
+
+
+def without_repeats(rows, length, words):
     counts, data = Counter(), [(t or "").encode() for _, t in rows]
     for b in data:
         counts.update(b[p : p + length] for p in range(len(b) - length + 1))
-    out = []
-    for (doc_id, _), b in zip(rows, data):
+    out, passages = [], shared_passages(rows, words)
+    for (doc_id, _), b, own in zip(rows, data, passages):
         gone = np.zeros(len(b) + 1, bool)
         for p in range(len(b) - length + 1):
             if counts[b[p : p + length]] > 1:
                 gone[p : p + length] = True
         gone = gone[: len(b)]
         spans = int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(b) else 0
-        out.append((doc_id, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+        out.append((doc_id, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest(), *own))
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("length", [400, 40])
-def test_repeats_by_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "words", "crowd"), [(400, 51, 1024), (40, 8, 1024), (40, 8, 3), (400, 51, 0)])
+def test_repeats_by_brute_force(spark, length, words, crowd):
     rng = random.Random(length)
     text = lambda n, own="abcé ": "".join(rng.choices(own, k=n))
     passages = [text(rng.randint(length, 3 * length)) for _ in range(4)]
@@ -427,8 +443,17 @@ def test_repeats_by_brute_force(spark, length):
             p = rng.choice(passages)
             own += text(rng.randint(0, 300)) + p[rng.randint(0, 40) : len(p) - rng.randint(0, 60)]
         rows.append((10 + k, own))
-    got = pfp.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), length)
-    assert rows_of(got) == without_repeats(rows, length)
+    got = pfp.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), length, words, crowd)
+    want = without_repeats(rows, length, words)
+    assert rows_of(got) == want and sum(w[5] for w in want) > 10
+
+
+def test_bit_maps_hold_their_values(spark):
+    rng = np.random.default_rng(3)
+    values = np.r_[rng.integers(-(1 << 63), 1 << 63, 3000), [0, 1, -1, pfp.BITS, pfp.BITS - 1, 32768, 32769, -(1 << 63)]]
+    shown = pfp.bit_map(spark.createDataFrame([(int(v),) for v in values], "k bigint"), "k")
+    assert pfp.in_map(shown, values).all()
+    assert pfp.in_map(shown, rng.integers(-(1 << 63), 1 << 63, 20_000)).mean() < 0.01
 
 
 def test_long_texts_are_parsed_in_stretches(monkeypatch):
