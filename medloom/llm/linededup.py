@@ -1,20 +1,25 @@
 """Line dedup through a log-template tree, with DataFrame functions only.
 
 A line's fields that hold a digit or an at sign are variable at once. The tree has a fixed depth:
-token count, then the leading tokens; a leaf holds the lines that share both. Where the lines of a
-leaf agree in at least `alike` of their positions, the positions that differ are variable too and
-the leaf is one template; else each masked line is a template of its own. A template that occurs
-in at least `least` documents recurs: its lines stay in the document with the smallest id that has
-it and are dropped elsewhere.
-
-Lines themselves aren't shuffled: hashes of leaf and masked line are, with the document's key.
-Token positions are looked at for leaves that recur and hold different lines only; a table of hash
-buckets of those leaves, of `buckets` rows at most, is broadcast to find them. Counts are combined
-on the map side, and what a hot template has to tell its lines is joined, so Spark can split it.
+token count, then the leading tokens; a leaf holds the masked lines that share both, and any number
+of templates. A token's support is in how many documents' lines of the leaf it is at its position.
+A line's own template has the support that `alike` of its positions reach; positions whose token has
+less than `share` of that are variable, the others are fixed. So lines of one template agree in what
+is fixed, whatever other lines the leaf holds and however many there are: all measures are ratios.
+
+A template recurs if at least `least` documents have it (a line of `long` tokens or more from
+`least_long` documents on). Its lines are dropped; with `keep_first` they stay in the document with
+the smallest id that has it.
+
+Lines themselves aren't shuffled: 128-bit hashes of masked lines are, with the document's key.
+Tokens are looked at for leaves that may hold templates of several lines only; a table of hash
+buckets of those leaves, of `buckets` rows at most, is broadcast to find them, and another one to
+leave the texts of documents that lose nothing out of the last shuffle. Counts are combined on the
+map side, and what a hot line has to tell its documents is joined, so Spark can split it.
 
 Edge cases: a null text is an empty text; blank lines are never templates and stay; rows with the
 same doc_id count as one document; a null doc_id counts as the smallest. A document whose lines
-all go keeps its row with an empty text.
+all go keeps its row with an empty text. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -23,7 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from medloom.llm.common import prepare
 
-LEADING, ALIKE, LEAST = 3, 0.7, 5
+LEADING, ALIKE, SHARE = 3, 0.7, 0.5
+LEAST, LONG, LEAST_LONG = 5, 50, 2
 BUCKETS = 1 << 20
 VARIABLE = r"\S*[0-9@]\S*"
 MASK = "<*>"
@@ -46,63 +52,95 @@ def _keyed(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """d, h, pos, own (the masked line), leaf and line (hashes) of each line that isn't blank."""
+    """d, h, pos, own (the masked line), n (its tokens), leaf (a hash), l1 and l2 (the line's hash)
+    of each line that isn't blank."""
     each = _keyed(docs).select(F.col("_d").alias("d"), F.col("_h").alias("h"), F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
-    each = each.select("d", "h", "pos", masked(F.col("line")).alias("own")).where("own <> ''")
-    return each.select("d", "h", "pos", "own", F.xxhash64(tokens(F.col("own")), F.substring_index("own", " ", LEADING)).alias("leaf"), F.xxhash64("own").alias("line"))
+    each = each.select("d", "h", "pos", masked(F.col("line")).alias("own")).where("own <> ''").withColumn("n", tokens(F.col("own")))
+    return each.select("d", "h", "pos", "own", "n", F.xxhash64("n", F.substring_index("own", " ", LEADING)).alias("leaf"), F.xxhash64("own").alias("l1"), F.xxhash64(F.lit("line"), "own").alias("l2"))
+
+
+def _bucket(column: str, buckets: int) -> Column:
+    return F.pmod(F.col(column), F.lit(buckets))
+
+
+def _templates(read: DataFrame, lines: DataFrame, enough: Column, alike: float, share: float, buckets: int, parts: int) -> DataFrame:
+    """l1, l2 and the template (t1, t2) of each line with positions that are variable in its leaf."""
+    leaves = lines.groupBy("leaf", "n").agg(F.sum("docs").alias("w"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("w") >= enough) & (F.col("n") > LEADING)).select("leaf").checkpoint()
+    near = leaves.select(_bucket("leaf", buckets).alias("bucket")).distinct()
+    own = read.select("leaf", "l1", "l2", "own").join(F.broadcast(near), _bucket("leaf", buckets) == F.col("bucket"), "left_semi")
+    own = own.groupBy("leaf", "l1", "l2").agg(F.min("own").alias("own")).join(lines.drop("first"), ["leaf", "l1", "l2"]).join(leaves.distinct().repartition(parts), "leaf", "left_semi")
+    place = own.select("leaf", "n", "l1", "l2", "docs", F.posexplode(F.split("own", " ")).alias("i", "token")).where(f"i >= {LEADING}").withColumn("token", F.xxhash64("token"))
+    support = place.groupBy("leaf", "i", "token").agg(F.sum("docs").alias("df")).repartition(parts)
+    each = place.join(support, ["leaf", "i", "token"]).groupBy("leaf", "n", "l1", "l2").agg(F.array_sort(F.collect_list(F.struct("i", "token", "df"))).alias("at"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(alike)).cast("int") - LEADING)
+    each = each.withColumn("typical", F.element_at(F.sort_array(F.transform("at", lambda x: x["df"]), asc=False), rank) * F.lit(share))
+    shape = F.transform("at", lambda x: F.when(x["df"] >= F.col("typical"), x["token"]))
+    each = each.withColumn("shape", shape).where(F.exists("shape", lambda t: t.isNull()))
+    # a null leaves a hash as it is, so the places of the fixed tokens are hashed along
+    fixed = F.filter(F.transform("shape", lambda t, i: F.struct(i, t.alias("t"))), lambda x: x["t"].isNotNull())
+    return each.select("l1", "l2", F.xxhash64("leaf", fixed).alias("t1"), F.xxhash64(F.lit("template"), "leaf", fixed).alias("t2"))
 
 
-def recurring(docs: DataFrame, least: int = LEAST, alike: float = ALIKE, buckets: int = BUCKETS) -> DataFrame:
+def recurring(docs: DataFrame, least: int = LEAST, least_long: int = LEAST_LONG, long: int = LONG, alike: float = ALIKE, share: float = SHARE, keep_first: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """d, h and pos of the lines to drop."""
     prepare(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    enough = F.when(F.col("n") >= long, least_long).otherwise(least)
     read = _lines(docs)
-    seen = read.select("d", "h", "pos", "leaf", "line").checkpoint()
-    per_leaf = seen.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("z"), F.count("*").alias("n")).where(f"a <> z and n >= {least}").select("leaf").checkpoint()
-    near = per_leaf.select(F.pmod("leaf", F.lit(buckets)).alias("bucket")).distinct()
-    mixed = read.select("leaf", "line", "own").join(F.broadcast(near), F.pmod(F.col("leaf"), F.lit(buckets)) == F.col("bucket"), "left_semi")
-    mixed = mixed.groupBy("leaf", "line").agg(F.min("own").alias("own")).join(per_leaf.repartition(n), "leaf")
-    place = mixed.select("leaf", F.posexplode(F.split("own", " ")).alias("i", "token"))
-    places = place.groupBy("leaf", "i").agg(F.min("token").alias("a"), F.max("token").alias("z"))
-    merged = places.groupBy("leaf").agg(F.avg((F.col("a") == F.col("z")).cast("double")).alias("alike")).where(F.col("alike") >= alike).select("leaf", F.lit(True).alias("merged"))
-    named = seen.join(merged.repartition(n), "leaf", "left").select("d", "h", "pos", "leaf", F.when(F.col("merged"), F.lit(0)).otherwise(F.col("line")).alias("line")).checkpoint()
-    documents = named.groupBy("leaf", "line", "d").agg(F.lit(1).alias("one"))
-    again = documents.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("d").alias("first")).where(F.col("n") >= least).select("leaf", "line", "first")
-    return named.join(again.repartition(n), ["leaf", "line"]).where("d <> first").select("d", "h", "pos")
-
-
-def drop_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), least: int = LEAST, alike: float = ALIKE) -> DataFrame:
-    """The columns, the text without its dropped lines, n_lines and n_dropped, for each row."""
+    seen = read.select("d", "h", "pos", "n", "leaf", "l1", "l2").checkpoint()
+    held = seen.groupBy("leaf", "n", "l1", "l2", "d").agg(F.lit(1).alias("one"))
+    lines = held.groupBy("leaf", "n", "l1", "l2").agg(F.count("*").alias("docs"), F.min("d").alias("first")).checkpoint()
+    shaped = _templates(read, lines, enough, alike, share, buckets, parts).checkpoint()
+    of = seen.select("n", "l1", "l2", "d").join(shaped.repartition(parts), ["l1", "l2"]).groupBy("n", "t1", "t2", "d").agg(F.lit(1).alias("one"))
+    templates = of.groupBy("n", "t1", "t2").agg(F.count("*").alias("docs"), F.min("d").alias("first")).where(F.col("docs") >= enough)
+    several = shaped.join(templates.repartition(parts), ["t1", "t2"]).select("l1", "l2", "first")
+    single = lines.where(F.col("docs") >= enough).join(shaped.select("l1", "l2"), ["l1", "l2"], "left_anti").select("l1", "l2", "first")
+    gone = seen.select("d", "h", "pos", "l1", "l2").join(several.union(single).repartition(parts), ["l1", "l2"])
+    return (gone.where("d <> first") if keep_first else gone).select("d", "h", "pos")
+
+
+def drop_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS, **rules) -> DataFrame:
+    """The columns, the text without its dropped lines, n_lines and n_dropped, for each row; rules
+    are those of `recurring`."""
     extra = tuple(c for c in columns if c != "text")
-    gone = recurring(docs, least, alike).groupBy("d", "h").agg(F.collect_set("pos").alias("gone"))
+    gone = recurring(docs, buckets=buckets, **rules).groupBy("d", "h").agg(F.collect_set("pos").alias("gone")).checkpoint()
+    near = F.broadcast(gone.select(_bucket("h", buckets).alias("_bucket")).distinct())
     own = gone.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    kept = _keyed(docs, extra).join(own.hint("shuffle_hash"), ["_d", "_h"], "left").withColumn("_lines", F.split("_text", "\n"))
+    keyed, here = _keyed(docs, extra), _bucket("_h", buckets) == F.col("_bucket")
+    lines = F.size(F.split("_text", "\n")).cast("bigint").alias("n_lines")
+    whole = keyed.join(near, here, "left_anti").select(*extra, F.col("_text").alias("text"), lines, F.lit(0).cast("bigint").alias("n_dropped"))
+    kept = keyed.join(near, here, "left_semi").join(own.hint("shuffle_hash"), ["_d", "_h"], "left").withColumn("_lines", F.split("_text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n"))
-    return kept.select(*extra, text.alias("text"), F.size("_lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped"))
+    return kept.select(*extra, text.alias("text"), F.size("_lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped")).union(whole)
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST, alike: float = ALIKE) -> DataFrame:
+def dedup_lines(docs: DataFrame, **rules) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256, the digest of the text that stays."""
-    found = drop_lines(docs, ("doc_id",), least, alike)
+    found = drop_lines(docs, ("doc_id",), **rules)
     return found.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def oracle(least: int = LEAST, alike: float = ALIKE) -> str:
+def oracle(least: int = LEAST, least_long: int = LEAST_LONG, long: int = LONG, alike: float = ALIKE, share: float = SHARE) -> str:
     """The same rows in DuckDB's SQL, on strings in place of hashes."""
-    lead = "array_to_string(string_split(own, ' ')[1:%d], ' ')" % LEADING
+    lead = f"array_to_string(string_split(own, ' ')[1:{LEADING}], ' ')"
+    enough = f"CASE WHEN n >= {long} THEN {least_long} ELSE {least} END"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, {NONE}) AS d, coalesce(text, '') AS text FROM documents),
 split AS (SELECT r, doc_id, d, text, string_split(text, chr(10)) AS lines FROM docs),
 each AS (SELECT r, d, u.pos, trim(u.line) AS line FROM split, (SELECT unnest(lines) AS line, generate_subscripts(lines, 1) AS pos) u),
 own AS (SELECT r, d, pos, regexp_replace(line, '{VARIABLE}', '{MASK}', 'g') AS own FROM each WHERE line <> ''),
 leaf AS (SELECT r, d, pos, own, length(own) - length(replace(own, ' ', '')) + 1 AS n, {lead} AS lead FROM own),
-place AS (SELECT n, lead, p.i, min(p.token) AS a, max(p.token) AS z FROM (SELECT DISTINCT n, lead, own FROM leaf), (SELECT unnest(string_split(own, ' ')) AS token, generate_subscripts(string_split(own, ' '), 1) AS i) p GROUP BY ALL),
-big AS (SELECT n, lead FROM leaf GROUP BY ALL HAVING count(*) >= {least} AND min(own) <> max(own)),
-merged AS (SELECT n, lead FROM place SEMI JOIN big USING (n, lead) GROUP BY ALL HAVING avg((a = z)::INT::DOUBLE) >= {alike}),
-named AS (SELECT r, d, pos, leaf.n, leaf.lead, CASE WHEN merged.n IS NULL THEN own END AS own FROM leaf LEFT JOIN merged ON leaf.n = merged.n AND leaf.lead = merged.lead),
-again AS (SELECT n, lead, own, min(d) AS first FROM named GROUP BY ALL HAVING count(DISTINCT d) >= {least}),
-gone AS (SELECT r, pos FROM named JOIN again ON named.n = again.n AND named.lead = again.lead AND named.own IS NOT DISTINCT FROM again.own WHERE d <> first),
+kind AS (SELECT n, lead, own, count(DISTINCT d) AS docs FROM leaf GROUP BY ALL),
+big AS (SELECT n, lead FROM kind WHERE n > {LEADING} GROUP BY ALL HAVING count(*) > 1 AND sum(docs) >= {enough}),
+place AS (SELECT n, lead, own, docs, p.i, p.token FROM (SELECT * FROM kind SEMI JOIN big USING (n, lead)), (SELECT unnest(string_split(own, ' ')) AS token, generate_subscripts(string_split(own, ' '), 1) AS i) p WHERE p.i > {LEADING}),
+support AS (SELECT n, lead, i, token, sum(docs) AS df FROM place GROUP BY ALL),
+line AS (SELECT n, lead, own, list(i ORDER BY i) AS i, list(token ORDER BY i) AS token, list(df ORDER BY i) AS df, list(df ORDER BY df DESC) AS most FROM place JOIN support USING (n, lead, i, token) GROUP BY ALL),
+shape AS (SELECT n, lead, own, list_transform(token, lambda t, k: CASE WHEN df[k] >= most[greatest(1, ceil(n * {alike}::DOUBLE)::INT - {LEADING})] * {share}::DOUBLE THEN t END) AS shape FROM line),
+shaped AS (SELECT n, lead, own, shape FROM shape WHERE len(list_filter(shape, lambda t: t IS NULL)) > 0),
+named AS (SELECT r, d, pos, leaf.n, leaf.lead, shape, CASE WHEN shape IS NULL THEN own END AS own FROM leaf LEFT JOIN shaped USING (n, lead, own)),
+again AS (SELECT n, lead, shape, own FROM named GROUP BY ALL HAVING count(DISTINCT d) >= {enough}),
+gone AS (SELECT r, pos FROM named JOIN again ON named.n = again.n AND named.lead = again.lead AND named.own IS NOT DISTINCT FROM again.own AND named.shape IS NOT DISTINCT FROM again.shape),
 by_row AS (SELECT r, list(pos) AS gone FROM gone GROUP BY r)
 SELECT doc_id, len(lines)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped,
   sha256(array_to_string(list_filter(lines, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), chr(10))) AS kept_sha256

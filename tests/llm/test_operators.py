@@ -389,10 +389,33 @@ def test_sql(spark, small, name):
 def test_templates_drop_all_but_the_first(spark):
     rows = [(k, f"alpha beta gamma id {k} went home\nuser{k}@x.org says hello to all\n\nown {'abcdefgh'[k]} zzz") for k in range(8)]
     rows += [(20 + k, f"the quick brown {w} jumps over the lazy dog today") for k, w in enumerate(["fox", "cow", "pig", "hen", "rat"])] + [(30 + k, f"the quick brown {w} is here") for k, w in enumerate("abcd")]
-    got = {r["doc_id"]: r for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in linededup.drop_lines(docs, keep_first=True).collect()}
     assert got[0]["text"] == rows[0][1] and got[3]["text"] == "\nown d zzz" and got[3]["n_dropped"] == 2
     assert got[20]["n_dropped"] == 0 and all(got[20 + k]["text"] == "" for k in range(1, 5))
     assert all(got[30 + k]["n_dropped"] == 0 for k in range(4))
+    got = {r["doc_id"]: r for r in linededup.drop_lines(docs).collect()}
+    assert got[0]["text"] == "\nown a zzz" and all(got[20 + k]["text"] == "" for k in range(5))
+    assert all(got[30 + k]["n_dropped"] == 0 for k in range(4))
+
+
+@pytest.mark.parametrize("size", [1, 10])
+def test_templates_are_found_among_other_lines(spark, size):
+    rng = random.Random(size)
+    word = lambda: "w%s" % "".join(rng.choices("abcdefgh", k=4))
+    body = [f"the user named {w} logged in from the main office near the river with success" for w in rng.sample([a + b for a in "bcdfghjkl" for b in "aeiouxyz"], 6 * size)]
+    other = [f"the user named {word()} " + " ".join(word() for _ in range(11)) for _ in range(8 * size)] + ["the user named aa logged in from a train and was asked for a pass"]
+    rows = list(enumerate(body + other))
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[i] for i in range(len(body))) >= 0.9 * len(body)
+    assert all(got[i] == 0 for i in range(len(body), len(rows)))
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    long = " ".join(f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(60))
+    rows = [(1, f"first own line\n{long}"), (2, f"{long}\nlast own line"), (3, "short line here"), (4, "short line here"), (4, "short line here"), (5, None)]
+    got = sorted((r["doc_id"], r["text"]) for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, "first own line"), (2, "last own line"), (3, "short line here"), (4, "short line here"), (4, "short line here"), (5, "")]
 
 
 # --- repeats ---------------------------------------------------------------------------------
