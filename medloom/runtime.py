@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,11 +35,46 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own setting, else one for local tests."""
+    """The shared folder for checkpoints, the cluster's own setting. Only a local master may go
+    without one, as in tests: it gets a temporary folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="medloom_checkpoint"))
     return sc.getCheckpointDir()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of any file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Tables written to the shared checkpoint folder and read again: they cut lineage, outlive lost
+    executors, and go at the end of the block. What leaves the block must not depend on them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        self.tables = 0
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        delete(self.spark, self.folder)
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        frame.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self, number: int) -> None:
+        """Remove the table kept as the number-th, once nothing reads it any more."""
+        delete(self.spark, f"{self.folder}/{number}")
