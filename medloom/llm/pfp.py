@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from medloom.llm.common import arrow_map, prepare
+from medloom.runtime import Scratch
 
 LENGTH, WORDS = 400, 51
 BYTE, WORD = 0, 1
@@ -55,7 +56,7 @@ BITS = 1 << 26
 #: Bits of one row of a map, a property of Spark's own bit map functions.
 MAP_ROW = 1 << 15
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_words bigint"
-PHRASE = "kind int, k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo int, hi int, lead int"
+PHRASE = "k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo int, hi int, lead int"
 
 
 def span(length: int, kind: int = BYTE) -> int:
@@ -130,11 +131,15 @@ def _wide_hashes(view, ranges, kind: int) -> np.ndarray:
 
 
 def _hashes(view, ranges, kind: int) -> np.ndarray:
-    """64-bit hashes of ranges of symbols."""
+    """64-bit hashes of ranges of symbols; the lowest bit is the kind."""
     from xxhash import xxh3_64_intdigest
 
     u = WIDE[kind]
-    return np.array([xxh3_64_intdigest(view[a * u : z * u], kind) for a, z in ranges], np.uint64).view(np.int64)
+    return np.array([xxh3_64_intdigest(view[a * u : z * u], kind) for a, z in ranges], np.uint64).view(np.int64) & -2 | kind
+
+
+def is_words() -> Column:
+    return F.col("k").bitwiseAND(F.lit(1)) == WORD
 
 
 def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
@@ -180,11 +185,11 @@ def _cores(named: DataFrame, lengths: tuple[int, int]) -> DataFrame:
 
 
 def _phrases(named: DataFrame, shared, lengths: tuple[int, int]) -> DataFrame:
-    """A row for each phrase that may have a shared core: its kind, hashes of core and context, its
-    document, its first and last window and its leader."""
+    """A row for each phrase that may have a shared core: hashes of core and context, its document,
+    its first and last window and its leader."""
 
     def run(batch):
-        shown, out = shared.value, [[] for _ in range(8)]
+        shown, out = shared.value, [[] for _ in range(7)]
         d, h = (np.asarray(batch.column(i)) for i in (0, 1))
         for i, text in enumerate(batch.column(2)):
             data = text.as_buffer().to_pybytes()
@@ -200,31 +205,32 @@ def _phrases(named: DataFrame, shared, lengths: tuple[int, int]) -> DataFrame:
                     lo, hi, lead, k = lo[go], hi[go], lead[go], k[go]
                     e = _wide_hashes(view, zip(lo.tolist(), (hi + length).tolist()), kind)
                     n = len(go)
-                    for mine, x in zip(out, (np.full(n, kind, np.int32), k, e, np.full(n, d[i]), np.full(n, h[i]), lo, hi, lead)):
+                    for mine, x in zip(out, (k, e, np.full(n, d[i]), np.full(n, h[i]), lo, hi, lead)):
                         mine.append(x)
         if not out[0]:
             return None
-        kind, k, e, d, h, lo, hi, lead = map(np.concatenate, out)
-        return {"kind": pa.array(kind), "k": pa.array(k), "e1": pa.array(e[:, 0]), "e2": pa.array(e[:, 1]), "d": pa.array(d), "h": pa.array(h)} | {c: pa.array(x.astype(np.int32)) for c, x in (("lo", lo), ("hi", hi), ("lead", lead))}
+        k, e, d, h, lo, hi, lead = map(np.concatenate, out)
+        return {"k": pa.array(k), "e1": pa.array(e[:, 0]), "e2": pa.array(e[:, 1]), "d": pa.array(d), "h": pa.array(h)} | {c: pa.array(x.astype(np.int32)) for c, x in (("lo", lo), ("hi", hi), ("lead", lead))}
 
-    return arrow_map(named.select("d", "h", "text"), run, PHRASE).withColumn("ia", F.xxhash64("d", "h")).withColumn("ib", F.col("ia"))
+    return arrow_map(named.select("d", "h", "text"), run, PHRASE)
 
 
-def _again(kind: Column, n: Column, first: Column, last: Column) -> Column:
+def _again(n: Column, first: Column, last: Column) -> Column:
     """Whether what was counted repeats: bytes anywhere, words in two documents."""
-    return F.when(kind == WORD, first != last).otherwise(n > 1)
+    return F.when(is_words(), first != last).otherwise(n > 1)
 
 
-def _judged(rows: DataFrame, n: int) -> DataFrame:
+def _judged(rows: DataFrame, n: int, ia: Column, ib: Column) -> DataFrame:
     """The rows whose core occurs again: `whole` if the context repeats, `rim` if the core has other
-    contexts (of a context that repeats, one row, with the first and last of its documents)."""
+    contexts (of a context that repeats, one row, with the first and last of its documents). A
+    context's hash tells its core too."""
     own = F.xxhash64("d", "h", "lo", "lead")
-    contexts = rows.groupBy("kind", "k", "e1", "e2").agg(F.count("*").alias("n"), F.min(own).alias("one"), F.min("ia").alias("ia"), F.max("ib").alias("ib"))
-    contexts = contexts.withColumn("whole", _again(F.col("kind"), F.col("n"), F.col("ia"), F.col("ib")))
-    rivals = contexts.groupBy("kind", "k").agg(F.count("*").alias("kinds"))
-    known = contexts.join(rivals.repartition(n), ["kind", "k"]).where("whole or kinds > 1").repartition(n)
+    contexts = rows.groupBy("e1", "e2").agg(F.min("k").alias("k"), F.count("*").alias("n"), F.min(own).alias("one"), F.min(F.when(is_words(), ia)).alias("ia"), F.max(F.when(is_words(), ib)).alias("ib"))
+    contexts = contexts.withColumn("whole", _again(F.col("n"), F.col("ia"), F.col("ib"))).drop("n")
+    rivals = contexts.groupBy("k").agg(F.count("*").alias("kinds"))
+    known = contexts.join(rivals.repartition(n), "k").where("whole or kinds > 1").drop("k").repartition(n)
     rim = (F.col("kinds") > 1) & (~F.col("whole") | (own == F.col("one")))
-    return rows.drop("ia", "ib").join(known, ["kind", "k", "e1", "e2"]).select("kind", "k", "d", "h", "lo", "hi", "lead", "ia", "ib", "kinds", "whole", rim.alias("rim")).checkpoint()
+    return rows.select("k", "e1", "e2", "d", "h", "lo", "hi", "lead").join(known, ["e1", "e2"]).select("k", "d", "h", "lo", "hi", "lead", "ia", "ib", "kinds", "whole", rim.alias("rim"))
 
 
 def _packed(docs: DataFrame, columns: tuple[str, ...], shown, wanted: bool = True) -> DataFrame:
@@ -266,16 +272,18 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
 
 
 def _sorted_repeats(rows: DataFrame, lengths: tuple[int, int], n: int) -> DataFrame:
-    """kind, d, h, a, z: ranges of symbols of the contexts' repeats, from the suffix arrays of the
+    """k, d, h, a, z: ranges of symbols of the contexts' repeats, from the suffix arrays of the
     contexts of whole cores, some at a time."""
-    dealt = rows.select("kind", "k", "d", "h", "lo", "hi", "ia", "ib", "context").repartition(n, "k").sortWithinPartitions("kind", "k")
+    dealt = rows.select("k", "d", "h", "lo", "hi", "ia", "ib", "context").repartition(n, "k").sortWithinPartitions("k")
 
     def ranges(batch):
-        kinds, d, h, lo, hi, ia, ib = (np.asarray(batch.column(i)) for i in (0, 2, 3, 4, 5, 6, 7))
+        k, d, h, lo, hi, ia, ib = (np.asarray(batch.column(i).fill_null(0)) for i in range(7))
         found: list[list] = [[], [], [], [], []]
-        for kind in np.unique(kinds).tolist():
-            own, length, u = np.flatnonzero(kinds == kind), lengths[kind], WIDE[kind]
-            texts = [batch.column(8)[int(i)].as_buffer().to_pybytes() for i in own]
+        for kind, length in enumerate(lengths):
+            own, u = np.flatnonzero(k & 1 == kind), WIDE[kind]
+            if not len(own):
+                continue
+            texts = [batch.column(7)[int(i)].as_buffer().to_pybytes() for i in own]
             starts = np.cumsum([0, *(len(t) // u for t in texts)])[:-1]
             sizes = (hi[own] - lo[own] + 1).astype(np.int64)
             of = np.repeat(np.arange(len(own)), sizes)
@@ -295,60 +303,60 @@ def _sorted_repeats(rows: DataFrame, lengths: tuple[int, int], n: int) -> DataFr
                 new = np.r_[True, (np.diff(at) > 1) | (np.diff(of[at]) > 0)]
                 first, last = at[new], at[np.r_[new[1:], True]]
                 i = own[of[first]]
-                for mine, x in zip(found, (np.full(len(i), kind, np.int32), d[i], h[i], lo[i] + offset[first], lo[i] + offset[last] + length)):
+                for mine, x in zip(found, (k[i], d[i], h[i], lo[i] + offset[first], lo[i] + offset[last] + length)):
                     mine.append(x)
         if not found[0]:
             return None
-        kind, d, h, a, z = map(np.concatenate, found)
-        return pa.RecordBatch.from_pydict({"kind": pa.array(kind), "d": pa.array(d), "h": pa.array(h), "a": pa.array(a.astype(np.int32)), "z": pa.array(z.astype(np.int32))})
+        return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(x).astype(np.int32 if c in "az" else np.int64)) for c, x in zip("kdhaz", found)})
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             held.append(batch)
-            size += batch.column(8).nbytes
+            size += batch.column(7).nbytes
             if size < SORTED:
                 continue
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            k = np.asarray(whole.column(1))
+            k = np.asarray(whole.column(0))
             done = int(np.flatnonzero(np.r_[True, k[1:] != k[:-1]])[-1])
             if done:
                 out = ranges(whole.slice(0, done))
                 if out is not None:
                     yield out
             held = [whole.slice(done)]
-            size = sum(len(x.as_buffer()) for x in held[0].column(8))
+            size = sum(len(x.as_buffer()) for x in held[0].column(7))
         if held:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()
             out = ranges(whole[0]) if whole else None
             if out is not None:
                 yield out
 
-    return dealt.mapInArrow(run, "kind int, d bigint, h bigint, a int, z int")
+    return dealt.mapInArrow(run, "k bigint, d bigint, h bigint, a int, z int")
 
 
-def _crowded_repeats(rows: DataFrame, lengths: tuple[int, int], n: int) -> DataFrame:
-    """kind, d, h, a, z of the repeats in contexts of crowded cores, counted by hashes."""
+def _crowded_repeats(rows: DataFrame, lengths: tuple[int, int], n: int, scratch: Scratch) -> DataFrame:
+    """k, d, h, a, z of the repeats in contexts of crowded cores, counted by hashes."""
 
     def blocks(batch):
-        out = [[] for _ in range(11)]
-        for kind, d, h, lo, hi, lead, ia, ib, data in zip(*(batch.column(i).to_pylist() for i in range(9))):
-            length, size = lengths[kind], min(BLOCK, lengths[kind] // 2)
+        out = [[] for _ in range(10)]
+        for k, d, h, lo, hi, lead, ia, ib, data in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            length, size = lengths[k & 1], min(BLOCK, lengths[k & 1] // 2)
             # windows by their distance to the leader, in blocks of BLOCK
             ends = [(max(lo, lead - j * size - size + 1), min(hi, lead - j * size), lead - j * size) for j in range((lead - hi) // size, (lead - lo) // size + 1)]
             view = memoryview(data)
-            k = _hashes(view, ((t - lo, t - size + 1 - lo + length) for _, _, t in ends), kind)
-            e = _wide_hashes(view, ((a - lo, z - lo + length) for a, z, _ in ends), kind)
+            own = _hashes(view, ((t - lo, t - size + 1 - lo + length) for _, _, t in ends), k & 1)
+            e = _wide_hashes(view, ((a - lo, z - lo + length) for a, z, _ in ends), k & 1)
             m = len(ends)
-            for own, x in zip(out, ([kind] * m, k, e[:, 0], e[:, 1], [d] * m, [h] * m, [a for a, _, _ in ends], [z for _, z, _ in ends], [lo] * m, [ia] * m, [ib] * m)):
-                own.extend(x)
-        names = ("kind", "k", "e1", "e2", "d", "h", "lo", "hi", "lead", "ia", "ib")
-        return {c: pa.array(np.array(x, np.int32 if c in ("kind", "lo", "hi", "lead") else np.int64)) for c, x in zip(names, out)}
+            for mine, x in zip(out, (own, e[:, 0], e[:, 1], [d] * m, [h] * m, [a for a, _, _ in ends], [z for _, z, _ in ends], [lo] * m, [ia or 0] * m, [ib or 0] * m)):
+                mine.extend(x)
+        names = ("k", "e1", "e2", "d", "h", "lo", "hi", "lead", "ia", "ib")
+        return {c: pa.array(np.array(x, np.int32 if c in ("lo", "hi", "lead") else np.int64)) for c, x in zip(names, out)}
 
-    columns = ("kind", "d", "h", "lo", "hi", "lead", "ia", "ib", "context")
-    parts = _judged(arrow_map(rows.select(*columns), blocks, PHRASE + ", ia bigint, ib bigint").checkpoint(), n)
-    block = F.struct(F.col("lo").alias("a"), F.col("hi").alias("z"), "ia", "ib")
-    last = parts.where("rim").groupBy("kind", "d", "h", F.col("lead").alias("lo")).agg(F.collect_set(block).alias("blocks"))
+    columns = ("k", "d", "h", "lo", "hi", "lead", "ia", "ib", "context")
+    pieces = scratch.keep(arrow_map(rows.select(*columns), blocks, PHRASE + ", ia bigint, ib bigint"))
+    parts = scratch.keep(_judged(pieces, n, F.col("ia"), F.col("ib")))
+    block = F.struct(F.col("lo").alias("a"), F.col("hi").alias("z"), F.coalesce("ia", F.lit(0)).alias("ia"), F.coalesce("ib", F.lit(0)).alias("ib"))
+    last = parts.where("rim").groupBy("d", "h", F.col("lead").alias("lo"), F.col("k").bitwiseAND(F.lit(1)).alias("kind")).agg(F.collect_set(block).alias("blocks"))
 
     def windows(batch):
         digests, out = [], [[] for _ in range(6)]
@@ -360,49 +368,58 @@ def _crowded_repeats(rows: DataFrame, lengths: tuple[int, int], n: int) -> DataF
             for mine, x in zip(out, ([kind] * m, [d] * m, [h] * m, places, first, final)):
                 mine.extend(x)
         both = np.concatenate(digests)
-        names = ("kind", "d", "h", "p", "ia", "ib")
-        return {"w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1])} | {c: pa.array(np.array(x, np.int32 if c in ("kind", "p") else np.int64)) for c, x in zip(names, out)}
+        names = ("k", "d", "h", "p", "ia", "ib")
+        return {"w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1])} | {c: pa.array(np.array(x, np.int32 if c == "p" else np.int64)) for c, x in zip(names, out)}
 
-    each = rows.select("kind", "d", "h", "lo", "context").join(last.hint("shuffle_hash"), ["kind", "d", "h", "lo"])
-    ranked = arrow_map(each, windows, "w1 bigint, w2 bigint, kind int, d bigint, h bigint, p int, ia bigint, ib bigint").checkpoint()
-    counted = ranked.groupBy("kind", "w1", "w2").agg(F.count("*").alias("n"), F.min("ia").alias("ia"), F.max("ib").alias("ib"))
-    again = counted.where(_again(F.col("kind"), F.col("n"), F.col("ia"), F.col("ib"))).select("kind", "w1", "w2").repartition(n)
-    width = F.when(F.col("kind") == WORD, lengths[WORD]).otherwise(lengths[BYTE])
-    single = ranked.join(again, ["kind", "w1", "w2"]).select("kind", "d", "h", F.col("p").alias("a"), (F.col("p") + width).alias("z"))
-    return single.union(parts.where("whole").select("kind", "d", "h", F.col("lo").alias("a"), (F.col("hi") + width).alias("z")))
+    each = rows.select(F.col("k").bitwiseAND(F.lit(1)).alias("kind"), "d", "h", "lo", "context").join(last.hint("shuffle_hash"), ["kind", "d", "h", "lo"])
+    ranked = scratch.keep(arrow_map(each, windows, "w1 bigint, w2 bigint, k bigint, d bigint, h bigint, p int, ia bigint, ib bigint"))
+    counted = ranked.groupBy("w1", "w2", "k").agg(F.count("*").alias("n"), F.min("ia").alias("ia"), F.max("ib").alias("ib"))
+    again = counted.where(_again(F.col("n"), F.col("ia"), F.col("ib"))).select("w1", "w2").repartition(n)
+    width = F.when(is_words(), lengths[WORD]).otherwise(lengths[BYTE])
+    single = ranked.join(again, ["w1", "w2"]).select("k", "d", "h", F.col("p").alias("a"), (F.col("p") + width).alias("z"))
+    return single.union(parts.where("whole").select("k", "d", "h", F.col("lo").alias("a"), (F.col("hi") + width).alias("z")))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
     """kind, d, h, a, z: ranges of bytes (kind 0) and of words (kind 1) that repeated strings cover,
-    several a document."""
+    several a document, as a checkpoint."""
+    prepare(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        found = _repeats(docs, (length, words), crowd, scratch)
+        return found.select(F.col("k").bitwiseAND(F.lit(1)).cast("int").alias("kind"), "d", "h", "a", "z").checkpoint()
+
+
+def _repeats(docs: DataFrame, lengths: tuple[int, int], crowd: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    prepare(spark)
-    n, lengths = int(spark.conf.get("spark.sql.shuffle.partitions")), (length, words)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = _named(docs)
     counts = _cores(named, lengths).groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     shared = spark.sparkContext.broadcast(bit_map(counts, "k"))
-    phrases = _judged(_phrases(named, shared, lengths).checkpoint(), n)
+    document = F.xxhash64("d", "h")
+    phrases = scratch.keep(_judged(scratch.keep(_phrases(named, shared, lengths)), n, document, document))
+    scratch.drop(1)
     rims = phrases.where("rim")
-    width = F.when(F.col("kind") == WORD, words).otherwise(length)
+    width = F.when(is_words(), lengths[WORD]).otherwise(lengths[BYTE])
 
     def cut_out(batch):
         rows = []
         for d, h, z, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
             data = _unpack(z)
-            texts = {kind: symbols(data, kind) for kind in {r["kind"] for r in own}}
+            texts = {kind: symbols(data, kind) for kind in {r["k"] & 1 for r in own}}
             for r in own:
-                u = WIDE[r["kind"]]
-                rows.append((r["kind"], r["k"], d, h, r["lo"], r["hi"], r["lead"], r["ia"], r["ib"], r["kinds"], texts[r["kind"]][r["lo"] * u : (r["hi"] + lengths[r["kind"]]) * u]))
-        names = ("kind", "k", "d", "h", "lo", "hi", "lead", "ia", "ib", "kinds", "context")
-        types = {"context": pa.binary()} | dict.fromkeys(("kind", "lo", "hi", "lead"), pa.int32())
+                kind = r["k"] & 1
+                u = WIDE[kind]
+                rows.append((r["k"], d, h, r["lo"], r["hi"], r["lead"], r["ia"], r["ib"], r["kinds"], texts[kind][r["lo"] * u : (r["hi"] + lengths[kind]) * u]))
+        names = ("k", "d", "h", "lo", "hi", "lead", "ia", "ib", "kinds", "context")
+        types = {"context": pa.binary()} | dict.fromkeys(("lo", "hi", "lead"), pa.int32())
         return {c: pa.array(x, types.get(c, pa.int64())) for c, x in zip(names, zip(*rows))}
 
-    by_document = rims.groupBy("d", "h").agg(F.collect_set(F.struct("kind", "k", "lo", "hi", "lead", "ia", "ib", "kinds")).alias("rims"))
+    by_document = rims.groupBy("d", "h").agg(F.collect_set(F.struct("k", "lo", "hi", "lead", "ia", "ib", "kinds")).alias("rims"))
     some = _packed(named, ("d", "h"), spark.sparkContext.broadcast(bit_map(rims, "h")))
     texts = some.join(by_document.hint("shuffle_hash"), ["d", "h"]).select("d", "h", "z", "rims")
-    context = arrow_map(texts, cut_out, "kind int, k bigint, d bigint, h bigint, lo int, hi int, lead int, ia bigint, ib bigint, kinds bigint, context binary").checkpoint()
-    whole = phrases.where("whole").select("kind", "d", "h", F.col("lo").alias("a"), (F.col("hi") + width).alias("z"))
-    return whole.union(_sorted_repeats(context.where(F.col("kinds") <= crowd), lengths, n)).union(_crowded_repeats(context.where(F.col("kinds") > crowd), lengths, n))
+    context = scratch.keep(arrow_map(texts, cut_out, "k bigint, d bigint, h bigint, lo int, hi int, lead int, ia bigint, ib bigint, kinds bigint, context binary"))
+    whole = phrases.where("whole").select("k", "d", "h", F.col("lo").alias("a"), (F.col("hi") + width).alias("z"))
+    return whole.union(_sorted_repeats(context.where(F.col("kinds") <= crowd), lengths, n)).union(_crowded_repeats(context.where(F.col("kinds") > crowd), lengths, n, scratch))
 
 
 def _runs(a: np.ndarray, z: np.ndarray):
@@ -419,7 +436,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, cr
     themselves as `kept` if keep_bytes."""
     prepare(docs.sparkSession)
     named = _named(docs)
-    found = repeats(docs, length, words, crowd).checkpoint()
+    found = repeats(docs, length, words, crowd)
     gone = found.groupBy("d", "h").agg(F.collect_set(F.struct("kind", "a", "z")).alias("gone"))
     shown = docs.sparkSession.sparkContext.broadcast(bit_map(found, "h"))
     hit = _packed(named, ("doc_id", "d", "h"), shown).join(gone.hint("shuffle_hash"), ["d", "h"], "left").select("doc_id", "z", "gone")
