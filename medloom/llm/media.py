@@ -137,13 +137,21 @@ def resolve(refs: DataFrame, media: DataFrame) -> DataFrame:
 
 
 def interleave(found: DataFrame, media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and items, each item with `media`, a struct of its resolved media's columns. Keys of
-    found must be unique; the array holds one page only."""
+    """key and items of each row of found, each item with `media`, a struct of its resolved media's
+    columns. A sequence is told by its key, null or not, and a hash of its items: rows with one key
+    and different items stay apart, equal rows give equal rows."""
     columns = [c for c in media.columns if c != "digest"]
-    items = found.select(key, F.explode("items").alias("item")).select(key, "item", F.col("item.digest").alias("digest"))
-    resolved = resolve(items, media).withColumn("media", F.when(F.col("item.kind") == "media", F.struct(*columns)))
-    ordered = resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("item.position").alias("position"), "item", "media"))).alias("items"))
-    return found.select(key).join(ordered, key, "left").select(key, F.coalesce("items", F.array()).alias("items"))
+    shown = F.to_json(F.struct("items"))
+    rows = found.select(F.col(key).alias("_key"), "items", F.xxhash64(shown).alias("_s1"), F.xxhash64(F.lit("items"), shown).alias("_s2"))
+    at = ["_key", "_s1", "_s2"]
+    each = rows.dropDuplicates(at).select(*at, F.explode("items").alias("item")).select(*at, "item", F.col("item.digest").alias("digest"))
+    renamed = media.select("digest", *[F.col(c).alias(f"_media_{i}") for i, c in enumerate(columns)])
+    payload = F.struct(*[F.col(f"_media_{i}").alias(c) for i, c in enumerate(columns)])
+    resolved = resolve(each, renamed).withColumn("media", F.when(F.col("item.kind") == "media", payload))
+    ordered = resolved.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct(F.col("item.position").alias("position"), "item", "media"))).alias("_items"))
+    ordered = ordered.select(*[F.col(c).alias(f"_o{c}") for c in at], "_items")
+    same = F.col("_key").eqNullSafe(F.col("_o_key")) & (F.col("_s1") == F.col("_o_s1")) & (F.col("_s2") == F.col("_o_s2"))
+    return rows.join(ordered, same, "left").select(F.col("_key").alias(key), F.coalesce("_items", F.array()).alias("items"))
 
 
 def pad(data: bytes) -> bytes:

@@ -67,14 +67,14 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a signed long, of each row."""
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and the long columns in carry, of each row."""
 
     def run(batch):
         fps = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64)
-        return {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))}
+        return {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))} | {c: batch.column(2 + i) for i, c in enumerate(carry)}
 
-    return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), run, "doc_id bigint, fp bigint")
+    return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text", *carry), run, "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in carry))
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -166,21 +166,37 @@ def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _components(rows: DataFrame, radius: int) -> DataFrame:
+    """fp and component (its smallest fingerprint) of each distinct fingerprint."""
+    prints = rows.select("fp").distinct()
+    found = components(links(prints, radius))
+    return prints.join(found, prints["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each row. Two documents of a
     component are joined by a chain of links; component_id is its smallest doc_id."""
     prepare(docs.sparkSession)
     rows = fingerprints(docs).checkpoint()
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(prints.select("fp"), radius))
-    rooted = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(_components(rows, radius), "fp")
+    named = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    of = rooted.join(named, "root").select("fp", "component_id").repartition(n)
+    of = rooted.join(named, "component").select("fp", "component_id").repartition(n)
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, columns: tuple[str, ...], radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id names their component, so one document of each group."""
-    keep = near_duplicates(docs, radius).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*columns).join(keep.hint("shuffle_hash"), "doc_id", "left_semi").select(*columns)
+    """One row of docs from each component: that of the smallest doc_id, a null one only where there
+    is no other. Rows are told apart by all of the columns, so rows with one doc_id and different
+    texts are judged each by itself, and of equal rows one stays."""
+    prepare(docs.sparkSession)
+    own = docs.select(*columns)
+    every = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    keyed = own.withColumn("_r1", F.xxhash64(*every)).withColumn("_r2", F.xxhash64(F.lit("row"), *every))
+    rows = fingerprints(keyed, ("_r1", "_r2")).checkpoint()
+    of = _components(rows, radius)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_r1", "_r2")
+    best = rows.groupBy("fp").agg(F.min(order).alias("o")).join(of, "fp").groupBy("component").agg(F.min("o").alias("o")).select("o._r1", "o._r2")
+    times = rows.groupBy("_r1", "_r2").agg(F.count("*").alias("_times"))
+    kept = keyed.join(best.join(times, ["_r1", "_r2"]).hint("shuffle_hash"), ["_r1", "_r2"])
+    return kept.where("_times = 1").select(*columns).union(kept.where("_times > 1").dropDuplicates(["_r1", "_r2"]).select(*columns))

@@ -89,6 +89,16 @@ def test_interleaving_keeps_order_and_captions(spark):
     assert media.load(media.store(media.pad(b"xyz"))) == b"xyz" + b" " * 189
 
 
+def test_interleaving_keeps_null_and_repeated_keys(spark):
+    rows = [(None, '<p>a<img src="sha256:q">'), (None, '<p>b<img src="sha256:z"><p>c'), (4, '<img src="sha256:q">'), (4, "<p>x"), (4, "<p>x"), (5, None)]
+    known = spark.createDataFrame([("q", b"1", "own"), ("z", b"2", None)], "digest string, payload binary, items string")
+    found = media.sequences(spark.createDataFrame(rows, "doc_id bigint, html string"))
+    got = [(r["doc_id"], [(x["item"]["text"], x["media"] and bytes(x["media"]["payload"])) for x in r["items"]]) for r in media.interleave(found, known).collect()]
+    want = [(None, [("a", None), (None, b"1")]), (None, [("b", None), (None, b"2"), ("c", None)]), (4, [(None, b"1")]), (4, [("x", None)]), (4, [("x", None)]), (5, [])]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert media.interleave(found.limit(0), known).count() == 0
+
+
 # --- personal data ---------------------------------------------------------------------------
 
 
@@ -329,6 +339,17 @@ def test_near_duplicates_by_brute_force(spark, docs):
     assert rows_of(simhash.near_duplicates(more)) == sorted(((d, f"{p:016x}", first[of[p]]) for d, p in prints), key=str)
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join("w%d" % rng.randint(0, 900) for _ in range(80))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(None, a, "s"), (None, a, "s"), (7, a, "s"), (7, a, "t"), (None, b, "s"), (None, b, "s"), (8, c, None), (8, c, None), (9, d, "s"), (9, text(), "s"), (None, None, None), (3, "", "s"), (None, text(), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.first_of_each(docs, ("doc_id", "text", "source")).collect())
+    assert got == sorted([(7, a), (0, b), (8, c), (9, d), (9, rows[9][1]), (3, ""), (0, rows[12][1])])
+    assert simhash.first_of_each(docs.limit(0), ("doc_id", "text", "source")).count() == 0
+
+
 @pytest.mark.parametrize("hot", [16, 4096])
 def test_crowded_buckets_lose_no_link(spark, hot):
     rng = np.random.default_rng(1)
