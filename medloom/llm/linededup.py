@@ -73,12 +73,12 @@ def _templates(read: DataFrame, lines: DataFrame, enough: Column, alike: float,
     support = place.groupBy("leaf", "i", "token").agg(F.sum("docs").alias("df")).repartition(parts)
     each = place.join(support, ["leaf", "i", "token"]).groupBy("leaf", "n", "l1", "l2").agg(F.array_sort(F.collect_list(F.struct("i", "token", "df"))).alias("at"))
     rank = F.greatest(F.lit(1), F.ceil(F.col("n") * F.lit(alike)).cast("int") - LEADING)
-    each = each.withColumn("typical", F.element_at(F.sort_array(F.transform("at", lambda x: x["df"]), asc=False), rank) * F.lit(share))
-    shape = F.transform("at", lambda x: F.when(x["df"] >= F.col("typical"), x["token"]))
-    each = each.withColumn("shape", shape).where(F.exists("shape", lambda t: t.isNull()))
-    # a null leaves a hash as it is, so the places of the fixed tokens are hashed along
-    fixed = F.filter(F.transform("shape", lambda t, i: F.struct(i, t.alias("t"))), lambda x: x["t"].isNotNull())
-    return each.select("l1", "l2", F.xxhash64("leaf", fixed).alias("t1"), F.xxhash64(F.lit("template"), "leaf", fixed).alias("t2"))
+    each = each.withColumn("most", F.sort_array(F.transform("at", lambda x: x["df"]), asc=False))
+    each = each.where(F.element_at("most", -1) < F.element_at("most", rank) * F.lit(share))
+    # bound once for all positions of the line
+    own = F.transform(F.array(F.struct("at", (F.element_at("most", rank) * F.lit(share)).alias("typical"))), lambda s: F.filter(s["at"], lambda x: x["df"] >= s["typical"]))
+    fixed = F.transform(F.element_at(own, 1), lambda x: F.struct(x["i"], x["token"]))
+    return each.select("leaf", "l1", "l2", fixed.alias("fixed")).select("l1", "l2", F.xxhash64("leaf", "fixed").alias("t1"), F.xxhash64(F.lit("template"), "leaf", "fixed").alias("t2"))
 
 
 def recurring(docs: DataFrame, least: int = LEAST, least_long: int = LEAST_LONG, long: int = LONG, alike: float = ALIKE, share: float = SHARE, keep_first: bool = False, buckets: int = BUCKETS) -> DataFrame:
