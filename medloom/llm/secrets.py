@@ -1,21 +1,25 @@
 """Secret scans with SQL functions only.
 
 Three patterns give the base spans. Besides them, each run of at least `window` token characters
-is a candidate; a window slides over it and the counts of its characters are kept up to date, one
-character out and one in, which gives each window's Shannon entropy. A candidate is a secret if
-its greatest entropy reaches its character class's threshold, unless the allow-list names it or a
-base span overlaps it.
+outside an assignment is a candidate. A window slides over it: one character comes in and one goes
+out, and only their two counts change the sum that gives the window's Shannon entropy. This is done
+per character class: for the candidate as a whole if it holds letters and digits, and for each run
+of hexadecimal characters in it. A candidate is a secret if a window of a class reaches the class's
+threshold, unless the allow-list names it or it holds a base span.
 
 Positions come from the pieces between matches: both functions cut at the same matches, so
-lengths of pieces and matches add up to code point offsets.
+lengths of pieces and matches add up to code point offsets. Sums run over stretches of STRETCH
+matches, so the work stays in proportion to a text with very many of them.
 
 Edge cases: a null or empty text has no span and the digest of the empty string; repeated rows
-give repeated results; other columns are ignored. Spans that start together are ordered as kinds
-are listed.
+give repeated results; an empty table gives none; other columns, whatever their names, are ignored.
+Spans that start together are ordered as kinds are listed.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -25,63 +29,80 @@ HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Candidates are looked for outside assignments, which start a match before them.
+SCAN = f"(?:{ASSIGN})|{CANDIDATE}"
+HEX_RUN = r"[0-9A-Fa-f]{20,}"
 #: Least entropy in bits of a window of hexadecimal and of other token characters.
 HEX_BITS, TOKEN_BITS = 3.0, 3.85
-HEX_CLASS = r"^[0-9A-Fa-f]+$"
-TOKEN_CLASS = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]"
 #: Candidates that look like these are known not to be secrets.
 ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|redacted|x{6}|0123456789|1234567890|abcdefgh|qwerty|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Matches whose places are summed up together.
+STRETCH = 256
 
 SPAN = "struct<start:int,kind:int,end:int,hit:string>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """Spans of the matches of a pattern, in order; the text is scanned once if there are none."""
     none = F.array().cast(f"array<{SPAN}>")
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    sized = F.zip_with(hits, gaps, lambda hit, gap: F.struct(hit.alias("hit"), F.coalesce(F.length(gap), F.lit(0)).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    sized = F.filter(F.zip_with(hits, gaps, lambda hit, gap: F.struct(hit.alias("hit"), F.coalesce(F.length(gap), F.lit(0)).alias("gap"))), lambda x: x["hit"].isNotNull())
 
     def step(state, x):
         first = state["at"] + x["gap"]
         last = first + F.length(x["hit"])
         span = F.struct(first.alias("start"), F.lit(kind).alias("kind"), last.alias("end"), x["hit"].alias("hit")).cast(SPAN)
-        return F.when(x["hit"].isNull(), state).otherwise(F.struct(last.alias("at"), F.array_append(state["found"], span).alias("found")))
+        return F.struct(last.alias("at"), F.array_append(state["found"], span).alias("found"))
+
+    def stretch(state, own):
+        found = F.aggregate(own, F.struct(state["at"].alias("at"), none.alias("found")), step)
+        return let(found, lambda f: F.struct(f["at"].alias("at"), F.array_append(state["found"], f["found"]).alias("found")))
+
+    def placed(own):
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / STRETCH).cast("int")), lambda j: F.slice(own, j * STRETCH + 1, F.lit(STRETCH)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("found"))
+        return F.flatten(F.aggregate(stretches, start, stretch, lambda s: s["found"]))
 
-    found = F.aggregate(sized, start, step, lambda s: s["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), let(sized, placed)).otherwise(none)
 
 
 def greatest_entropy(token: Column, window: int = WINDOW) -> Column:
-    """The greatest entropy of a window of the token, from incremental counts."""
-    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
-    weigh = lambda n: F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
-    change = lambda counts, at, by: F.transform(counts, lambda v, k: F.when(k + 1 == at, v + by).otherwise(v))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+    """The greatest entropy of a window of the token, from incremental counts: of the character that
+    goes and of the one that comes, counted in the window they leave or join."""
+    weights = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(window + 2)])
+    weigh = lambda n: F.element_at(weights, n + 1)
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
 
-    def moved(n, s, at, by):
-        own = F.element_at(n, at)
-        return F.struct(change(n, at, by).alias("n"), (s - weigh(own) + weigh(own + by)).alias("s"))
+    def counted(chars, first, size, c):
+        return F.size(F.filter(F.slice(chars, first, size), lambda x: x == c))
 
-    def step(codes):
+    def step(chars):
         def slide(state, i):
-            out = F.when(i > window, moved(state["n"], state["s"], F.element_at(codes, F.greatest(i - window, F.lit(1))), -1)).otherwise(F.struct(state["n"].alias("n"), state["s"].alias("s")))
-            added = let(out, lambda o: moved(o["n"], o["s"], F.element_at(codes, i), 1))
-            bits = lambda s: F.when(i >= window, F.log2(F.lit(float(window))) - s / window).otherwise(F.lit(0.0))
-            return let(added, lambda a: F.struct(a["n"].alias("n"), a["s"].alias("s"), F.greatest(state["best"], bits(a["s"])).alias("best")))
+            gone = let(F.element_at(chars, F.greatest(i - window, F.lit(1))), lambda c: let(counted(chars, F.greatest(i - window, F.lit(1)), F.lit(window), c), lambda n: weigh(n) - weigh(n - 1)))
+            come = let(F.element_at(chars, i), lambda c: let(counted(chars, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)), c), lambda n: weigh(n + 1) - weigh(n)))
+            moved = state["s"] - F.when(i > window, gone).otherwise(F.lit(0.0)) + come
+            bits = lambda s: F.when(i >= window, F.lit(math.log2(window)) - s / window).otherwise(F.lit(0.0))
+            return let(moved, lambda s: F.struct(s.alias("s"), F.greatest(state["best"], bits(s)).alias("best")))
 
         return slide
 
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return let(codes, lambda own: F.aggregate(F.sequence(F.lit(1), F.size(own)), start, step(own), lambda s: s["best"]))
+    return let(F.split(token, ""), lambda chars: F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, step(chars), lambda s: s["best"]))
 
 
 def is_secret(token: Column) -> Column:
-    """Whether a candidate's entropy reaches its class's threshold and no allow-list entry fits."""
-    bits = F.when(token.rlike(HEX_CLASS), HEX_BITS).otherwise(TOKEN_BITS)
-    return token.rlike(TOKEN_CLASS) & ~token.rlike(ALLOWED) & (greatest_entropy(token) >= bits)
+    """Whether a window of a class of the candidate reaches the class's threshold, and neither the
+    allow-list nor a base pattern fits."""
+    hexadecimal = lambda run: run.rlike("[0-9]") & run.rlike("[A-Fa-f]") & (greatest_entropy(run) >= HEX_BITS)
+    of_hex = token.rlike(HEX_RUN) & F.exists(F.regexp_extract_all(token, F.lit(HEX_RUN), F.lit(0)), hexadecimal)
+    of_token = token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (greatest_entropy(token) >= TOKEN_BITS)
+    known = token.rlike(ALLOWED) | token.rlike(ASSIGN) | token.rlike(ACCESS) | token.rlike(HEX)
+    return ~known & (of_token | of_hex)
 
 
 def joined(spans: Column) -> Column:
@@ -97,11 +118,10 @@ def scan(docs: DataFrame) -> DataFrame:
         F.filter(matches(text, ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= LEAST_VALUE).alias("assign"),
         matches(text, ACCESS, 1).alias("access"),
         matches(text, HEX, 2).alias("hex"),
-        matches(text, CANDIDATE, 3).alias("candidates"),
+        F.when(text.rlike(CANDIDATE), matches(text, SCAN, 3)).otherwise(F.array().cast(f"array<{SPAN}>")).alias("candidates"),
     )
-    base = F.concat("assign", "access", "hex")
-    found = found.withColumn("base", base)
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])) & is_secret(c["hit"]))
+    found = found.withColumn("base", F.concat("assign", "access", "hex"))
+    free = F.filter("candidates", lambda c: ~c["hit"].rlike(f"^(?:{ASSIGN})") & is_secret(c["hit"]))
     found = found.withColumn("entropy", F.when(F.size("candidates") > 0, free).otherwise(F.col("candidates")))
     count = lambda c: F.size(c).cast("bigint")
     return found.select(
@@ -121,17 +141,18 @@ def _sql_spans(kind: int, pattern: str) -> str:
 def oracle() -> str:
     """The same rows in DuckDB's SQL, with each window's entropy counted anew."""
     assign, allowed = ASSIGN.replace("'", "''"), ALLOWED.replace("'", "''")
-    bits = f"list_max(list_transform(range(1, length(x.hit) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr(x.hit, i, {WINDOW}), ''), 'entropy')))"
+    bits = lambda x: f"list_max(list_transform(range(1, length({x}) - {WINDOW} + 2), lambda i: list_aggregate(string_split(substr({x}, i, {WINDOW}), ''), 'entropy')))"
     ended = lambda x: f"list_transform({x}, lambda s: {{'start': s.start, 'kind': s.kind, 'end': s.start + length(s.hit), 'hit': s.hit}})"
     text = lambda x: f"array_to_string(list_transform(list_sort({x}), lambda s: ['assign', 'access', 'hex', 'entropy'][s.kind + 1] || ':' || s.start || ':' || s.\"end\"), ',')"
+    known = " AND ".join(f"NOT regexp_matches(x.hit, '{p}')" for p in (allowed, assign, ACCESS, HEX))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id,
   list_filter({ended(_sql_spans(0, ASSIGN))}, lambda s: length(regexp_extract(s.hit, '{assign}', 2)) >= {LEAST_VALUE}) AS a,
-  {ended(_sql_spans(1, ACCESS))} AS k, {ended(_sql_spans(2, HEX))} AS h, {ended(_sql_spans(3, CANDIDATE))} AS c FROM d),
+  {ended(_sql_spans(1, ACCESS))} AS k, {ended(_sql_spans(2, HEX))} AS h, {ended(_sql_spans(3, SCAN))} AS c FROM d),
 b AS (SELECT doc_id, a, k, h, c, list_concat(list_concat(a, k), h) AS base FROM m),
-e AS (SELECT doc_id, a, k, h, base, list_filter(c, lambda x: len(list_filter(base, lambda y: y.start < x."end" AND x.start < y."end")) = 0
-  AND regexp_matches(x.hit, '{TOKEN_CLASS}') AND NOT regexp_matches(x.hit, '{allowed}')
-  AND {bits} >= CASE WHEN regexp_matches(x.hit, '{HEX_CLASS}') THEN {HEX_BITS} ELSE {TOKEN_BITS} END) AS e FROM b)
+e AS (SELECT doc_id, a, k, h, base, list_filter(c, lambda x: NOT regexp_matches(x.hit, '^(?:{assign})') AND {known}
+  AND (regexp_matches(x.hit, '[0-9]') AND regexp_matches(x.hit, '[A-Za-z]') AND {bits("x.hit")} >= {TOKEN_BITS}
+    OR len(list_filter(regexp_extract_all(x.hit, '{HEX_RUN}'), lambda r: regexp_matches(r, '[0-9]') AND regexp_matches(r, '[A-Fa-f]') AND {bits("r")} >= {HEX_BITS})) > 0)) AS e FROM b)
 SELECT doc_id, len(a)::BIGINT AS n_assign, len(k)::BIGINT AS n_access, len(h)::BIGINT AS n_hex,
   sha256({text('base')}) AS base_sha256, {text('list_concat(base, e)')} AS spans, len(e)::BIGINT AS n_entropy FROM e"""
