@@ -404,6 +404,86 @@ def test_license_lines_of_the_table(docs):
     assert all(own <= got[d] for d, own in want.items()) and any(want.values())
 
 
+NOTICES = {
+    "Apache-2.0": "Copyright 2024 The Authors\n\nLicensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.",
+    "ISC": "# Copyright (c) 2019, Someone\n#\n# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright notice and this permission notice appear in all copies.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/",
+    "MIT OR Apache-2.0": "// SPDX-License-Identifier: MIT OR Apache-2.0\nint main() {}",
+    "": "Copyright law is complicated. Copyrighted works abound. Copyright",
+}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_license_notices(name):
+    ids = licenses.recognise(NOTICES[name], licenses.tree_of(licenses.SENTENCES))
+    assert licenses.match(ids) == ([name] if name else [], [i for i in ids if i == "copyright"])
+    assert licenses.match(["copyright", "reserved", "bsd_grant", "bsd_source", "bsd_binary"]) == (["BSD-2-Clause"], [])
+
+
+def plain_licenses(text):
+    """Every join of pieces is looked up among all sentences; the longest of a piece's joins wins."""
+    known = {s: i for i, own in licenses.SENTENCES.items() for s in own}
+    ends = [(m.start(), m.end(), m.group()) for m in re.finditer(r"(?:(?<=[^.!?;:])|^)[.!?;:]+[\"')\]]*(?=\s|\Z)|\n+", text)]
+    cuts = [0, *(z for _, z, _ in ends)]
+    parts = [(a, text[a:z], e) for a, (z, e) in zip(cuts, [*((a, e) for a, _, e in ends), (len(text), "")])]
+    # an empty piece before an end of a sentence ends the one before it
+    pieces = []
+    for a, own, e in parts:
+        if own:
+            pieces.append([a, own, not set(e) & set(".!?")])
+        elif pieces and set(e) & set(".!?"):
+            pieces[-1][2] = False
+    found, at = [], 0
+    while at < len(pieces):
+        a, own, _ = pieces[at]
+        holder = re.match(r"[\s#/*;-]{0,40}(copyright(?![a-zA-Z])|\(c\)|©).{0,80}", own[:120], re.I | re.S)
+        if holder and re.search(r"\(c\)|©|\b(19|20)\d\d\b", holder.group(), re.I):
+            found.append((a, "copyright"))
+            at += 1
+            continue
+        best, k = None, at
+        while k < len(pieces):
+            joined = " ".join(re.sub(r"[\W_]+", " ", " ".join(p[1] for p in pieces[at : k + 1]).lower()).split())
+            best = (k, known[joined]) if joined in known else best
+            if not pieces[k][2]:
+                break
+            k += 1
+        if best:
+            found.append((a, best[1]))
+        at = best[0] + 1 if best else at + 1
+    return [x for _, x in sorted(found)]
+
+
+def test_license_query_by_brute_force(spark, docs):
+    rng = random.Random(21)
+    bits = [x for t in NOTICES.values() if "SPDX" not in t for x in re.split(r"(?<=[.\n])", t)] + ["All rights reserved.", " ", "\n", "\n\n", "Released under the MIT License.", "(c) 2020 A.", "x", ". ", "...", "Licensed under\nthe MIT License"]
+    bits += [x + "\n" for t in NOTICES.values() if "SPDX" not in t for x in (t, *t.split("\n\n"))]
+    rows = [(-1 - k, "".join(rng.choices(bits, k=rng.randint(1, 14)))) for k in range(400)] + [(None, None), (-500, "")]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = []
+    for doc_id, text in more.collect():
+        ids = plain_licenses(text or "")
+        found, left, at = [], [], 0
+        while at < len(ids):
+            fits = [r for r in licenses.RULES if tuple(ids[at : at + len(r[1])]) == r[1]]
+            name, run = max(fits, key=lambda r: len(r[1]), default=(None, (ids[at],)))
+            found += [name] if name and name not in found else []
+            left += [] if name else [ids[at]]
+            at += len(run)
+        want.append((doc_id, len(ids), ",".join(ids), ",".join(found), ",".join(left)))
+    assert rows_of(licenses.scan(more)) == sorted(want, key=str) and sum(w[1] > 1 for w in want) > 100
+
+
+@pytest.mark.parametrize("text", ["license " + "." * 1_000_000 + "x", "license. " * 100_000, "licensed under\n" * 60_000, "copyright " * 100_000, "license" + " \n" * 400_000, "x" * 1_000_000 + " license"], ids=["dots", "sentences", "lines", "words", "blank", "one"])
+def test_licenses_of_long_texts_take_time_in_proportion(text):
+    start = time.perf_counter()
+    licenses.recognise(text, licenses.tree_of(licenses.SENTENCES))
+    assert time.perf_counter() - start < 10
+
+
 # --- lines -----------------------------------------------------------------------------------
 
 
