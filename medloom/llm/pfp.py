@@ -44,9 +44,11 @@ from medloom.runtime import Scratch
 
 LENGTH, WORDS = 400, 51
 BYTE, WORD = 0, 1
-#: Symbols of a hash and bytes of a symbol, by kind; positions of a text parsed at a time.
+#: Symbols of a hash and bytes of a symbol, by kind; bits of a place in what is parsed at a time, and
+#: its positions (a window of less than 2^12 symbols more fits too).
 GRAM, WIDE = (8, 2), (1, 8)
-PARSED = 1 << 20
+PLACES = 20
+PARSED = (1 << PLACES) - (1 << 12)
 #: Contexts of a core that are sorted together at most, and bytes of contexts sorted at a time.
 CROWD, SORTED = 1024, 2 << 20
 #: Windows of a crowded core's phrase that are ranked together before they are ranked one by one.
@@ -89,9 +91,19 @@ def _triggers(part: bytes, kind: int) -> np.ndarray:
         h = (own[:-1] ^ (own[1:] << np.uint64(1)) ^ (own[1:] >> np.uint64(63))) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h &= np.uint64(0xFFFFFFFF00000000)
-    h |= np.arange(len(h), dtype=np.uint64)
-    return h
+    out = (h >> np.uint64(32)).astype(np.uint32)
+    out &= np.uint32((1 << 32) - (1 << PLACES))
+    out |= np.arange(len(h), dtype=np.uint32)
+    return out
+
+
+def least_of(h: np.ndarray, wide: int) -> np.ndarray:
+    """The least of each `wide` neighbours, by doubling."""
+    have = 1
+    while have * 2 <= wide:
+        h = np.minimum(h[:-have], h[have:])
+        have *= 2
+    return np.minimum(h[: -(wide - have)], h[wide - have :]) if have < wide else h
 
 
 def leaders(data: bytes, length: int = LENGTH, kind: int = BYTE):
@@ -100,20 +112,14 @@ def leaders(data: bytes, length: int = LENGTH, kind: int = BYTE):
     n = len(data) // size
     found = [[], [], []]
     for base in range(0, n - length + 1, PARSED):
-        part = data[base * size : (base + PARSED + length - 1) * size]
+        part = data[base * size : (base + PARSED + length - 1) * size] if n > PARSED else data
         windows = len(part) // size - length + 1
-        h = _triggers(part, kind)
-        least, have = h, 1
-        while have * 2 <= wide:
-            least = np.minimum(least[:-have], least[have:])
-            have *= 2
-        if have < wide:
-            least = np.minimum(least[: -(wide - have)], least[wide - have :])
-        lead = (least[:windows] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cut = np.flatnonzero(lead[1:] != lead[:-1])
+        least = least_of(_triggers(part, kind), wide)[:windows]
+        cut = np.flatnonzero(least[1:] != least[:-1])
+        lead = (least[np.r_[0, cut + 1]] & np.uint32((1 << PLACES) - 1)).astype(np.int64)
         found[0].append(np.r_[0, cut + 1] + base)
         found[1].append(np.r_[cut, windows - 1] + base)
-        found[2].append(lead[np.r_[0, cut + 1]] + base)
+        found[2].append(lead + base)
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
 
 
@@ -271,19 +277,44 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def _may_repeat(k, lo, hi, lead, texts: list[bytes], length: int, kind: int) -> np.ndarray:
+    """Which contexts have a block of windows whose common part is in another context of the core."""
+    size = min(BLOCK, length // 2)
+    first, last = (lead - hi) // size, (lead - lo) // size
+    counts = last - first + 1
+    of = np.repeat(np.arange(len(texts)), counts)
+    block = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + first[of]
+    start = lead[of] - lo[of] - block * size
+    ranges = zip(of.tolist(), start.tolist(), (start - size + 1 + length).tolist())
+    from xxhash import xxh3_64_intdigest
+
+    u = WIDE[kind]
+    common = np.array([xxh3_64_intdigest(texts[i][max(0, a) * u : z * u]) for i, a, z in ranges], np.uint64)
+    common ^= (k[of].view(np.uint64) + block.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    _, back, times = np.unique(common, return_inverse=True, return_counts=True)
+    out = np.zeros(len(texts), bool)
+    out[of[times[back] > 1]] = True
+    return out
+
+
 def _sorted_repeats(rows: DataFrame, lengths: tuple[int, int], n: int) -> DataFrame:
     """k, d, h, a, z: ranges of symbols of the contexts' repeats, from the suffix arrays of the
     contexts of whole cores, some at a time."""
-    dealt = rows.select("k", "d", "h", "lo", "hi", "ia", "ib", "context").repartition(n, "k").sortWithinPartitions("k")
+    dealt = rows.select("k", "d", "h", "lo", "hi", "ia", "ib", "context", "lead").repartition(n, "k").sortWithinPartitions("k")
 
     def ranges(batch):
-        k, d, h, lo, hi, ia, ib = (np.asarray(batch.column(i).fill_null(0)) for i in range(7))
+        k, d, h, lo, hi, ia, ib, lead = (np.asarray(batch.column(i).fill_null(0)) for i in (0, 1, 2, 3, 4, 5, 6, 8))
         found: list[list] = [[], [], [], [], []]
         for kind, length in enumerate(lengths):
             own, u = np.flatnonzero(k & 1 == kind), WIDE[kind]
             if not len(own):
                 continue
             texts = [batch.column(7)[int(i)].as_buffer().to_pybytes() for i in own]
+            # a window can only repeat if what its block of windows has in common does
+            go = _may_repeat(k[own], lo[own], hi[own], lead[own], texts, length, kind)
+            if not go.any():
+                continue
+            own, texts = own[go], [t for t, g in zip(texts, go.tolist()) if g]
             starts = np.cumsum([0, *(len(t) // u for t in texts)])[:-1]
             sizes = (hi[own] - lo[own] + 1).astype(np.int64)
             of = np.repeat(np.arange(len(own)), sizes)
