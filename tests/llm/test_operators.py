@@ -608,9 +608,38 @@ def test_long_texts_are_parsed_in_stretches(monkeypatch):
 def test_items_of_common_words_are_found(spark):
     rows = [(i, f"one two three four five six seven eight nine ten end{i}") for i in range(40)] + [(99, "three two one four five six seven eight nine ten")]
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
-    assert {r["doc_id"] for r in decontam.find(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()} == set(range(40))
+    assert {r["doc_id"] for r in decontam.find(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()} == {*range(40), 99}
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    rows = [(1, "we ask who wrote hamlet today and say shakespeare"), (2, "we ask who wrote hamlet today"), (3, "yes"), (4, "a line\nyes\nmore"), (5, "yes it is"), (6, "what is the capital of peru"), (7, "地球上最高的山峰是珠穆朗玛峰吗"), (8, "地球是圆的吗"), (None, "what is the capital of peru"), (None, "nothing here"), (None, None)]
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?", "Shakespeare"), (2, "yes", None), (3, "What is the capital of Peru?", None), (4, "地球上最高的山峰是珠穆朗玛峰", None), (5, None, None)], "item_id bigint, text string, answer string")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(decontam.find(docs, bench).select("doc_id", "item_id")) == sorted([(1, 1), (3, 2), (4, 2), (6, 3), (None, 3), (7, 4)], key=str)
+    assert rows_of(decontam.clean(docs.withColumn("k", F.lit("x")), bench, ("k", "doc_id", "text"))) == sorted([("x", *r) for r in rows if r[0] in (2, 5, 8) or r[1] in (None, "nothing here")], key=str)
+
+
+def test_recall_among_many_items(spark):
+    rng = random.Random(14)
+    word = lambda: "%s%s" % (rng.choice("bcdfghjklmnpqrstvw"), rng.choice(["an", "er", "ith", "o", "ouse", "ell", "ing", "ade", "und"])) + rng.choice(["", "", "a", "en", "ly", "ton"])
+    items = [" ".join(word() for _ in range(rng.randint(9, 60))) for _ in range(3000)]
+    rows, want = [], set()
+    for k in range(400):
+        own = items[rng.randrange(3000)].split() if k % 2 else []
+        kept = [w for i, w in enumerate(own) if i % 9 != 4]
+        rows.append((k, " ".join([word() for _ in range(40)] + kept + [word() for _ in range(30)])))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), bench).collect()}
+    places = [decontam.places_of(i.encode().split()) for i in items]
+    for doc_id, text in rows:
+        region = text.encode().split()
+        here = set(region)
+        for k, own in enumerate(places):
+            size = len(items[k].split())
+            if sum(m.bit_count() for w, m in own.items() if w in here) >= 0.8 * size and decontam.common(own, size, region) >= 0.8 * size and size >= 16:
+                want.add((doc_id, k))
+    assert len(want) > 100 and len(want & got) >= 0.9 * len(want)
+
 def test_public_licences_by_short_and_long_name(spark):
     rows = [(1, "Licensed under CC BY-NC 4.0."), (2, "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License."), (3, "Released under the GNU Affero General Public License, version 3.")]
     got = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
