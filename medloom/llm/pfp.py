@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from medloom.llm.common import arrow_map, prepare
+from medloom.llm.common import arrow_map, bit_map, in_map, prepare
 from medloom.runtime import Scratch
 
 LENGTH, WORDS = 400, 51
@@ -50,13 +50,9 @@ GRAM, WIDE = (8, 2), (1, 8)
 PLACES = 20
 PARSED = (1 << PLACES) - (1 << 12)
 #: Contexts of a core that are sorted together at most, and bytes of contexts sorted at a time.
-CROWD, SORTED = 1024, 2 << 20
+CROWD, SORTED = 512, 1 << 19
 #: Windows of a crowded core's phrase that are ranked together before they are ranked one by one.
 BLOCK = 16
-#: Bits of the maps of shared cores and of documents: their size is fixed, more bits leave more out.
-BITS = 1 << 26
-#: Bits of one row of a map, a property of Spark's own bit map functions.
-MAP_ROW = 1 << 15
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_passages bigint, passage_words bigint"
 PHRASE = "k bigint, e1 bigint, e2 bigint, d bigint, h bigint, lo int, hi int, lead int"
 
@@ -148,32 +144,6 @@ def is_words() -> Column:
     return F.col("k").bitwiseAND(F.lit(1)) == WORD
 
 
-def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
-    """A map of BITS bits, those of the column's values set: BITS / 8 bytes, however many rows. The
-    driver gets its rows; it is what a broadcast holds."""
-    bit = F.pmod(F.col(column), F.lit(BITS))
-    rows = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    # buckets are numbered from one and a bit that a multiple of a row's bits names is the last of its bucket
-    out = np.zeros((BITS // MAP_ROW + 2, MAP_ROW // 8), np.uint8)
-    for r in rows.toLocalIterator():
-        own = np.frombuffer(r["bits"], np.uint8)
-        out[r["row"], : len(own)] = own
-    return out
-
-
-def _place(values: np.ndarray):
-    """Row, byte and bit of values in a bit map, as Spark numbers them."""
-    bit = values.view(np.int64) % BITS
-    row = np.where(bit > 0, 1 + (bit - 1) // MAP_ROW, bit // MAP_ROW)
-    position = np.where(bit > 0, (bit - 1) % MAP_ROW, 0)
-    return row, position >> 3, (position & 7).astype(np.uint8)
-
-
-def in_map(shown: np.ndarray, values: np.ndarray) -> np.ndarray:
-    row, byte, bit = _place(values)
-    return (shown[row, byte] >> bit & 1).astype(bool)
-
-
 def _cores(named: DataFrame, lengths: tuple[int, int]) -> DataFrame:
     """k, the hash of the core of each phrase."""
 
@@ -390,17 +360,17 @@ def _crowded_repeats(rows: DataFrame, lengths: tuple[int, int], n: int, scratch:
     last = parts.where("rim").groupBy("d", "h", F.col("lead").alias("lo"), F.col("k").bitwiseAND(F.lit(1)).alias("kind")).agg(F.collect_set(block).alias("blocks"))
 
     def windows(batch):
-        digests, out = [], [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for kind, d, h, lo, data, own in zip(*(batch.column(i).to_pylist() for i in range(6))):
-            places = [p for b in own for p in range(b["a"], b["z"] + 1)]
-            digests.append(_wide_hashes(memoryview(data), ((p - lo, p - lo + lengths[kind]) for p in places), kind))
-            m = len(places)
-            first, final = ([b[c] for b in own for _ in range(b["a"], b["z"] + 1)] for c in ("ia", "ib"))
-            for mine, x in zip(out, ([kind] * m, [d] * m, [h] * m, places, first, final)):
-                mine.extend(x)
-        both = np.concatenate(digests)
+            places = np.concatenate([np.arange(b["a"], b["z"] + 1) for b in own])
+            sizes, m = [b["z"] - b["a"] + 1 for b in own], len(places)
+            digests = _wide_hashes(memoryview(data), ((p - lo, p - lo + lengths[kind]) for p in places.tolist()), kind)
+            first, final = (np.repeat(np.array([b[c] for b in own], np.int64), sizes) for c in ("ia", "ib"))
+            for mine, x in zip(out, (digests, np.full(m, kind), np.full(m, d), np.full(m, h), places, first, final)):
+                mine.append(x)
+        both, *rest = map(np.concatenate, out)
         names = ("k", "d", "h", "p", "ia", "ib")
-        return {"w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1])} | {c: pa.array(np.array(x, np.int32 if c == "p" else np.int64)) for c, x in zip(names, out)}
+        return {"w1": pa.array(both[:, 0]), "w2": pa.array(both[:, 1])} | {c: pa.array(x.astype(np.int32 if c == "p" else np.int64)) for c, x in zip(names, rest)}
 
     each = rows.select(F.col("k").bitwiseAND(F.lit(1)).alias("kind"), "d", "h", "lo", "context").join(last.hint("shuffle_hash"), ["kind", "d", "h", "lo"])
     ranked = scratch.keep(arrow_map(each, windows, "w1 bigint, w2 bigint, k bigint, d bigint, h bigint, p int, ia bigint, ib bigint"))

@@ -5,10 +5,11 @@ that length is a mask of the positions whose product with it is odd. Any set of
 positions is left out by at least one mask, so two fingerprints that differ there agree under
 that mask: every pair within the radius collides in some table. With radius 3 there are 15 tables.
 
-Only distinct fingerprints enter the tables. A bucket yields no list of pairs: a search from
-fingerprint to fingerprint, in which each one found leaves the list, gives links that connect
-just what pairs within the radius connect. Buckets of more than `hot` fingerprints are split by
-what is left of the bits: of radius + 1 parts of the bits outside the mask one must agree.
+Only distinct fingerprints enter the tables. Keys of buckets are counted first, and a bit map of fixed
+size tells which may be shared: only those fingerprints are shuffled with their keys. A bucket yields
+no list of pairs: a search from fingerprint to fingerprint, in which each one found leaves the list,
+gives links that connect just what pairs within the radius connect. Buckets of more than `hot`
+fingerprints are split, several times if need be: of radius + 1 parts of the bits one must agree.
 
 Edge cases: a null text is an empty text; a text without words has fingerprint zero, which is
 linked like any other; fewer than three words are one shingle. Repeated rows give repeated results
@@ -24,54 +25,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from medloom.llm.common import arrow_map, prepare
+from medloom.llm.common import arrow_map, bit_map, in_map, prepare
 from medloom.llm.graph import components
 
 WORDS, SEED, RADIUS, BITS = 3, 42, 3, 64
-HOT = 4096
+#: Words of a shingle and radius where near copies are sought by five-word shingles.
+NEAR_WORDS, NEAR_RADIUS = 5, 6
+HOT, LEVELS = 4096, 3
 CHUNK = 1 << 15
 #: Bytes beyond which a text's words are read one after another.
 LONG = 4 << 20
 
 
-def stretches(data: bytes):
+def stretches(data: bytes, size: int = WORDS):
     """The words of a text in lists of at most CHUNK, each with the last words of the one before it;
     a long text is never split as a whole."""
     if len(data) <= LONG:
         words = data.split()
-        for start in range(0, max(1, len(words) - WORDS + 1), CHUNK):
-            yield words[start : start + CHUNK + WORDS - 1]
+        for start in range(0, max(1, len(words) - size + 1), CHUNK):
+            yield words[start : start + CHUNK + size - 1]
         return
     found = (m.group() for m in re.finditer(rb"[^\x20\x09-\x0D]+", data))
-    own = list(islice(found, CHUNK + WORDS - 1))
+    own = list(islice(found, CHUNK + size - 1))
     while True:
         yield own
         more = list(islice(found, CHUNK))
         if not more:
             return
-        own = own[-(WORDS - 1) :] + more
+        own = own[-(size - 1) :] + more
 
 
-def fingerprint(text: str) -> int:
-    """The fingerprint of a text, unsigned."""
+def fingerprint(text: str, size: int = WORDS) -> int:
+    """The fingerprint of a text's shingles of so many words, unsigned."""
     from xxhash import xxh64_intdigest
 
     counts, n = np.zeros(BITS, np.int64), 0
-    for own in stretches(text.encode().lower()):
+    for own in stretches(text.encode().lower(), size):
         if not own:
             return 0
-        shingles = map(b" ".join, zip(own, own[1:], own[2:])) if len(own) >= WORDS else [b" ".join(own)]
+        shingles = map(b" ".join, zip(*(own[i:] for i in range(size)))) if len(own) >= size else [b" ".join(own)]
         hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], "<u8")
         counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, BITS).sum(0, dtype=np.uint32)
         n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, carry: tuple[str, ...] = (), size: int = WORDS) -> DataFrame:
     """doc_id, fp (the fingerprint's bits as a signed long) and the long columns in carry, of each row."""
 
     def run(batch):
-        fps = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64)
+        fps = np.array([fingerprint(t or "", size) for t in batch.column(1).to_pylist()], np.uint64)
         return {"doc_id": batch.column(0), "fp": pa.array(fps.view(np.int64))} | {c: batch.column(2 + i) for i, c in enumerate(carry)}
 
     return arrow_map(docs.selectExpr("cast(doc_id as bigint) doc_id", "text", *carry), run, "doc_id bigint, fp bigint" + "".join(f", {c} bigint" for c in carry))
@@ -84,24 +87,30 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << i for i in range(BITS) if (at[i] & v).bit_count() & 1) for v in vectors]
 
 
-def parts(mask: int, radius: int = RADIUS) -> list[int]:
-    """The bits outside the mask in radius + 1 parts, each as a mask."""
-    rest = [i for i in range(BITS) if not mask >> i & 1]
-    return [sum(1 << i for i in rest[p :: radius + 1]) for p in range(radius + 1)]
+def parts(radius: int, level: int) -> list[np.uint64]:
+    """All bits in radius + 1 parts, each as a mask; the parts of each level are others."""
+    order = np.random.default_rng(level).permutation(BITS)
+    return [np.uint64(sum(1 << int(i) for i in order[p :: radius + 1])) for p in range(radius + 1)]
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def mixed(key: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of keys that differs with the salt."""
+    h = key ^ np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64))
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+    return h ^ (h >> np.uint64(31))
+
+
 def reach(fps: np.ndarray, radius: int, most: int = HOT, depth: int = 0) -> list[tuple[int, int]]:
     """Links of a forest that connects what pairs within the radius connect."""
     out: list[tuple[int, int]] = []
     if len(fps) > most and depth < 6:
         # one of radius + 1 parts of all bits agrees; parts differ by depth
-        for p in range(radius + 1):
-            rng = np.random.default_rng(depth).permutation(BITS)[p :: radius + 1]
-            own = np.uint64(sum(1 << int(i) for i in rng))
+        for own in parts(radius, LEVELS + depth):
             key = fps & own
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
@@ -126,17 +135,50 @@ def reach(fps: np.ndarray, radius: int, most: int = HOT, depth: int = 0) -> list
     return out
 
 
+def _keys(prints: DataFrame, radius: int, shown=None) -> DataFrame:
+    """g, the key of the bucket in each table; with a map, fp and g of the keys in it."""
+    tables = [np.uint64(m) for m in masks(radius)]
+
+    def run(batch):
+        fps = np.asarray(batch.column(0)).view(np.uint64)
+        g = np.concatenate([mixed(fps & m, t) for t, m in enumerate(tables)]).view(np.int64)
+        if shown is None:
+            return {"g": pa.array(g)}
+        go = np.flatnonzero(in_map(shown.value, g))
+        return {"fp": pa.array(fps.view(np.int64)[go % len(fps)]), "g": pa.array(g[go])}
+
+    return arrow_map(prints, run, "g bigint" if shown is None else "fp bigint, g bigint")
+
+
+def _split(rows: DataFrame, radius: int, level: int) -> DataFrame:
+    """The rows of crowded buckets in smaller ones: one for each part of the bits."""
+    own = parts(radius, level)
+
+    def run(batch):
+        fps, g = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
+        found = np.concatenate([mixed(mixed(fps & m, p) ^ g, level) for p, m in enumerate(own)])
+        return {"fp": pa.array(np.tile(fps, len(own)).view(np.int64)), "g": pa.array(found.view(np.int64))}
+
+    return arrow_map(rows, run, "fp bigint, g bigint")
+
+
 def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Links a, b between different fingerprints within the radius, from distinct fp."""
-    tables = masks(radius)
-    spread = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(v).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for v, m in enumerate(tables)])).alias("x")).select("fp", "x.t", "x.k")
-    shared = spread.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = spread.join(shared, ["t", "k"])
-    own = F.array(*[F.array(*[F.lit(signed(p)) for p in parts(m, radius)]) for m in tables])
-    split = F.transform(F.element_at(own, F.col("t") + 1), lambda m, i: F.struct(i.alias("p"), F.col("fp").bitwiseAND(m).alias("s")))
-    whole = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("bigint").alias("s")))
-    dealt = crowded.select("fp", "t", "k", F.explode(F.when(F.col("n") > hot, split).otherwise(whole)).alias("x")).select("fp", F.xxhash64("t", "k", "x.p", "x.s").alias("g"))
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = prints.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prints = prints.select("fp").checkpoint()
+    again = _keys(prints, radius).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    rows = _keys(prints, radius, spark.sparkContext.broadcast(bit_map(again, "g"))).checkpoint()
+    dealt = None
+    for level in range(LEVELS + 1):
+        sizes = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+        held = rows.join(sizes.repartition(n), "g").checkpoint()
+        last = level == LEVELS
+        whole = held.where(F.col("n") <= hot).select("fp", "g") if not last else held.select("fp", "g")
+        dealt = whole if dealt is None else dealt.union(whole)
+        if last or held.where(F.col("n") > hot).isEmpty():
+            break
+        rows = _split(held.where(F.col("n") > hot).select("fp", "g"), radius, level)
     dealt = dealt.repartition(n, "g").sortWithinPartitions("g")
 
     def linked(g: np.ndarray, fp: np.ndarray):
@@ -185,7 +227,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, columns: tuple[str, ...], radius: int = RADIUS) -> DataFrame:
+def first_of_each(docs: DataFrame, columns: tuple[str, ...], radius: int = NEAR_RADIUS, size: int = NEAR_WORDS) -> DataFrame:
     """One row of docs from each component: that of the smallest doc_id, a null one only where there
     is no other. Rows are told apart by all of the columns, so rows with one doc_id and different
     texts are judged each by itself, and of equal rows one stays."""
@@ -193,7 +235,7 @@ def first_of_each(docs: DataFrame, columns: tuple[str, ...], radius: int = RADIU
     own = docs.select(*columns)
     every = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
     keyed = own.withColumn("_r1", F.xxhash64(*every)).withColumn("_r2", F.xxhash64(F.lit("row"), *every))
-    rows = fingerprints(keyed, ("_r1", "_r2")).checkpoint()
+    rows = fingerprints(keyed, ("_r1", "_r2"), size).checkpoint()
     of = _components(rows, radius)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_r1", "_r2")
     best = rows.groupBy("fp").agg(F.min(order).alias("o")).join(of, "fp").groupBy("component").agg(F.min("o").alias("o")).select("o._r1", "o._r2")

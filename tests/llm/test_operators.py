@@ -16,7 +16,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from medloom.llm import decontam, graph, langid, licenses, linededup, media, pfp, pii, queries, secrets, simhash, spm
+from medloom.llm import common, decontam, graph, langid, licenses, linededup, media, pfp, pii, queries, secrets, simhash, spm
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -325,14 +325,14 @@ def components(values, radius=3):
 
 def test_masks_cover_the_radius():
     rng = random.Random(3)
-    for radius in (1, 2, 3):
+    for radius in (1, 2, 3, 6):
         own = simhash.masks(radius)
         assert len(own) == 2 ** (radius + 1) - 1
         for _ in range(2000):
             bits = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(not m & bits for m in own)
-    for m in simhash.masks():
-        assert sum(simhash.parts(m)) == (1 << 64) - 1 - m
+    for level in range(4):
+        assert sum(map(int, simhash.parts(3, level))) == (1 << 64) - 1
 
 
 def test_near_duplicates_by_brute_force(spark, docs):
@@ -364,6 +364,27 @@ def test_one_row_of_each_component_stays(spark):
     assert simhash.first_of_each(docs.limit(0), ("doc_id", "text", "source")).count() == 0
 
 
+def test_near_copies_by_similarity(spark):
+    """Recall by five-word similarity, and no link between unlike texts."""
+    rng = random.Random(31)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, pairs = [], []
+    for k in range(400):
+        own = ["w%d" % rng.randint(0, 4000) for _ in range(rng.randint(60, 900))]
+        near = list(own)
+        for _ in range(rng.randint(1, max(1, len(own) // 40))):
+            near[rng.randrange(len(near))] = "n%d" % rng.randint(0, 4000)
+        a, b = shingles(own), shingles(near)
+        pairs.append(len(a & b) / len(a | b))
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(near))]
+    got = {r["doc_id"] for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id bigint, text string"), ("doc_id", "text")).collect()}
+    assert all(2 * k in got for k in range(400))
+    linked = lambda low, high: [2 * k + 1 not in got for k, j in enumerate(pairs) if low <= j < high]
+    shares = {low: sum(linked(low, high)) / max(1, len(linked(low, high))) for low, high in ((0.8, 0.9), (0.9, 0.95), (0.95, 1.0))}
+    print(shares)
+    assert shares[0.95] >= 0.8 and shares[0.9] >= 0.4
+
+
 @pytest.mark.parametrize("hot", [16, 4096])
 def test_crowded_buckets_lose_no_link(spark, hot):
     rng = np.random.default_rng(1)
@@ -588,10 +609,10 @@ def test_repeats_by_brute_force(spark, length, words, crowd):
 
 def test_bit_maps_hold_their_values(spark):
     rng = np.random.default_rng(3)
-    values = np.r_[rng.integers(-(1 << 63), 1 << 63, 3000), [0, 1, -1, pfp.BITS, pfp.BITS - 1, 32768, 32769, -(1 << 63)]]
-    shown = pfp.bit_map(spark.createDataFrame([(int(v),) for v in values], "k bigint"), "k")
-    assert pfp.in_map(shown, values).all()
-    assert pfp.in_map(shown, rng.integers(-(1 << 63), 1 << 63, 20_000)).mean() < 0.01
+    values = np.r_[rng.integers(-(1 << 63), 1 << 63, 3000), [0, 1, -1, common.BITS, common.BITS - 1, 32768, 32769, -(1 << 63)]]
+    shown = common.bit_map(spark.createDataFrame([(int(v),) for v in values], "k bigint"), "k")
+    assert common.in_map(shown, values).all()
+    assert common.in_map(shown, rng.integers(-(1 << 63), 1 << 63, 20_000)).mean() < 0.01
 
 
 def test_long_texts_are_parsed_in_stretches(monkeypatch):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from medloom.llm import decontam, langid, linededup, simhash, spm
 from medloom.runtime import table
+from test_operators import components
 
 LAST = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
@@ -25,8 +26,11 @@ def test_stages_keep_columns_and_take_effect(spark, small, tmp_path):
             assert set(after) == set(before) and all(r["n_chars"] == len(r["text"]) for r in after.values())
             assert sum(len(r["text"]) for r in after.values()) < sum(len(r["text"]) for r in before.values())
         elif name == "near_duplicates":
-            groups = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-            assert set(after) == groups and len(after) < len(before)
+            prints = {d: simhash.fingerprint(r["text"] or "", 5) for d, r in before.items()}
+            of, first = components(prints.values(), simhash.NEAR_RADIUS), {}
+            for d in sorted(prints):
+                first.setdefault(of[prints[d]], d)
+            assert set(after) == set(first.values()) and len(after) < len(before)
         elif name == "decontamination":
             gone = {r["doc_id"] for r in decontam.find(docs, table(spark, small, "benchmark")).collect()}
             assert gone and set(after) == set(before) - gone
@@ -52,6 +56,33 @@ def test_language_rejects_what_has_no_letters(spark, small):
     assert kept.where("doc_id < 0").count() == 0 and kept.where(F.col("lang").isNull()).count() == 0
 
 
+def test_odd_rows_at_each_stage(spark, small):
+    """Null and repeated ids, equal rows, empty and null texts, another column with a clashing name."""
+    docs = table(spark, small, "documents").limit(60)
+    one, two = (" ".join(reversed(r["text"].split())) for r in docs.where(F.length("text") > 400).limit(2).collect())
+    odd = [(None, one, "en", "s", 1), (None, one, "en", "s", 1), (None, two, None, None, None), (5, "1 2 3", "en", "s", 1), (5, None, "en", None, 0), (None, None, None, None, None), (6, "", None, "s", 0)]
+    more = docs.union(spark.createDataFrame(odd, docs.schema))
+    for name, stage in P.STAGES:
+        for extra in ("_key", "d", "_r1", "k", "fp"):
+            out = stage(spark, more.withColumn(extra, F.lit("x")), small)
+        last = name == P.STAGES[-1][0]
+        assert out.columns == (LAST if last else list(P.COLUMNS))
+        got = out.collect()
+        assert len(got) <= more.count()
+        if name in ("lines", "sentencepiece"):
+            assert len(got) == more.count()
+        if name == "near_duplicates":
+            assert sum(r["doc_id"] is None for r in got) == 2 and len({tuple(r) for r in got}) == len(got)
+        if name == "language":
+            assert sum(r["doc_id"] is None for r in got) == 3 and not any(r["text"] in (None, "", "1 2 3") for r in got)
+        assert stage(spark, more.limit(0), small).count() == 0
+
+
+def test_without_labels_documents_with_letters_stay(spark, small):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "12", None, "s", 1), (3, None, None, None, None)], table(spark, small, "documents").schema)
+    assert [r["doc_id"] for r in P.language(spark, docs, small).collect()] == [1]
+
+
 def test_lines_keep_documents(spark, small):
     docs = table(spark, small, "documents")
     assert P.lines(spark, docs, small).count() == docs.count() == linededup.dedup_lines(docs).count()
