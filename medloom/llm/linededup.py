@@ -12,10 +12,10 @@ A template recurs if at least `least` documents have it (a line of `long` tokens
 the smallest id that has it.
 
 Lines themselves aren't shuffled: 128-bit hashes of masked lines are, with the document's key.
-Tokens are looked at for leaves that may hold templates of several lines only; a table of hash
-buckets of those leaves, of `buckets` rows at most, is broadcast to find them, and another one to
-leave the texts of documents that lose nothing out of the last shuffle. Counts are combined on the
-map side, and what a hot line has to tell its documents is joined, so Spark can split it.
+Tokens are looked at for leaves that may hold templates of several lines only; a bit map of those
+leaves' hashes, 8 MB whatever their number, is broadcast to find them, and another one to leave the
+texts of documents that lose nothing out of the last shuffle. Counts are combined on the map side,
+and what a hot line has to tell its documents is joined, so Spark can split it.
 
 Edge cases: a null text is an empty text; blank lines are never templates and stay; rows with the
 same doc_id count as one document; a null doc_id counts as the smallest. A document whose lines
@@ -26,11 +26,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from medloom.llm.common import prepare
+from medloom.llm.common import BITS, prepare
+from medloom.runtime import Scratch
 
 LEADING, ALIKE, SHARE = 3, 0.7, 0.5
 LEAST, LONG, LEAST_LONG = 5, 50, 2
-BUCKETS = 1 << 20
 VARIABLE = r"\S*[0-9@]\S*"
 MASK = "<*>"
 NONE = -(1 << 63)
@@ -59,15 +59,27 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.select("d", "h", "pos", "own", "n", F.xxhash64("n", F.substring_index("own", " ", LEADING)).alias("leaf"), F.xxhash64("own").alias("l1"), F.xxhash64(F.lit("line"), "own").alias("l2"))
 
 
-def _bucket(column: str, buckets: int) -> Column:
-    return F.pmod(F.col(column), F.lit(buckets))
+def _bit_map(hashes: DataFrame, column: str) -> DataFrame:
+    """A map of BITS bits, those of the column's values set, as rows of a few kilobytes."""
+    bit = F.pmod(F.col(column), F.lit(BITS))
+    return hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
 
 
-def _templates(read: DataFrame, lines: DataFrame, enough: Column, alike: float, share: float, buckets: int, parts: int) -> DataFrame:
+def _in_map(frame: DataFrame, column: str, shown: DataFrame, wanted: bool = True) -> DataFrame:
+    """The rows whose column's value is (or isn't) in a bit map."""
+    bit = F.pmod(F.col(column), F.lit(BITS))
+    place = F.bitmap_bit_position(bit).cast("int")
+    byte = F.conv(F.hex(F.substr("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    found = frame.join(F.broadcast(shown), F.bitmap_bucket_number(bit) == F.col("_row"), "left")
+    there = F.coalesce(F.getbit(byte, place.bitwiseAND(F.lit(7))), F.lit(0)) == 1
+    return found.where(there if wanted else ~there).drop("_row", "_bits")
+
+
+def _templates(read: DataFrame, lines: DataFrame, enough: Column, alike: float, share: float, parts: int, scratch: Scratch) -> DataFrame:
     """l1, l2 and the template (t1, t2) of each line with positions that are variable in its leaf."""
-    leaves = lines.groupBy("leaf", "n").agg(F.sum("docs").alias("w"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("w") >= enough) & (F.col("n") > LEADING)).select("leaf").checkpoint()
-    near = leaves.select(_bucket("leaf", buckets).alias("bucket")).distinct()
-    own = read.select("leaf", "l1", "l2", "own").join(F.broadcast(near), _bucket("leaf", buckets) == F.col("bucket"), "left_semi")
+    leaves = lines.groupBy("leaf", "n").agg(F.sum("docs").alias("w"), F.count("*").alias("kinds")).where((F.col("kinds") > 1) & (F.col("w") >= enough) & (F.col("n") > LEADING)).select("leaf")
+    leaves = scratch.keep(leaves)
+    own = _in_map(read.select("leaf", "l1", "l2", "own"), "leaf", _bit_map(leaves, "leaf"))
     own = own.groupBy("leaf", "l1", "l2").agg(F.min("own").alias("own")).join(lines.drop("first"), ["leaf", "l1", "l2"]).join(leaves.distinct().repartition(parts), "leaf", "left_semi")
     place = own.select("leaf", "n", "l1", "l2", "docs", F.posexplode(F.split("own", " ")).alias("i", "token")).where(f"i >= {LEADING}").withColumn("token", F.xxhash64("token"))
     support = place.groupBy("leaf", "i", "token").agg(F.sum("docs").alias("df")).repartition(parts)
@@ -81,16 +93,16 @@ def _templates(read: DataFrame, lines: DataFrame, enough: Column, alike: float,
     return each.select("leaf", "l1", "l2", fixed.alias("fixed")).select("l1", "l2", F.xxhash64("leaf", "fixed").alias("t1"), F.xxhash64(F.lit("template"), "leaf", "fixed").alias("t2"))
 
 
-def recurring(docs: DataFrame, least: int = LEAST, least_long: int = LEAST_LONG, long: int = LONG, alike: float = ALIKE, share: float = SHARE, keep_first: bool = False, buckets: int = BUCKETS) -> DataFrame:
-    """d, h and pos of the lines to drop."""
+def recurring(docs: DataFrame, least: int = LEAST, least_long: int = LEAST_LONG, long: int = LONG, alike: float = ALIKE, share: float = SHARE, keep_first: bool = False, *, scratch: Scratch) -> DataFrame:
+    """d, h and pos of the lines to drop, which depend on the tables in scratch."""
     prepare(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     enough = F.when(F.col("n") >= long, least_long).otherwise(least)
     read = _lines(docs)
-    seen = read.select("d", "h", "pos", "n", "leaf", "l1", "l2").checkpoint()
+    seen = scratch.keep(read.select("d", "h", "pos", "n", "leaf", "l1", "l2"))
     held = seen.groupBy("leaf", "n", "l1", "l2", "d").agg(F.lit(1).alias("one"))
-    lines = held.groupBy("leaf", "n", "l1", "l2").agg(F.count("*").alias("docs"), F.min("d").alias("first")).checkpoint()
-    shaped = _templates(read, lines, enough, alike, share, buckets, parts).checkpoint()
+    lines = scratch.keep(held.groupBy("leaf", "n", "l1", "l2").agg(F.count("*").alias("docs"), F.min("d").alias("first")))
+    shaped = scratch.keep(_templates(read, lines, enough, alike, share, parts, scratch))
     of = seen.select("n", "l1", "l2", "d").join(shaped.repartition(parts), ["l1", "l2"]).groupBy("n", "t1", "t2", "d").agg(F.lit(1).alias("one"))
     templates = of.groupBy("n", "t1", "t2").agg(F.count("*").alias("docs"), F.min("d").alias("first")).where(F.col("docs") >= enough)
     several = shaped.join(templates.repartition(parts), ["t1", "t2"]).select("l1", "l2", "first")
@@ -99,17 +111,19 @@ def recurring(docs: DataFrame, least: int = LEAST, least_long: int = LEAST_LONG,
     return (gone.where("d <> first") if keep_first else gone).select("d", "h", "pos")
 
 
-def drop_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), buckets: int = BUCKETS, **rules) -> DataFrame:
+def drop_lines(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), **rules) -> DataFrame:
     """The columns, the text without its dropped lines, n_lines and n_dropped, for each row; rules
     are those of `recurring`."""
     extra = tuple(c for c in columns if c != "text")
-    gone = recurring(docs, buckets=buckets, **rules).groupBy("d", "h").agg(F.collect_set("pos").alias("gone")).checkpoint()
-    near = F.broadcast(gone.select(_bucket("h", buckets).alias("_bucket")).distinct())
+    prepare(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        gone = recurring(docs, scratch=scratch, **rules).groupBy("d", "h").agg(F.collect_set("pos").alias("gone")).checkpoint()
+    near = _bit_map(gone, "h")
     own = gone.select(F.col("d").alias("_d"), F.col("h").alias("_h"), F.col("gone").alias("_gone"))
-    keyed, here = _keyed(docs, extra), _bucket("_h", buckets) == F.col("_bucket")
+    keyed = _keyed(docs, extra)
     lines = F.size(F.split("_text", "\n")).cast("bigint").alias("n_lines")
-    whole = keyed.join(near, here, "left_anti").select(*extra, F.col("_text").alias("text"), lines, F.lit(0).cast("bigint").alias("n_dropped"))
-    kept = keyed.join(near, here, "left_semi").join(own.hint("shuffle_hash"), ["_d", "_h"], "left").withColumn("_lines", F.split("_text", "\n"))
+    whole = _in_map(keyed, "_h", near, False).select(*extra, F.col("_text").alias("text"), lines, F.lit(0).cast("bigint").alias("n_dropped"))
+    kept = _in_map(keyed, "_h", near).join(own.hint("shuffle_hash"), ["_d", "_h"], "left").withColumn("_lines", F.split("_text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.element_at("_lines", i + 1)), "\n"))
     return kept.select(*extra, text.alias("text"), F.size("_lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_dropped")).union(whole)
