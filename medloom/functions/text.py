@@ -13,6 +13,7 @@ from pyspark.sql import Column, functions as F
 
 from medloom.functions import lexicon
 
+# These patterns decide what is cleaned, so they must be as they are.
 ARTIFACTS = r"(?i)Page\s+\d+\s+of\s+\d+|CONFIDENTIAL|[-=_]{4,}|\[\s*\]|\*{3,}"
 UNIT_VALUES = r"\d+\.?\d*\s*(?:ng|pg|µg|ug|mEq|mIU|mcg|IU)\s*/\s*(?:mL|L|dL|uL|kg)"
 EDGES = r"(?U)^\s+|\s+$"
@@ -23,6 +24,25 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def starts_of(pieces: Column, stretch: int = 256) -> Column:
+    """The place where each match starts, from structs of the length g of the text before it and its
+    own length h. Sums run over stretches, so the work stays in proportion to the matches."""
+
+    def step(state, x):
+        return F.struct((state["at"] + x["g"] + x["h"]).alias("at"), F.array_append(state["found"], state["at"] + x["g"]).alias("found"))
+
+    def each(state, own):
+        found = F.aggregate(own, F.struct(state["at"].alias("at"), F.array().cast("array<int>").alias("found")), step)
+        return let(found, lambda f: F.struct(f["at"].alias("at"), F.array_append(state["found"], f["found"]).alias("found")))
+
+    def placed(own):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / stretch).cast("int")), lambda j: F.slice(own, j * stretch + 1, F.lit(stretch)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("found"))
+        return F.when(F.size(own) > 0, F.flatten(F.aggregate(parts, start, each, lambda s: s["found"]))).otherwise(F.array().cast("array<int>"))
+
+    return let(pieces, placed)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any kind."""
     return F.regexp_replace(c, EDGES, "")
@@ -122,6 +142,7 @@ def normalize_vitals(c: Column) -> Column:
     return F.regexp_replace(c, r"(?i)\boxygen saturation\s+(\d{2,3}+)(?!%)\S*", "oxygen saturation $1%")
 
 
+# Laboratory symbols and signs with what they are written out as.
 SYMBOLS = [(r"\bNa\+?\b", "Sodium"), (r"\bK\+?\b", "Potassium"), (r"\bCl-?\b", "Chloride"), (r"\bHgb\b", "Hemoglobin"), (r"\bHct\b", "Hematocrit"), (r"\bPlt\b", "Platelets")]
 SIGNS = [(r"\b\(\+\)", "(positive)"), (r"\b\(-\)", "(negative)"), (r"(?i)\b\+ve\b", "positive"), (r"(?i)\b-ve\b", "negative")]
 

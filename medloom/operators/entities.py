@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from medloom.functions import lexicon, text as T
 
 ENTITY = "struct<text:string,label:string,start:int,end:int,confidence:double,source:string>"
+# The patterns of dates, medications, laboratory values and vitals.
 DATES = r"(?i)\b\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}|\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s+\d{1,2},?\s+\d{4}"
 MEDICATION = (
     r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)?)\s+(\d+(?:\.\d+)?)\s*(mg|mcg|g|ml|mEq|IU|milligrams?|micrograms?|grams?|milliliters?|units?)\s*"
@@ -60,8 +61,7 @@ def entity(text, label: str, start, confidence: float, source: str = "rule") ->
 def places(c: Column, pattern: str, hits: Column) -> Column:
     """Starts of the matches of a pattern, from the lengths of the pieces between them."""
     sizes = F.zip_with(F.split(c, pattern, -1), hits, lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
-    before = lambda own, i: F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda a, x: a + x["g"] + x["h"])
-    return T.let(sizes, lambda own: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda x, i: before(own, i) + x["g"]))
+    return T.starts_of(F.filter(sizes, lambda x: x["h"].isNotNull()))
 
 
 def matched(c: Column, pattern: str, label: str, confidence: float, source: str) -> Column:
@@ -78,9 +78,8 @@ def symptoms(c: Column) -> Column:
 
     def every(k):
         gaps = F.split(low, F.concat(F.lit("\\Q"), k, F.lit("\\E")), -1)
-        before = lambda own, i: F.aggregate(F.slice(own, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + i * F.length(k)
-        starts = T.let(gaps, lambda own: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda g, i: before(own, i)))
-        return F.transform(starts, lambda s: entity(F.substring(c, s + 1, F.length(k)), "SYMPTOM", s, 0.9))
+        pieces = T.let(gaps, lambda own: F.transform(F.slice(own, F.lit(1), F.size(own) - 1), lambda g: F.struct(F.length(g).alias("g"), F.length(k).alias("h"))))
+        return F.transform(T.starts_of(pieces), lambda s: entity(F.substring(c, s + 1, F.length(k)), "SYMPTOM", s, 0.9))
 
     return F.flatten(F.transform(present, every))
 
@@ -104,8 +103,7 @@ def gazetteer(c: Column) -> Column:
 def deduplicate(found: Column) -> Column:
     """The first of equal texts of a label, without those of one character."""
     key = lambda x: F.struct(F.lower(T.strip(x["text"])), x["label"])
-    first = lambda own: T.let(F.transform(own, key), lambda keys: F.filter(own, lambda x, i: (F.array_position(keys, key(x)) == i + 1) & (F.length(T.strip(x["text"])) > 1)))
-    return T.let(found, first)
+    return F.filter(first_of_each(found, key), lambda x: F.length(T.strip(x["text"])) > 1)
 
 
 def entities(c: Column, threshold: float = 0.5, tagged: Column | None = None) -> Column:
@@ -149,8 +147,11 @@ def tag_with(reports: DataFrame, load, most: int = 1500) -> DataFrame:
 
 
 def first_of_each(rows: Column, key) -> Column:
-    """The first item of each key, in order."""
-    return T.let(rows, lambda own: T.let(F.transform(own, key), lambda keys: F.filter(own, lambda r, i: F.array_position(keys, key(r)) == i + 1)))
+    """The first item of each key, in order: keys are sorted with their places, so many items take
+    little more than few."""
+    places = lambda own: F.array_sort(F.transform(own, lambda r, i: F.struct(key(r).alias("k"), i.alias("i"))))
+    new = lambda keys: F.filter(keys, lambda x, j: x["k"].isNotNull() & ((j == 0) | ~x["k"].eqNullSafe(F.get(keys, j - 1)["k"])))
+    return T.let(rows, lambda own: F.transform(F.array_sort(F.transform(T.let(places(own), new), lambda x: x["i"])), lambda i: F.get(own, i)))
 
 
 def medications(c: Column) -> Column:

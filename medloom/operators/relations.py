@@ -14,6 +14,7 @@ from medloom.operators.entities import first_of_each
 
 RELATION = "struct<entity1:string,relation:string,entity2:string,confidence:double,source:string,evidence:string,entity1_type:string,entity2_type:string>"
 FIELDS = ["entity1", "relation", "entity2", "confidence", "source", "evidence", "entity1_type", "entity2_type"]
+# The patterns of the sentence rules.
 END = r"(?:\.|,|;|$)"
 ALLERGY = [r"allerg(?:ic to|y to|ies to|y:)\s+([A-Za-z\s,]+?)(?:\s*[\(\[]|\.|\,|\;|$)", r"(?:intolerant of|intolerance to)\s+([A-Za-z\s]+?)(?:\.|\,|\;|$)"]
 TREATS = [

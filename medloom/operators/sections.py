@@ -38,9 +38,12 @@ def sentence_rows(reports: DataFrame) -> DataFrame:
     return reports.select("report_id", F.posexplode(T.split_sentences(F.col("text"))).alias("position", "sentence"))
 
 
-def process(reports: DataFrame, expand_abbreviations: bool = True, abbreviations: dict[str, str] = lexicon.ABBREVIATIONS) -> DataFrame:
+def process(reports: DataFrame, expand_abbreviations: bool = True, abbreviations: dict[str, str] = lexicon.ABBREVIATIONS, strict: bool = False) -> DataFrame:
     """Clean reports: id, clean text, word counts, number of expanded abbreviations. Empty reports
-    go; a report without an id gets the one that follows from its text."""
+    go, or fail the run if strict; a report without an id gets the one that follows from its text."""
+    if strict:
+        empty = F.raise_error(F.lit("Input text is empty or could not be read."))
+        reports = reports.withColumn("text", F.when(F.length("text") > 0, F.col("text")).otherwise(empty.cast("string")))
     rows = reports.where(F.length("text") > 0)
     given = F.col("report_id").cast("string") if "report_id" in rows.columns else F.lit(None).cast("string")
     rows = rows.select(F.coalesce(given, T.report_id(F.col("text"))).alias("report_id"), F.col("text").alias("raw_text"), T.basic_clean(F.col("text")).alias("basic"))

@@ -61,6 +61,18 @@ def guarded(c: str) -> str:
     return c
 
 
+#: Letters beyond ASCII that SQL's patterns would take for word ends, written as word characters.
+LETTERS = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿŒœŠšŽžŁłĄąĆćĘęŃńŚśŹźŻżĞğİıŞş"
+
+
+def spelt(c: str, back: bool = False) -> str:
+    """A text with its letters beyond ASCII as word characters, or back again."""
+    for letter in LETTERS:
+        one, two = q(letter), q(f"_{ord(letter):x}_")
+        c = f"replace({c}, {two if back else one}, {one if back else two})"
+    return c
+
+
 def expanded(c: str) -> str:
     """One replacement after another, the longest abbreviation first."""
     c = guarded(c)

@@ -2,7 +2,7 @@
 
 Text queries that need no clinical words read documents as they are; the others read notes made up
 from the documents' keys, as documents hold no clinical words. SQL's regular expressions know ASCII
-only, so queries whose result depends on word boundaries keep to ASCII texts.
+only, so letters beyond it are spelt with word characters where word boundaries matter.
 """
 
 from __future__ import annotations
@@ -12,13 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from medloom.functions import lexicon, text as T
 from medloom.operators import coding as C, entities as E, relations as R, sections as S, summaries as U
 from medloom.plans import oracle as O
-from medloom.runtime import table
+from medloom.runtime import kept, table
 from medloom.sources.notes import notes, read_texts  # noqa: F401
 
 FLAGSHIP = "medication_doses"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-ASCII = r"^[\x00-\x7F]*$"
 
 
 def on_notes(name: str, sql: str | None, more: dict[str, str] | None = None):
@@ -52,24 +51,24 @@ def report_ids(d: DataFrame) -> DataFrame:
     return d.where(F.length("text") > 0).select("doc_id", T.report_id(F.col("text")).alias("report_id"), T.report_id(F.col("text"), 12).alias("long_id"))
 
 
-@on_documents("text_counts", f"SELECT doc_id, {O.nwords('text')}::INT AS words, len(regexp_extract_all(text, '[.!?]+'))::INT AS sentences FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@on_documents("text_counts", f"SELECT doc_id, {O.nwords('text')}::INT AS words, len(regexp_extract_all(text, '[.!?]+'))::INT AS sentences FROM documents")
 def text_counts(d: DataFrame) -> DataFrame:
-    return d.where(F.col("text").rlike(ASCII)).select("doc_id", T.count_words(F.col("text")).alias("words"), T.count_sentences(F.col("text")).alias("sentences"))
+    return d.select("doc_id", T.count_words(F.col("text")).alias("words"), T.count_sentences(F.col("text")).alias("sentences"))
 
 
-@on_documents("truncated_texts", f"SELECT doc_id, {O.truncated('text', 60)} AS head FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@on_documents("truncated_texts", f"SELECT doc_id, {O.truncated('text', 60)} AS head FROM documents")
 def truncated_texts(d: DataFrame) -> DataFrame:
-    return d.where(F.col("text").rlike(ASCII)).select("doc_id", T.truncate(F.col("text"), 60).alias("head"))
+    return d.select("doc_id", T.truncate(F.col("text"), 60).alias("head"))
 
 
-@on_documents("document_sentences", f"SELECT doc_id, unnest(l) AS sentence, (generate_subscripts(l, 1) - 1)::INT AS position FROM (SELECT doc_id, {O.sentences('text')} AS l FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))")
+@on_documents("document_sentences", f"SELECT doc_id, unnest(l) AS sentence, (generate_subscripts(l, 1) - 1)::INT AS position FROM (SELECT doc_id, {O.sentences('text')} AS l FROM documents)")
 def document_sentences(d: DataFrame) -> DataFrame:
-    return d.where(F.col("text").rlike(ASCII)).select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("position", "sentence"))
+    return d.select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("position", "sentence"))
 
 
-@on_documents("expanded_documents", f"SELECT doc_id, {O.expanded('text')} AS expanded, {O.expansions('text')}::INT AS n FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+@on_documents("expanded_documents", f"SELECT doc_id, {O.spelt(O.expanded('t'), True)} AS expanded, {O.expansions('t')}::INT AS n FROM (SELECT doc_id, {O.spelt('text')} AS t FROM documents)")
 def expanded_documents(d: DataFrame) -> DataFrame:
-    return d.where(F.col("text").rlike(ASCII)).withColumn("e", T.expand(F.col("text"))).select("doc_id", F.col("e.text").alias("expanded"), F.col("e.expanded").alias("n"))
+    return d.withColumn("e", T.expand(F.col("text"))).select("doc_id", F.col("e.text").alias("expanded"), F.col("e.expanded").alias("n"))
 
 
 @on_notes("clean_notes", f"SELECT report_id, {O.basic('text')} AS clean FROM notes")
@@ -550,18 +549,30 @@ ORACLE_SQL["code_info"] = f"SELECT icd_code, description, category FROM {_ROWS}
     _MAPPED,
 )
 def report_metrics(n: DataFrame) -> DataFrame:
-    """One row of figures for each report; codes meet the rest by report."""
+    """One row of figures for each report. Reports are recognised once: the figures and the lists of
+    diagnoses, small rows, are kept before the codes of the diagnoses meet them by report."""
     found = E.recognise(n)
-    codes = C.map_reports(found).where("icd_code <> ''").groupBy("report_id").agg(F.count_distinct("icd_code").alias("codes"))
     own = F.size(R.deduplicate(F.concat(R.by_rules(F.col("text")), R.kb_treats(F.concat(F.transform("medications", lambda m: m["name"]), F.col("drugs"))), R.kb_symptoms(F.col("symptoms"), F.col("diseases")), R.kb_labs(F.col("labs")), R.kb_complications(F.col("diseases")))))
-    rows = found.select("report_id", T.count_words(F.col("text")).alias("words"), T.count_words(T.truncate(U.extract(F.col("text")), 120)).alias("summary_words"), F.size("entities").alias("entities"), F.size("diseases").alias("diagnoses"), F.size("medications").alias("medications"), own.alias("relations"))
-    return rows.join(codes, "report_id", "left").withColumn("codes", F.coalesce("codes", F.lit(0)).cast("int"))
+    rows = found.select("report_id", T.count_words(F.col("text")).alias("words"), T.count_words(T.truncate(U.extract(F.col("text")), 120)).alias("summary_words"), F.size("entities").alias("entities"), F.size("diseases").alias("diagnoses"), F.size("medications").alias("medications"), own.alias("relations"), F.col("diseases"))
+    prepared = kept(rows)
+    codes = C.map_reports(prepared.select("report_id", F.col("diseases"))).where("icd_code <> ''").groupBy("report_id").agg(F.count_distinct("icd_code").alias("codes"))
+    return prepared.drop("diseases").join(codes, "report_id", "left").withColumn("codes", F.coalesce("codes", F.lit(0)).cast("int"))
 
 
-@on_notes("tab_medications", "SELECT report_id, seq::INT AS seq, name, dosage FROM meds WHERE seq < 2")
+TAB_MEDICATIONS, TAB_LABS = 10, 8
+
+
+@on_notes("tab_medications", f"SELECT report_id, seq::INT AS seq, name, dosage, frequency FROM meds WHERE seq < {TAB_MEDICATIONS}")
 def tab_medications(n: DataFrame) -> DataFrame:
-    """The first medications of each report, as a tab shows them: two here, ten by default there."""
-    return n.select("report_id", F.posexplode(F.slice(E.medications(F.col("text")), 1, 2)).alias("seq", "m")).select("report_id", "seq", "m.name", "m.dosage")
+    """The first ten medications of each report, as a tab shows them."""
+    return n.select("report_id", F.posexplode(F.slice(E.medications(F.col("text")), 1, TAB_MEDICATIONS)).alias("seq", "m")).select("report_id", "seq", "m.name", "m.dosage", "m.frequency")
+
+
+@on_notes("tab_labs", f"SELECT report_id, seq::INT AS seq, test_name, trim(value || ' ' || unit) AS shown FROM labs WHERE seq < {TAB_LABS}")
+def tab_labs(n: DataFrame) -> DataFrame:
+    """The first eight laboratory values of each report, as a tab shows them."""
+    rows = n.select("report_id", F.posexplode(F.slice(E.labs(F.col("text")), 1, TAB_LABS)).alias("seq", "x"))
+    return rows.select("report_id", "seq", "x.test_name", F.trim(F.concat_ws(" ", "x.value", "x.unit")).alias("shown"))
 
 
 @on_notes("tab_entities", f"SELECT * FROM (SELECT report_id, label, etext AS text, row_number() OVER (PARTITION BY report_id, label ORDER BY seq)::INT AS place FROM ents) WHERE place <= 12")

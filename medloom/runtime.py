@@ -48,6 +48,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """The frame as a checkpoint in the shared folder: computed once, and it outlives lost executors."""
+    checkpoint_dir(frame.sparkSession)
+    return frame.checkpoint()
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     """Remove a folder of any file system that Spark reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

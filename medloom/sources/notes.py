@@ -40,8 +40,23 @@ def with_ids(reports: DataFrame) -> DataFrame:
     return reports.where(F.length("text") > 0).withColumn("report_id", T.report_id(F.col("text")))
 
 
-def write_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def write_json(rows: DataFrame, path: str, indent: bool = False) -> None:
+    """A JSON object for each row: one line each, or indented and apart by an empty line."""
+    if indent:
+        shown = rows.select(F.to_json(F.struct(*rows.columns), {"pretty": "true"}).alias("value"))
+        shown.write.mode("overwrite").text(path, lineSep="\n\n")
+    else:
+        rows.write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, indent: bool = False) -> DataFrame:
+    """Rows of JSON objects as write_json writes them; with indent, files of one array too."""
+    if not indent:
+        return spark.read.json(path)
+    schema = spark.read.option("multiLine", True).json(path).schema
+    objects = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n\n")).alias("value")).where(F.trim("value") != "")
+    rows = F.when(F.startswith(F.trim("value"), F.lit("[")), F.from_json("value", F.lit(f"array<{schema.simpleString()}>"))).otherwise(F.array(F.from_json("value", schema)))
+    return objects.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def write_notes(notes: DataFrame, path: str) -> None:

@@ -236,3 +236,40 @@ def test_tables_are_whole():
     assert len(lexicon.ABBREVIATIONS) == 234 and len(lexicon.alias_codes()) == 296
     assert lexicon.ABBREVIATIONS["mg"] == "milligrams" and lexicon.alias_codes()["urosepsis"] == "A41.51"
     assert "n/v/d" in lexicon.ABBREVIATIONS and "brain attack" in lexicon.alias_codes()
+
+
+@pytest.mark.parametrize("indent", [False, True])
+def test_json_there_and_back(spark, tmp_path, indent):
+    rows = spark.createDataFrame([("a", 1, ["x", "y"]), ("b é", 2, []), ("c\n\nd", 3, ["{"])], "name string, n bigint, own array<string>").coalesce(1)
+    N.write_json(rows, str(tmp_path / "j"), indent)
+    got = N.read_json(spark, str(tmp_path / "j"), indent)
+    assert sorted((r["name"], r["n"], r["own"]) for r in got.collect()) == sorted(map(tuple, rows.collect()))
+
+
+def test_strict_reports_fail_on_empty_text(spark):
+    rows = spark.createDataFrame([("1", "some text"), ("2", "")], "report_id string, text string")
+    assert S.process(rows).count() == 1
+    with pytest.raises(Exception, match="empty"):
+        S.process(rows, strict=True).collect()
+
+
+def test_tables_are_whole():
+    assert len(lexicon.ABBREVIATIONS) == 234 and {"aids", "bipap", "fev1", "n/v/d", "picc", "ugib"} <= {k.lower() for k in lexicon.ABBREVIATIONS}
+    aliases = [a.lower() for _, _, _, own in lexicon.CODES for a in own]
+    assert len(lexicon.CODES) == 80 and len(aliases) >= 296
+    assert {"hf", "acute mi", "hypercholesterolemia", "cerebral infarction", "chronic renal failure", "gastroesophageal reflux", "mdd", "blood poisoning"} <= set(aliases)
+    assert lexicon.ABBREVIATIONS["n/v/d"] == "nausea vomiting and diarrhea"
+
+
+def test_many_hits_take_time_in_proportion(spark):
+    import time
+
+    rows = spark.createDataFrame([("1", "Aspirin 81 mg daily. fever on 03/14/2023, hypertension. " * 4000)], "report_id string, text string")
+    start = time.perf_counter()
+    got = E.recognise(rows).collect()[0]
+    assert time.perf_counter() - start < 60
+    assert {e["text"].lower() for e in got["entities"]} >= {"aspirin", "fever", "hypertension", "03/14/2023"} and len(got["medications"]) == 1
+
+
+def test_letters_beyond_ascii_are_parts_of_words(spark):
+    assert [value(spark, T.expand, t)["text"] for t in ("éPT or PTé", "über Pt")] == ["éPT operating room PTé", "über patient"]
