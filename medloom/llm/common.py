@@ -11,13 +11,11 @@ from medloom.runtime import checkpoint_dir, ship, table
 
 #: Rows and bytes of one Arrow batch: what bounds a Python worker's memory besides one text.
 BATCH_ROWS = 1500
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 #: Bytes of texts that a function is given at a time; a longer text comes alone.
 SLICE_BYTES = 2 << 20
 #: Bits of a map of hashes: its size is fixed (8 MB), more bits leave more out.
 BITS = 1 << 26
-#: Bits of one row of a map, a property of Spark's own bit map functions.
-MAP_ROW = 1 << 15
 
 
 def prepare(spark: SparkSession) -> None:
@@ -64,26 +62,17 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
 
 
 def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
-    """A map of BITS bits, those of the column's values set: BITS / 8 bytes, however many rows. The
-    driver gets its rows; it is what a broadcast holds."""
+    """A map of BITS bits, those of the column's values set, in words of 64: of fixed size, however
+    many rows there are. The driver gets its words; it is what a broadcast holds."""
     bit = F.pmod(F.col(column), F.lit(BITS))
-    rows = hashes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    # buckets are numbered from one and a bit that a multiple of a row's bits names is the last of its bucket
-    out = np.zeros((BITS // MAP_ROW + 2, MAP_ROW // 8), np.uint8)
-    for r in rows.toLocalIterator():
-        own = np.frombuffer(r["bits"], np.uint8)
-        out[r["row"], : len(own)] = own
+    words = hashes.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({column}, {BITS}) & 63 as int))").alias("bits"))
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITS >> 6, np.uint64)
+    out[np.asarray(found.column("word"))] = np.asarray(found.column("bits")).view(np.uint64)
     return out
 
 
-def _place(values: np.ndarray):
-    """Row, byte and bit of values in a bit map, as Spark numbers them."""
-    bit = values.view(np.int64) % BITS
-    row = np.where(bit > 0, 1 + (bit - 1) // MAP_ROW, bit // MAP_ROW)
-    position = np.where(bit > 0, (bit - 1) % MAP_ROW, 0)
-    return row, position >> 3, (position & 7).astype(np.uint8)
-
-
 def in_map(shown: np.ndarray, values: np.ndarray) -> np.ndarray:
-    row, byte, bit = _place(values)
-    return (shown[row, byte] >> bit & 1).astype(bool)
+    """Which values may be among those of the map: all that are, and few others."""
+    bit = values.view(np.int64) & (BITS - 1)
+    return (shown[bit >> 6] >> (bit & 63).view(np.uint64) & np.uint64(1)).astype(bool)
