@@ -216,3 +216,25 @@ def text_media(docs: DataFrame) -> DataFrame:
     refs = references(sequences(stored, carry=("n_bytes",)), carry=("n_bytes",))
     media = stored.select("digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     return resolve(refs, media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def illustrated_pages(pages: DataFrame, docs: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Pages as interleaved sequences: each raw page shows, after its own content, the stored text of
+    the document with its key (a reference that leads nowhere if there is none, and to the least of
+    several). The sequence's items are resolved by digest and stay in order: key, number of items, of
+    media and of resolved media, characters of text, and a digest of the whole sequence (kind, text
+    or payload, caption of each item)."""
+    prepare(pages.sparkSession)
+    stored = stored_texts(docs).select("doc_id", "digest", "payload_sha256", "media_bytes").checkpoint()
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shown = stored.groupBy("doc_id").agg(F.min("digest").alias("_digest")).where("doc_id is not null").repartition(n)
+    rows = pages.select(F.col(key).cast("bigint").alias(key), F.col(html).alias("_page"))
+    figure = F.concat(F.lit(f'<figure><img src="{PREFIX}'), F.coalesce("_digest", F.lit("none")), F.lit('"><figcaption>text of page '), F.coalesce(F.col(key).cast("string"), F.lit("none")), F.lit("</figcaption></figure>"))
+    whole = rows.join(shown, F.col(key) == F.col("doc_id"), "left").select(key, F.concat(F.coalesce("_page", F.lit("")), figure).alias("html"))
+    items = interleave(sequences(whole, key), stored.drop("doc_id"), key)
+    media = F.filter("items", lambda x: x["item"]["kind"] == "media")
+    line = F.transform("items", lambda x: F.concat_ws("\t", x["item"]["kind"], F.coalesce(x["item"]["text"], x["media"]["payload_sha256"], F.lit("")), F.coalesce(x["item"]["caption"], F.lit(""))))
+    return items.select(
+        key, F.size("items").cast("bigint").alias("n_items"), F.size(media).cast("bigint").alias("n_media"), F.size(F.filter(media, lambda x: x["media"]["payload_sha256"].isNotNull())).cast("bigint").alias("n_resolved"),
+        F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(F.length(x["item"]["text"]), F.lit(0))).alias("n_chars"), F.sha2(F.array_join(line, "\n"), 256).alias("sequence_sha256"),
+    )

@@ -37,10 +37,13 @@ KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
 #: Tokens and characters of an entity at most, and characters around a candidate that the field reads.
 MOST, CHARS, REACH = 24, 254, 64
+#: Groups of digits of a card or phone number at most; tokens that are decoded at a time (pieces of a
+#: longer stretch overlap by an entity).
+GROUPS, PIECE = 7, 2048
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]", re.ASCII)
@@ -145,8 +148,9 @@ def candidates(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int,
     """For each token that can end an entity, its candidates: the first token, type and span."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in spans]
     own = [text[a:z] for a, z in spans]
-    digits, signs = [0], [0]
+    digits, signs, groups = [0], [0], [0]
     for w in own:
+        groups.append(groups[-1] + ("0" <= w[0] <= "9"))
         digits.append(digits[-1] + (len(w) if "0" <= w[0] <= "9" else 0))
         signs.append(signs[-1] + (w == "@" or w == "at"))
     for j in range(1, len(spans) + 1):
@@ -162,6 +166,8 @@ def candidates(text: str, spans: list[tuple[int, int]]) -> list[list[tuple[int,
                 break
             if not (own[i][0].isalnum() or own[i] in "+("):
                 continue
+            if not mail and groups[j] - groups[i] > GROUPS:
+                break
             span = text[start:end]
             if mail:
                 if _EMAIL.fullmatch(span):
@@ -396,9 +402,15 @@ def added_spans(text: str, field: SegmentField, base: list[list[tuple[int, int]]
             low -= 1
         while high < len(text) and high - z < CHARS and text[high - 1].isalnum() and text[high].isalnum():
             high += 1
-        for kind, start, end in field.decode(text, tokens_of(text, low, high)):
-            if not _overlaps(taken, start, end):
-                out[kind].append((start, end))
+        tokens, at = tokens_of(text, low, high), 0
+        while at < len(tokens):
+            stop = tokens[at + PIECE][0] if at + PIECE < len(tokens) else high
+            for kind, start, end in field.decode(text, tokens[at : at + PIECE + MOST]):
+                if start < stop:
+                    stop = max(stop, end)
+                    if not _overlaps(taken, start, end):
+                        out[kind].append((start, end))
+            at = bisect_left(tokens, (stop, 0), at + 1)
     return out
 
 

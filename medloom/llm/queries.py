@@ -49,6 +49,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfp.remove_repeats(documents(spark, sf_dir))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on raw pages: sequences of text and media, resolved by digest."""
+    return media.illustrated_pages(table(spark, sf_dir, "pages"), documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_media": op1_media,
     "op2_pii": op2_pii,
@@ -60,6 +65,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_lines": op9_lines,
     "op10_repeats": op10_repeats,
+    "media_pages": media_pages,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -100,6 +100,21 @@ def test_interleaving_keeps_null_and_repeated_keys(spark):
     assert media.interleave(found.limit(0), known).count() == 0
 
 
+def test_pages_by_brute_force(spark, small, docs):
+    got = {r["page_id"]: tuple(r)[1:] for r in queries.media_pages(spark, small).collect()}
+    pages = spark.read.parquet(f"{small}/pages.parquet").collect()
+    stored = {r["doc_id"]: media.pad((r["text"] or "").encode()) for r in docs.collect()}
+    assert len(got) == len(pages)
+    for page in pages:
+        payload = stored.get(page["page_id"])
+        own = [(x["kind"], x["text"], x["caption"]) for x in media.parse(page["html"])]
+        own.append(("media", hashlib.sha256(payload).hexdigest() if payload else None, f"text of page {page['page_id']}"))
+        text = "\n".join("\t".join(x or "" for x in item) for item in own)
+        assert got[page["page_id"]] == (len(own), 1, int(payload is not None), sum(len(t) for k, t, _ in own if k == "text"), hashlib.sha256(text.encode()).hexdigest())
+    texts = [t for x in pages[:20] for k, t in ((i["kind"], i["text"]) for i in media.parse(x["html"])) if k == "text"]
+    assert not any("track(" in t or "margin:0" in t or "<p" in t for t in texts)
+
+
 # --- personal data ---------------------------------------------------------------------------
 
 
@@ -126,6 +141,102 @@ def test_field_finds_generated_entities_and_splits_runs():
     assert pii.added_spans("on 2024-01-05 we sold 1,234,567 at 12:30", field, [[], [], [], []]) == [[], [], [], []]
 
 
+#: Lines written by hand, with what in them is personal data.
+HAND = [
+    ("Please ring tel 030 1234567 after six", [("phone", "030 1234567")]),
+    ("call (555) 123-4567 now", [("phone", "(555) 123-4567")]),
+    ("the phone: 0171 2345678, thanks", [("phone", "0171 2345678")]),
+    ("fax 212 555 0199 for the forms", [("phone", "212 555 0199")]),
+    ("write to jane.doe (at) example (dot) org today", [("email", "jane.doe (at) example (dot) org")]),
+    ("or to john at mail dot example dot com", [("email", "john at mail dot example dot com")]),
+    ("paid with 4111 1111 1111 1111 on Monday", [("card", "4111 1111 1111 1111")]),
+    ("cards 5500005555555559 5500005555555559", [("card", "5500005555555559"), ("card", "5500005555555559")]),
+    ("the server 192.168.10.254 is down", [("ip", "192.168.10.254")]),
+    ("order 4111 1111 1111 1112 is late", []),
+    ("on 2024-01-05 we sold 1,234,567 pieces at 12:30:15", []),
+    ("isbn 978-3-16-148410-0 has 320 pages", []),
+    ("version 1.2.3 of part 12345678 costs 19.99", []),
+    ("we meet at noon and look at it", []),
+    ("figures 300.400.500.600 are no address", []),
+    ("the years 1999 2000 2001 2002 were good", []),
+]
+
+
+def test_field_on_lines_by_hand():
+    field = pii.train()
+    right = wrong = total = 0
+    for text, gold in HAND:
+        got = [(pii.KINDS[k], text[a:z]) for k, a, z in field.decode(text, pii.tokens_of(text, 0, len(text)))]
+        right, wrong, total = right + len(Counter(got) & Counter(gold)), wrong + len(Counter(got) - Counter(gold)), total + len(gold)
+    assert right >= 0.9 * total and wrong <= 1
+
+
+def every_segmentation(spans, lattice, at=0):
+    """All segmentations of the tokens from a place on: lists of type and keys."""
+    if at == len(spans):
+        yield []
+        return
+    for rest in every_segmentation(spans, lattice, at + 1):
+        yield [(pii.NONE, []), *rest]
+    for j in range(at, len(spans)):
+        for i, k, keys in lattice[j]:
+            if i == at:
+                for rest in every_segmentation(spans, lattice, j + 1):
+                    yield [(k, keys), *rest]
+
+
+def test_sums_over_segmentations_by_brute_force():
+    rng = random.Random(17)
+    for text in ("tel 030 1234567 x", "10.0.0.1 4111111111111111", "a@b.co 555-123-4567", "no data"):
+        spans = pii.tokens_of(text, 0, len(text))
+        field = pii.SegmentField()
+        lattice = field.lattice(text, spans)
+        field.weights = {k: rng.gauss(0, 1) for own in lattice for _, _, keys in own for k in keys} | {f"{a}>{b}": rng.gauss(0, 1) for a in range(5) for b in range(5)}
+
+        def value(own):
+            kinds = [pii.NONE, *(k for k, _ in own)]
+            return sum(field.score(keys) for _, keys in own) + sum(field.weights[f"{a}>{b}"] for a, b in zip(kinds, kinds[1:]))
+
+        every = list(every_segmentation(spans, lattice))
+        values = np.array([value(own) for own in every])
+        total = float(np.logaddexp.reduce(values))
+        want: Counter = Counter()
+        for own, v in zip(every, values):
+            kinds = [pii.NONE, *(k for k, _ in own)]
+            for key in [*(k for _, keys in own for k in keys), *(f"{a}>{b}" for a, b in zip(kinds, kinds[1:]))]:
+                want[key] += math.exp(v - total)
+        got, found = field.expected(lattice)
+        assert abs(found - total) < 1e-9 and all(abs(got.get(k, 0) - v) < 1e-9 for k, v in want.items()) and set(got) <= set(want)
+        best, at, decoded = every[int(values.argmax())], 0, []
+        shown = [k for k, _ in best if k != pii.NONE]
+        assert [k for k, _, _ in field.decode(text, spans)] == shown
+
+
+def test_pii_query_by_plain_code(spark, docs):
+    patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+    digits = lambda s: "".join(c for c in s if c in "0123456789")
+    fits = [lambda s: True, lambda s: all(int(x) <= 255 for x in s.split(".")), lambda s: 13 <= len(digits(s)) <= 19 and pii.luhn(digits(s)), lambda s: 9 <= len(digits(s)) <= 15]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(None, None), (-1, ""), (-2, "é a@b.co 1.2.3.4.5 +49 30 1234567 4111-1111-1111-1111 tel 030 7654321")], "doc_id bigint, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in more.collect()}
+    for r in pii.find(more).collect():
+        text = texts[r["doc_id"]]
+        base = [[(k, *m.span()) for m in re.finditer(p, text) if f(m.group())] for k, p, f in zip(pii.KINDS, patterns, fits)]
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == list(map(len, base))
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{z}" for own in base for k, a, z in own).encode()).hexdigest()
+        spans = [tuple(x.split(":")) for x in r["spans"].split(",") if x]
+        own = [(k, int(a), int(z)) for k, a, z in spans]
+        assert own == sorted(own, key=lambda x: (pii.KINDS.index(x[0]), x[1])) and set(sum(base, [])) <= set(own)
+        added = set(own) - set(sum(base, []))
+        assert len(added) == r["n_added"] and not any(a < z2 and a2 < z for _, a, z in added for o in base for _, a2, z2 in o)
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1 2 " * 250_000, "a@" * 300_000, "+1 (" * 200_000, "1.2." * 250_000, "john at mail dot com " * 20_000], ids=["digits", "spaced", "at", "plus", "dots", "spelt"])
+def test_pii_of_long_texts_takes_time_in_proportion(text):
+    start = time.perf_counter()
+    pii.added_spans(text, pii.train(), pii.base_spans(text))
+    assert time.perf_counter() - start < 40
+
+
 # --- decontamination -------------------------------------------------------------------------
 
 
