@@ -166,7 +166,8 @@ def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Links a, b between different fingerprints within the radius, from distinct fp."""
     spark = prints.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    prints = prints.select("fp").checkpoint()
+    # keys are many times the fingerprints, which the planner can't know
+    prints = prints.select("fp").repartition(n, "fp").checkpoint()
     again = _keys(prints, radius).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     rows = _keys(prints, radius, spark.sparkContext.broadcast(bit_map(again, "g"))).checkpoint()
     dealt = None
