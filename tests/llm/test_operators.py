@@ -326,6 +326,38 @@ def test_viterbi_is_the_plain_one(docs):
             at += n
 
 
+def test_score_and_spans_by_plain_code(docs):
+    """What follows from the words' labels, one text after another."""
+    model = langid.learn(docs)
+    texts = [r["text"] for r in docs.select("text").limit(80).collect()]
+    texts += [" ".join(a.split()[:40] + b.split()[:30] + ["12", "?!"]) for a, b in zip(texts[:20], texts[20:40])] + [None, "", "12 ?", "zzqx", "привет"]
+    import pyarrow as pa
+
+    got = list(zip(*model.predict(pa.array(texts, pa.string()))))
+    for text, (lang, score, n_spans, spans) in zip(texts, got):
+        words = (text or "").lower().split()
+        if not any(c.isalpha() for c in text or ""):
+            assert (lang, score, n_spans, spans) == ("und", 0.0, 0, "")
+            continue
+        scores, letter, told = model.word_scores(words)
+        labels = model.label(scores, np.arange(len(words)), np.array([len(words)]))
+        heard: Counter = Counter()
+        for w, k in enumerate(labels):
+            heard[int(k)] += int(letter[w]) if told[w] else 0
+        if not sum(heard.values()):
+            assert lang == model.langs[model.default] and score == 1 / len(model.langs)
+            continue
+        best = max(range(len(model.langs)), key=lambda k: heard[k])
+        share = sum(letter[w] * math.exp(scores[w, best]) for w in range(len(words)) if told[w]) / sum(heard.values())
+        assert lang == model.langs[best] and abs(score - min(1.0, share)) < 1e-6 and 0 <= score <= 1
+        runs, start = [], 0
+        for w in range(1, len(words) + 1):
+            if w == len(words) or labels[w] != labels[start]:
+                runs.append(f"{model.langs[labels[start]]}:{start}:{w - 1}")
+                start = w
+        assert spans == ",".join(runs) and n_spans == len(runs)
+
+
 def test_mixed_text_has_spans_and_letterless_text_none(spark, docs):
     en, fr = (max((r["text"] for r in docs.where(F.col("lang") == x).limit(20).collect()), key=len) for x in ("en", "fr"))
     more = docs.union(spark.createDataFrame([(-1, " ".join(en.split()[:80] + fr.split()[:60]), None, None, 1), (-2, "12 ?! 7", None, None, 1), (-3, None, "en", None, None), (-4, "привет мир", None, None, 1)], DOCS))
@@ -665,6 +697,13 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert got == [(1, "first own line"), (2, "last own line"), (3, "short line here"), (4, "short line here"), (4, "short line here"), (5, "")]
 
 
+@pytest.mark.parametrize("text", ["same line here now\n" * 50_000, "\n".join(f"own line {i}x of many" for i in range(40_000)), "word " * 200_000], ids=["same", "own", "one"])
+def test_lines_of_long_texts_take_time_in_proportion(spark, text):
+    start = time.perf_counter()
+    got = linededup.drop_lines(spark.createDataFrame([(1, text), (2, "x y z")], "doc_id bigint, text string")).collect()
+    assert len(got) == 2 and all(r["n_dropped"] == 0 for r in got) and time.perf_counter() - start < 90
+
+
 # --- repeats ---------------------------------------------------------------------------------
 
 
