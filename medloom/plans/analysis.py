@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from medloom.functions import lexicon
 from medloom.operators import coding, entities, relations, sections, summaries
+from medloom.runtime import kept
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,8 @@ class Settings:
     load_tagger: object = None
     #: Makes the column `abstractive` of recognised reports; else the extract is shortened.
     abstractive: object = None
+    #: Keep the recognised reports as a checkpoint, so that the tables don't recognise them again each.
+    keep: bool = False
     #: Printed in notes.
     generated: str = "not dated"
 
@@ -42,6 +45,8 @@ def analyse(reports: DataFrame, settings: Settings | None = None) -> dict[str, D
     found = entities.recognise(tagged, s.confidence_threshold)
     if s.abstractive is not None:
         found = found.withColumn("abstractive", s.abstractive)
+    if s.keep:
+        found = kept(found)
     secs = sections.section_rows(texts)
     related = relations.extract(found)
     matches = coding.map_reports(found, s.code_threshold, s.codes)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +51,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def timed(name: str):
+    """Logs the seconds that a block takes. Only actions take long: a plan is made at once."""
+    start = time.perf_counter()
+    try:
+        yield
+    finally:
+        logging.getLogger("medloom").debug("%s took %.3f s", name, time.perf_counter() - start)
+
+
 def kept(frame: DataFrame) -> DataFrame:
     """The frame as a checkpoint in the shared folder: computed once, and it outlives lost executors."""
     checkpoint_dir(frame.sparkSession)

@@ -35,6 +35,14 @@ def read_pdfs(spark: SparkSession, path: str, parser) -> DataFrame:
     return with_ids(files.mapInPandas(run, "source string, text string"))
 
 
+def uploaded(pasted: DataFrame, uploads: DataFrame, key: str = "report_id") -> DataFrame:
+    """Pasted reports (key, text) with uploaded ones (key, content): an upload that isn't empty takes
+    the place of the pasted text of its key. Bytes that aren't UTF-8 are left out."""
+    own = uploads.select(key, F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit("")).alias("_own"))
+    both = pasted.select(key, "text").join(own, key, "full")
+    return both.select(key, F.when(F.length(F.trim("_own")) > 0, F.col("_own")).otherwise(F.col("text")).alias("text"))
+
+
 def with_ids(reports: DataFrame) -> DataFrame:
     """Reports with text and the id that follows from it; empty ones go."""
     return reports.where(F.length("text") > 0).withColumn("report_id", T.report_id(F.col("text")))

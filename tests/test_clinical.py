@@ -273,3 +273,27 @@ def test_many_hits_take_time_in_proportion(spark):
 
 def test_letters_beyond_ascii_are_parts_of_words(spark):
     assert [value(spark, T.expand, t)["text"] for t in ("éPT or PTé", "über Pt")] == ["éPT operating room PTé", "über patient"]
+
+
+def test_uploads_take_the_place_of_pasted_texts(spark):
+    pasted = spark.createDataFrame([("1", "pasted"), ("2", "stays"), ("3", "stays too")], "report_id string, text string")
+    uploads = spark.createDataFrame([("1", b"file \xff\xc3\xa9"), ("2", b"  "), ("4", b"alone")], "report_id string, content binary")
+    assert {tuple(r) for r in N.uploaded(pasted, uploads).collect()} == {("1", "file é"), ("2", "stays"), ("3", "stays too"), ("4", "alone")}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from medloom import runtime
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None, getConf=lambda: SimpleNamespace(get=lambda _: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        runtime.checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_blocks_are_timed(caplog):
+    from medloom.runtime import timed
+
+    with caplog.at_level("DEBUG", "medloom"), timed("block"):
+        pass
+    assert "block took" in caplog.text
