@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from medloom.llm.common import arrow_map, bit_map, in_map, prepare
 from medloom.llm.graph import components
+from medloom.runtime import Scratch
 
 WORDS, SEED, RADIUS, BITS = 3, 42, 3, 64
-#: Words of a shingle and radius where near copies are sought by five-word shingles.
-NEAR_WORDS, NEAR_RADIUS = 5, 6
+#: Words of a shingle, radius of the candidates and least similarity where near copies are sought.
+NEAR_WORDS, NEAR_RADIUS, NEAR = 5, 6, 0.8
 HOT, LEVELS = 4096, 3
 CHUNK = 1 << 15
 #: Bytes beyond which a text's words are read one after another.
@@ -228,16 +229,79 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, columns: tuple[str, ...], radius: int = NEAR_RADIUS, size: int = NEAR_WORDS) -> DataFrame:
-    """One row of docs from each component: that of the smallest doc_id, a null one only where there
-    is no other. Rows are told apart by all of the columns, so rows with one doc_id and different
-    texts are judged each by itself, and of equal rows one stays."""
+def shingle_sets(docs: DataFrame, shown, size: int) -> DataFrame:
+    """fp and the distinct hashes of the shingles of the rows whose _r1 is in a map, with _r1."""
+
+    def run(batch):
+        from xxhash import xxh64_intdigest
+
+        out = []
+        go = in_map(shown.value, np.asarray(batch.column(1)))
+        for text, r1 in zip(batch.column(0).filter(pa.array(go)).to_pylist(), np.asarray(batch.column(1))[go].tolist()):
+            own: set = set()
+            for words in stretches((text or "").encode().lower(), size):
+                shingles = zip(*(words[i:] for i in range(size))) if len(words) >= size else [words]
+                own.update(xxh64_intdigest(b" ".join(x), SEED) for x in shingles)
+            out.append((fingerprint(text or "", size), r1, sorted(own)))
+        if not out:
+            return None
+        fps, rows, sets = zip(*out)
+        flat = np.array([x for own in sets for x in own], np.uint64).view(np.int64)
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        return {"fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "_r1": pa.array(rows, pa.int64()), "shingles": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
+
+    return arrow_map(docs.select("text", "_r1"), run, "fp bigint, _r1 bigint, shingles array<bigint>")
+
+
+def similar_links(found: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """a, b: links that connect what links of at least the similarity (shared shingles over all of
+    both texts, exactly) among `found` connect. First each group's nearest link is looked at, twice,
+    as links within a group need no look; then all that are left between groups."""
+    spark = found.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = scratch.keep(found.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("far")))
+    ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
+    one = rows.groupBy("fp").agg(F.min("_r1").alias("_r1")).join(ends, "fp", "left_semi")
+    shown = spark.sparkContext.broadcast(bit_map(one, "_r1"))
+    sets = scratch.keep(shingle_sets(docs, shown, size).join(one.select("fp", "_r1"), ["fp", "_r1"], "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    groups, similar, judged = None, None, None
+    for look in range(3):
+        between = edges if judged is None else edges.join(judged.select("a", "b"), ["a", "b"], "left_anti")
+        of = {c: F.col(c) for c in ("a", "b")}
+        if groups is not None:
+            for c in of:
+                between = between.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"g{c}")).repartition(n), c, "left")
+                of[c] = F.coalesce(f"g{c}", c)
+            between = between.where(of["a"] != of["b"])
+        if look < 2:
+            best = F.min(F.struct("far", "a", "b")).alias("x")
+            between = between.select(of["a"].alias("g"), "far", "a", "b").union(between.select(of["b"].alias("g"), "far", "a", "b")).groupBy("g").agg(best).select("x.a", "x.b").distinct()
+        left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+        both = between.select("a", "b").join(left, "a").join(right, "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        new = scratch.keep(both.select("a", "b", (shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).alias("similar")))
+        judged = new if judged is None else judged.union(new)
+        similar = judged.where("similar").select("a", "b")
+        if look < 2:
+            groups = components(similar)
+    return similar
+
+
+def first_of_each(docs: DataFrame, columns: tuple[str, ...], radius: int = NEAR_RADIUS, size: int = NEAR_WORDS, similarity: float = NEAR) -> DataFrame:
+    """One row of docs from each group of near copies: that of the smallest doc_id, a null one only
+    where there is no other. Fingerprints within the radius give the candidates; those whose texts
+    share at least `similarity` of their shingles are linked. Rows are told apart by all of the
+    columns, so rows with one doc_id and different texts are judged each by itself, and of equal rows
+    one stays. Texts with equal fingerprints are one group."""
     prepare(docs.sparkSession)
     own = docs.select(*columns)
     every = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
     keyed = own.withColumn("_r1", F.xxhash64(*every)).withColumn("_r2", F.xxhash64(F.lit("row"), *every))
     rows = fingerprints(keyed, ("_r1", "_r2"), size).checkpoint()
-    of = _components(rows, radius)
+    prints = rows.select("fp").distinct()
+    with Scratch(docs.sparkSession) as scratch:
+        found = components(similar_links(links(prints, radius), rows, keyed, size, similarity, scratch)).checkpoint()
+    of = prints.join(found, prints["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("component"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_r1", "_r2")
     best = rows.groupBy("fp").agg(F.min(order).alias("o")).join(of, "fp").groupBy("component").agg(F.min("o").alias("o")).select("o._r1", "o._r2")
     times = rows.groupBy("_r1", "_r2").agg(F.count("*").alias("_times"))
