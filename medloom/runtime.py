@@ -91,7 +91,7 @@ class Scratch:
     def keep(self, frame: DataFrame) -> DataFrame:
         self.tables += 1
         path = f"{self.folder}/{self.tables}"
-        frame.write.option("compression", "zstd").parquet(path)
+        frame.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, number: int) -> None:
