@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from medloom.llm.common import arrow_map, bit_map, in_map, prepare
 from medloom.llm.graph import components
-from medloom.runtime import Scratch
 
 WORDS, SEED, RADIUS, BITS = 3, 42, 3, 64
 #: Words of a shingle, radius of the candidates and least similarity where near copies are sought.
@@ -253,38 +252,31 @@ def shingle_sets(docs: DataFrame, shown, size: int) -> DataFrame:
     return arrow_map(docs.select("text", "_r1"), run, "fp bigint, _r1 bigint, shingles array<bigint>")
 
 
-def similar_links(found: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float, scratch: Scratch) -> DataFrame:
+def similar_links(found: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """a, b: links that connect what links of at least the similarity (shared shingles over all of
-    both texts, exactly) among `found` connect. First each group's nearest link is looked at, twice,
-    as links within a group need no look; then all that are left between groups."""
+    both texts, exactly) among `found` connect. First each fingerprint's nearest link is looked at;
+    then all that are left between the groups so found, as links within a group need no look."""
     spark = found.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = scratch.keep(found.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("far")))
+    edges = found.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("far")).checkpoint()
     ends = edges.select(F.col("a").alias("fp")).union(edges.select(F.col("b").alias("fp"))).distinct()
     one = rows.groupBy("fp").agg(F.min("_r1").alias("_r1")).join(ends, "fp", "left_semi")
     shown = spark.sparkContext.broadcast(bit_map(one, "_r1"))
-    sets = scratch.keep(shingle_sets(docs, shown, size).join(one.select("fp", "_r1"), ["fp", "_r1"], "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
-    groups, similar, judged = None, None, None
-    for look in range(3):
-        between = edges if judged is None else edges.join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        of = {c: F.col(c) for c in ("a", "b")}
-        if groups is not None:
-            for c in of:
-                between = between.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"g{c}")).repartition(n), c, "left")
-                of[c] = F.coalesce(f"g{c}", c)
-            between = between.where(of["a"] != of["b"])
-        if look < 2:
-            best = F.min(F.struct("far", "a", "b")).alias("x")
-            between = between.select(of["a"].alias("g"), "far", "a", "b").union(between.select(of["b"].alias("g"), "far", "a", "b")).groupBy("g").agg(best).select("x.a", "x.b").distinct()
-        left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
-        both = between.select("a", "b").join(left, "a").join(right, "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        new = scratch.keep(both.select("a", "b", (shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).alias("similar")))
-        judged = new if judged is None else judged.union(new)
-        similar = judged.where("similar").select("a", "b")
-        if look < 2:
-            groups = components(similar)
-    return similar
+    sets = shingle_sets(docs, shown, size).join(one.select("fp", "_r1"), ["fp", "_r1"], "left_semi").groupBy("fp").agg(F.min("shingles").alias("shingles")).checkpoint()
+    left, right = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    enough = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", enough.alias("similar")).checkpoint()
+
+    nearest = edges.select(F.col("a").alias("g"), "far", "a", "b").union(edges.select(F.col("b").alias("g"), "far", "a", "b"))
+    first = judged(nearest.groupBy("g").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
+    similar = first.where("similar").select("a", "b")
+    groups, between = components(similar), edges.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        between = between.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"g{c}")).repartition(n), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
+    return similar.union(judged(between.where("ga <> gb")).where("similar").select("a", "b"))
 
 
 def first_of_each(docs: DataFrame, columns: tuple[str, ...], radius: int = NEAR_RADIUS, size: int = NEAR_WORDS, similarity: float = NEAR) -> DataFrame:
@@ -299,8 +291,7 @@ def first_of_each(docs: DataFrame, columns: tuple[str, ...], radius: int = NEAR_
     keyed = own.withColumn("_r1", F.xxhash64(*every)).withColumn("_r2", F.xxhash64(F.lit("row"), *every))
     rows = fingerprints(keyed, ("_r1", "_r2"), size).checkpoint()
     prints = rows.select("fp").distinct()
-    with Scratch(docs.sparkSession) as scratch:
-        found = components(similar_links(links(prints, radius), rows, keyed, size, similarity, scratch)).checkpoint()
+    found = components(similar_links(links(prints, radius), rows, keyed, size, similarity))
     of = prints.join(found, prints["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("component"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "_r1", "_r2")
     best = rows.groupBy("fp").agg(F.min(order).alias("o")).join(of, "fp").groupBy("component").agg(F.min("o").alias("o")).select("o._r1", "o._r2")
