@@ -180,7 +180,7 @@ def feature(payload: bytes) -> str:
     mean = samples.reshape(-1, CHANNELS).mean(0)
     share = np.bincount(samples, minlength=256)
     share = share[share > 0] / len(samples)
-    return ",".join(f"{x:.4f}" for x in (*mean, float(-(share * np.log2(share)).sum())))
+    return ",".join(f"{x:.4f}" for x in (*mean, float(-(share * np.log2(share)).sum()) + 0.0))
 
 
 def stored_texts(docs: DataFrame, keep_media: bool = False) -> DataFrame:
