@@ -26,6 +26,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def fresh(spark: SparkSession) -> None:
+    """Prepare for an operator that follows others: shuffle files, checkpoints and broadcasts of what
+    ran before go when the driver's garbage is collected, so that is asked for."""
+    prepare(spark)
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return table(spark, sf_dir, "documents")

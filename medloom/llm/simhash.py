@@ -255,7 +255,7 @@ def shingle_sets(docs: DataFrame, shown, size: int) -> DataFrame:
 def similar_links(found: DataFrame, rows: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """a, b: links that connect what links of at least the similarity (shared shingles over all of
     both texts, exactly) among `found` connect. First each fingerprint's nearest link is looked at;
-    then all that are left between the groups so found, as links within a group need no look."""
+    then all that are left, but for those whose ends have the same least link."""
     spark = found.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = found.select("a", "b", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("far")).checkpoint()
@@ -273,9 +273,11 @@ def similar_links(found: DataFrame, rows: DataFrame, docs: DataFrame, size: int,
     nearest = edges.select(F.col("a").alias("g"), "far", "a", "b").union(edges.select(F.col("b").alias("g"), "far", "a", "b"))
     first = judged(nearest.groupBy("g").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
     similar = first.where("similar").select("a", "b")
-    groups, between = components(similar), edges.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    # the least of a fingerprint's links and itself names its group: equal names are linked through it
+    both = similar.union(similar.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    groups, between = both.groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("g")), edges.join(first.select("a", "b"), ["a", "b"], "left_anti")
     for c in ("a", "b"):
-        between = between.join(groups.select(F.col("node").alias(c), F.col("root").alias(f"g{c}")).repartition(n), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
+        between = between.join(groups.select(F.col("a").alias(c), F.col("g").alias(f"g{c}")).repartition(n), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
     return similar.union(judged(between.where("ga <> gb")).where("similar").select("a", "b"))
 
 
