@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from medloom.runtime import checkpoint_dir, ship, table
@@ -16,6 +19,8 @@ BATCH_BYTES = 6 << 20
 SLICE_BYTES = 2 << 20
 #: Bits of a map of hashes: its size is fixed (8 MB), more bits leave more out.
 BITS = 1 << 26
+#: Values of a total that one row carries from task to task.
+PIECE = 1 << 15
 
 
 def prepare(spark: SparkSession) -> None:
@@ -83,3 +88,45 @@ def in_map(shown: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values may be among those of the map: all that are, and few others."""
     bit = values.view(np.int64) & (BITS - 1)
     return (shown[bit >> 6] >> (bit & 63).view(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def totals(df: DataFrame, add, width: int, kind: type) -> dict[int, np.ndarray]:
+    """Totals over all rows of df: add(batch, out) adds to the arrays out[key], each of `width` values
+    of that kind. A task sends what isn't zero of its arrays in pieces; other tasks add up those of
+    equal place, in the order of the tasks, so the result doesn't depend on which comes first. The
+    driver gets one array for each key, whatever the number of rows."""
+
+    def run(batches):
+        out: dict = defaultdict(lambda: np.zeros(width, kind))
+        for batch in batches:
+            for part in slices(batch):
+                add(part, out)
+            pa.default_memory_pool().release_unused()
+        task = TaskContext.get().partitionId()
+        for key in sorted(out):
+            for start in range(0, width, PIECE):
+                piece = out[key][start : start + PIECE]
+                if piece.any():
+                    yield pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int64()), "start": pa.array([start], pa.int64()), "task": pa.array([task], pa.int64()), "own": pa.array([piece.tobytes()], pa.binary())})
+
+    def merge(batches):
+        row = lambda: pa.RecordBatch.from_pydict({"key": pa.array([place[0]], pa.int64()), "start": pa.array([place[1]], pa.int64()), "own": pa.array([total.tobytes()], pa.binary())})
+        place, total = None, None
+        for batch in batches:
+            for key, start, own in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3))):
+                if (key, start) != place:
+                    if place:
+                        yield row()
+                    place, total = (key, start), np.zeros(len(own) // np.dtype(kind).itemsize, kind)
+                total += np.frombuffer(own, kind)
+        if place:
+            yield row()
+
+    prepare(df.sparkSession)
+    pieces = df.mapInArrow(run, "key bigint, start bigint, task bigint, own binary").repartition("key", "start").sortWithinPartitions("key", "start", "task")
+    found = pieces.mapInArrow(merge, "key bigint, start bigint, own binary").toArrow()
+    out: dict = defaultdict(lambda: np.zeros(width, kind))
+    for key, start, own in zip(*(found.column(c) for c in range(3))):
+        piece = np.frombuffer(own.as_buffer(), kind)
+        out[key.as_py()][start.as_py() : start.as_py() + len(piece)] = piece
+    return out

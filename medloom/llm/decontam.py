@@ -2,9 +2,10 @@
 
 Terms are words, hashed to at most FEATURES features. Document frequencies are counted over all
 documents. A distributed randomised SVD of TF-IDF passages gives a latent space: a random sketch of
-the terms is carried through the passages and back, orthogonalised, and turned to the leading
-directions by a small Gram matrix. It is fitted once, on the benchmark (of more than BLOCK_ITEMS
-items, on so many) and on a bounded sample of about `sample_docs` documents (a parameter).
+the terms is carried through the passages and back, and its own product with that (Nystrom's
+approximation, in one pass) tells the leading directions. It is fitted once, on all passages of all documents and items:
+passages of 2 x HALF words, each starting HALF words after the one before. So sums over blocks of
+HALF words serve two passages each, and every word is in one at least.
 
 Each passage of each document is then searched: windows of a few widths that can hold an item are
 projected, and items with a cosine of at least `cosine` are candidates. Item vectors lie in cells of
@@ -40,9 +41,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from medloom.llm.common import arrow_map, prepare
+from medloom.llm.common import arrow_map, prepare, totals
 
 WIDTHS = (8, 12, 16, 24, 32, 48, 64)
 SHORTEST, LEAST = 8, 3
@@ -53,7 +55,10 @@ BLOCK_ITEMS = 20_000
 CELL, PROBES = 256, 8
 #: Words of a text that are searched at a time, and windows projected at a time.
 STRETCH, PROJECTED = 100_000, 256
-SAMPLE_DOCS, SAMPLE_PARTS = 600, 8
+#: Words of a block, half a passage, and blocks and words whose vectors are gathered at a time.
+HALF, GATHERED = 16, 4096
+#: Words whose terms are remembered.
+KEPT = 1 << 18
 #: Share of the documents from which a term weighs little; least share of an item's weight that a
 #: window needs, and its least cosine.
 COMMON, GATE, COSINE = 0.1, 0.5, 0.4
@@ -65,10 +70,24 @@ _UNSPACED = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U000
 SCHEMA = "doc_id bigint, item_id bigint, cosine double, common_share double, answer_share double"
 
 
-def words_of(text: str) -> list[bytes]:
+def spaced(text: str) -> bytes:
+    """The text's words with white space between them."""
     if not text.isascii() and _UNSPACED.search(text):
         text = _UNSPACED.sub(r" \1 ", text)
-    return text.lower().encode().translate(_TABLE).split()
+    return text.lower().encode().translate(_TABLE).strip()
+
+
+def words_of(text: str) -> list[bytes]:
+    return spaced(text).split()
+
+
+def coded(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of the texts, their number for each word of each text, and the number of
+    words of each text that has any."""
+    own = [w for t in texts if t and (w := spaced(t))]
+    split = pc.ascii_split_whitespace(pa.array(own, pa.large_binary()).cast(pa.large_string()))
+    found = split.flatten().dictionary_encode()
+    return found.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(found.indices), np.asarray(pc.list_value_length(split)).astype(np.int64)
 
 
 def features_of(words: list[bytes], size: int) -> np.ndarray:
@@ -99,39 +118,82 @@ class Space:
     """Weights and latent vectors of the features; the last row is that of an unknown word."""
 
     def __init__(self, size: int, known: np.ndarray):
-        self.size, self.known = size, known
+        self.size, self.known, self.terms = size, known, int(known.sum())
+        self.term = np.where(known, np.cumsum(known) - 1, self.terms)
+        self.weight = np.zeros(self.terms + 1, np.float32)
+        self.kept: dict[bytes, int] = {}
         self.idf = np.zeros(size + 1, np.float32)
         self.vectors = np.zeros((size + 1, 1), np.float32)
 
     def weigh(self, frequency: np.ndarray, documents: int) -> None:
         self.idf[: self.size] = np.where(self.known, np.log(1 + COMMON * (documents + 1) / (np.minimum(frequency, documents) + 1)), 0)
-
-    def passages(self, text: str, width: int = 32, stride: int = 16) -> np.ndarray:
-        """Features of a text's passages that hold a known word, a row each."""
-        found = words_of(text)
-        ids = features_of(found, self.size) if found else np.zeros(0, np.int64)
-        ids = np.where(self.known[ids], ids, self.size)
-        if len(ids) < width:
-            ids = np.r_[ids, np.full(width - len(ids), self.size)]
-        rows = np.lib.stride_tricks.sliding_window_view(ids, width)[::stride]
-        return rows[self.idf[rows].sum(1) > 0]
-
-    def carried(self, rows: np.ndarray, basis: np.ndarray) -> np.ndarray:
-        """The passages, as TF-IDF rows scaled by the root of their weight, times a basis."""
-        weight = self.idf[rows]
-        return np.einsum("pw,pwd->pd", weight / np.sqrt(weight.sum(1))[:, None], basis[rows])
-
-    def back(self, rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
-        """Adds the transposed product, what the passages' values give for each feature."""
-        weight = self.idf[rows]
-        weight = weight / np.sqrt(weight.sum(1))[:, None]
-        np.add.at(out, rows.ravel(), (weight[:, :, None] * values[:, None, :]).reshape(-1, values.shape[1]))
+        self.weight[:-1] = self.idf[: self.size][self.known]
+
+    def passages(self, texts):
+        """Terms (places among the known features) of the texts' words in blocks of HALF, a row each,
+        and the blocks that the next one of the same text follows: each is the first half of a
+        passage. Some STRETCH words come at a time, long texts in stretches that share a block."""
+        words, index, sizes = coded(texts)
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        new = [w for w in words if w not in self.kept]
+        self.kept.update(zip(new, self.term[features_of(new, self.size)].tolist()) if new else ())
+        terms = np.fromiter(map(self.kept.__getitem__, words), np.int32, len(words))[index]
+        held, size = [], 0
+        for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+            for a in range(end - n, max(end - n + 1, end - HALF), STRETCH):
+                held.append(terms[a : min(end, a + STRETCH + HALF)])
+                size += len(held[-1])
+                if size >= STRETCH:
+                    yield self._blocks(held)
+                    held, size = [], 0
+        if held:
+            yield self._blocks(held)
+
+    def _blocks(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(p) for p in pieces])
+        blocks = np.maximum(2, -(-sizes // HALF))
+        first = np.cumsum(blocks) - blocks
+        out = np.full(int(blocks.sum()) * HALF, self.terms, np.int32)
+        out[np.arange(int(sizes.sum())) + np.repeat(first * HALF - (np.cumsum(sizes) - sizes), sizes)] = np.concatenate(pieces)
+        follows = np.ones(int(blocks.sum()), bool)
+        follows[first + blocks - 1] = False
+        return out.reshape(-1, HALF), np.flatnonzero(follows)
+
+    def weighted(self, basis: np.ndarray) -> np.ndarray:
+        """A basis of the terms times their weights, with a row of zeros for what is unknown."""
+        return np.vstack([basis * self.weight[:-1, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
+
+    def carried(self, rows: np.ndarray, first: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The passages, as TF-IDF rows scaled by the root of their weight, times a weighted basis,
+        and their scales."""
+        step = GATHERED // HALF
+        sums = np.concatenate([weighted.take(rows[a : a + step], axis=0).sum(1) for a in range(0, len(rows), step)])
+        mass = self.weight[rows].sum(1)
+        mass = mass[first] + mass[first + 1]
+        scale = np.where(mass > 0, 1 / np.sqrt(np.where(mass > 0, mass, 1)), 0).astype(np.float32)
+        return (sums[first] + sums[first + 1]) * scale[:, None], scale
+
+    def back(self, rows: np.ndarray, first: np.ndarray, values: np.ndarray, scale: np.ndarray, out: np.ndarray) -> None:
+        """Adds the transposed product, what the passages' values give for each term, but for its weight."""
+        of_block = np.zeros((len(rows), values.shape[1]), np.float32)
+        own = values * scale[:, None]
+        of_block[first] += own
+        of_block[first + 1] += own
+        terms = rows.ravel()
+        order = np.argsort(terms.astype(np.uint16) if self.terms < 1 << 16 else terms, kind="stable")
+        order = order[: np.searchsorted(terms[order], self.terms)]
+        for a in range(0, len(order), GATHERED):
+            at = order[a : a + GATHERED]
+            part = terms[at]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            out[part[starts]] += np.add.reduceat(of_block.take(at // HALF, axis=0), starts, axis=0)
 
     def start(self, width: int, seed: int) -> np.ndarray:
-        """The random sketch, the same wherever it is made."""
-        out = np.zeros((self.size + 1, width), np.float32)
-        out[: self.size] = np.random.default_rng(seed).standard_normal((self.size, width), np.float32)
-        return out
+        """The random sketch, of orthonormal columns, the same wherever it is made; of so few terms, each."""
+        if self.terms <= width:
+            return np.eye(self.terms)
+        return np.linalg.qr(np.random.default_rng(seed).standard_normal((self.terms, width)))[0]
 
 
 class Cells:
@@ -330,30 +392,23 @@ def _frequencies(docs: DataFrame, space: Space) -> tuple[np.ndarray, int]:
     return out[:size], int(out[size])
 
 
-def _summed(sample: DataFrame, shape: tuple[int, int], part) -> np.ndarray:
-    """The sum of what part(text, sum) adds over the sample's texts: one matrix of fixed size from
-    each of SAMPLE_PARTS tasks, which come to the driver one after another."""
-
-    def run(batches):
-        total = np.zeros(shape, np.float32)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                part(text or "", total)
-        yield pa.RecordBatch.from_pydict({"sum": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros(shape)
-    for r in sample.coalesce(SAMPLE_PARTS).mapInArrow(run, "sum binary").toLocalIterator():
-        out += np.frombuffer(r["sum"], np.float32).reshape(shape)
-    return out
+def directions(found: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Leading directions, the strongest first, of a matrix of which the product with orthonormal
+    columns is known: those of Nystrom's approximation, with a shift against rounding."""
+    shift = 1e-7 * max(float(np.linalg.norm(found)), 1e-30)
+    shifted = found + shift * start
+    inner = start.T @ shifted
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    root = vectors / np.sqrt(np.maximum(values, shift))
+    return np.linalg.svd(shifted @ root, full_matrices=False)[0]
 
 
-def fit(docs: DataFrame, items: DataFrame, sample_docs: int, seed: int = 11) -> Space:
-    """Weigh the terms over all documents and find the latent space, once for all items."""
+def fit(docs: DataFrame, items: DataFrame, seed: int = 11) -> Space:
+    """Weigh the terms over all documents and find the latent space of all passages, of documents and
+    items, once for all items."""
     spark = docs.sparkSession
     n_items = items.count()
-    share = lambda kind, column, bound, n: F.pmod(F.xxhash64(F.lit(kind), column), F.lit(1 << 40)) < int((1 << 40) * min(1.0, bound / max(1, n)))
-    own = items.where(share("item", "text", BLOCK_ITEMS, n_items)).select("text")
-    words = 0 if n_items > BLOCK_ITEMS else len({w for r in own.toLocalIterator() for w in words_of(r["text"])})
+    words = 0 if n_items > BLOCK_ITEMS else len({w for r in items.select("text").toLocalIterator() for w in words_of(r["text"])})
     size = FEATURES if n_items > BLOCK_ITEMS else min(FEATURES, 1 << max(8, (4 * words).bit_length()))
 
     def features(batch):
@@ -364,34 +419,25 @@ def fit(docs: DataFrame, items: DataFrame, sample_docs: int, seed: int = 11) ->
     for r in arrow_map(items.select("text"), features, "term bigint").distinct().toLocalIterator():
         known[r["term"]] = True
     space = Space(size, known)
-    frequency, n = _frequencies(docs, space)
-    space.weigh(frequency, n)
-    width = min(DIMENSIONS + EXTRA, max(1, int(known.sum())))
-    sample = docs.where(share("latent", "text", sample_docs, n) & F.col("text").isNotNull()).select("text").union(own)
+    space.weigh(*_frequencies(docs, space))
+    if not space.terms:
+        return space
+    width = min(DIMENSIONS + EXTRA, space.terms)
+    texts = docs.select("text").union(items.select("text")).where("text is not null")
     shared = spark.sparkContext.broadcast(space)
-    made: dict = {}
-
-    def sketch(text, total):
-        rows = shared.value.passages(text)
-        if len(rows):
-            if "start" not in made:
-                made["start"] = shared.value.start(width, seed)
-            shared.value.back(rows, shared.value.carried(rows, made["start"]), total)
-
-    found = _summed(sample, (size + 1, width), sketch)
-    basis = np.zeros((size + 1, width), np.float32)
-    basis[:size] = np.linalg.qr(found[:size])[0]
-    turned = spark.sparkContext.broadcast(basis)
-
-    def gram(text, total):
-        rows = shared.value.passages(text)
-        if len(rows):
-            b = shared.value.carried(rows, turned.value)
-            total += b.T @ b
-
-    vectors = np.linalg.eigh(_summed(sample, (width, width), gram))[1]
-    space.vectors = (basis @ vectors[:, ::-1][:, :DIMENSIONS]).astype(np.float32)
-    turned.unpersist()
+    start = space.start(width, seed)
+    carrier = spark.sparkContext.broadcast(space.weighted(start))
+
+    def sketch(batch, out):
+        for rows, first in shared.value.passages(batch.column(0).to_pylist()):
+            shared.value.back(rows, first, *shared.value.carried(rows, first, carrier.value), out[0].reshape(-1, width))
+
+    found = totals(texts, sketch, space.terms * width, np.float64)[0].reshape(-1, width) * space.weight[:-1, None]
+    leading = directions(found, start)[:, :DIMENSIONS]
+    space.vectors = np.zeros((size + 1, leading.shape[1]), np.float32)
+    space.vectors[:size][known] = leading
+    shared.unpersist()
+    carrier.unpersist()
     return space
 
 
@@ -400,24 +446,24 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text", answer.alias("answer")).where("text is not null").distinct()
 
 
-def indices(docs: DataFrame, benchmark: DataFrame, cosine: float, sure: float, likely: float, sample_docs: int):
+def indices(docs: DataFrame, benchmark: DataFrame, cosine: float, sure: float, likely: float):
     """An index for each block of about BLOCK_ITEMS items at most, as a broadcast."""
     items = _items(benchmark)
     parts = -(-items.count() // BLOCK_ITEMS)
     if not parts:
         return
-    space = fit(docs.select("text"), items, sample_docs)
+    space = fit(docs.select("text"), items)
     for p in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).orderBy("item_id", "text", "answer").collect()
         yield docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"], r["answer"]) for r in rows], space, cosine, sure, likely))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sure: float = SURE, likely: float = LIKELY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sure: float = SURE, likely: float = LIKELY) -> DataFrame:
     """doc_id, item_id, cosine, common_share and answer_share of each leak."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = rows.sparkSession.createDataFrame([], SCHEMA)
-    for shared in indices(rows, benchmark, cosine, sure, likely, sample_docs):
+    for shared in indices(rows, benchmark, cosine, sure, likely):
         out = out.union(_searched(rows, shared))
     return out.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("cosine", "common_share", "answer_share")])
 
@@ -434,12 +480,12 @@ def _searched(rows: DataFrame, shared) -> DataFrame:
     return arrow_map(rows, run, SCHEMA)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...], cosine: float = COSINE, sure: float = SURE, likely: float = LIKELY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...], cosine: float = COSINE, sure: float = SURE, likely: float = LIKELY) -> DataFrame:
     """The rows of docs whose text leaks no item, in one narrow stage for each block of items."""
     prepare(docs.sparkSession)
     carry = columns if "text" in columns else (*columns, "text")
     out = docs.select(*carry)
-    for shared in indices(docs, benchmark, cosine, sure, likely, sample_docs):
+    for shared in indices(docs, benchmark, cosine, sure, likely):
         out = _without(out, carry.index("text"), shared)
     return out.select(*columns)
 

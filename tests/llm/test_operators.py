@@ -834,3 +834,26 @@ def test_long_texts_in_stretches_are_whole(monkeypatch):
     monkeypatch.setattr(simhash, "LONG", 100)
     monkeypatch.setattr(simhash, "CHUNK", 16)
     assert [(model.encode(t), simhash.fingerprint(t)) for t in texts] == plain
+
+
+def test_latent_space_is_that_of_all_passages(spark, monkeypatch):
+    """With fewer terms than dimensions, the vectors are the exact directions of all passages' matrix, ends of texts included."""
+    monkeypatch.setattr(decontam, "STRETCH", 64)
+    rng = random.Random(21)
+    known = [f"word{i}" for i in range(40)]
+    items = [" ".join(rng.choices(known[i:] + ["other"], k=14)) for i in range(0, 20, 4)] + [" ".join(known)]
+    texts = [" ".join(rng.choices(known[i % 30 :] + ["free"] * 20, k=rng.choice([1, 5, 16, 17, 33, 47, 95, 150]))) for i in range(1500)] + [None, "", "free " * 40]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    space = decontam.fit(docs, spark.createDataFrame([(i, t, None) for i, t in enumerate(items)], "item_id bigint, text string, answer string"))
+    exact = np.zeros((space.size + 1, space.size + 1))
+    for text in texts + items:
+        ids = decontam.features_of(decontam.words_of(text), space.size).tolist() if text else []
+        for a in range(0, max(1, len(ids) - 16), 16) if ids else ():
+            row = np.zeros(space.size + 1)
+            for f in ids[a : a + 32]:
+                row[f] += space.idf[f]
+            exact += np.outer(row, row) / row.sum() if row.sum() else 0
+    turned = space.vectors.T.astype(float) @ exact @ space.vectors
+    own = np.diag(turned)
+    assert own.min() > 0 and (np.diff(own) <= 1e-4 * own[0]).all() and abs(own.sum() - np.trace(exact)) < 1e-4 * own.sum()
+    assert np.abs(turned - np.diag(own)).max() < 1e-4 * own[0]
