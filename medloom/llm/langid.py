@@ -5,9 +5,8 @@ labelled rows write in that script. Character n-grams score the word for the can
 Viterbi pass over the words with a penalty for each switch labels spans. A document's language is
 the one whose spans have most letters.
 
-Learning uses labelled rows only: a bounded sample of about `rows_per_lang` rows of each
-language, chosen by a hash of doc_id, with at most `words_per_row` evenly spaced words of each.
-Those bounds are parameters; prediction reads whole texts.
+Learning uses labelled rows only, all of them but those held out, and all of their words. Their
+n-grams are counted where the rows are, so the driver gets tables of fixed size for each language.
 
 The Viterbi pass runs over all words of a batch at once. Texts are cut into blocks; a block's best
 scores from each entry state to each exit state form a matrix; the matrices of a text are chained;
@@ -28,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from medloom.llm.common import arrow_map
+from medloom.llm.common import arrow_map, totals
 
 #: Script ranges: name, first and last code point. Letters outside all of them are "other".
 SCRIPTS = [
@@ -41,6 +40,10 @@ SCRIPTS = [
 NAMES = ["none", "other", *dict.fromkeys(s[0] for s in SCRIPTS)]
 GRAMS, BITS = (2, 3, 4), 15
 BLOCK = 64
+#: Counts of a language: n-grams for each n, then letters for each script.
+COUNTS = len(GRAMS) * (1 << BITS) + len(NAMES)
+#: Characters of words whose n-grams are made at a time.
+SPELT = 150_000
 #: Longer words are learned from in stretches of so many characters, as scripts without spaces have them.
 LONGEST = 64
 FLOOR = -8.0
@@ -82,23 +85,14 @@ def gram_features(words: list[str]):
 class LanguageModel:
     """Log-probabilities of hashed n-grams by language, and which languages each script may be."""
 
-    def __init__(self, words: list[tuple[str, str, int]], rows: dict[str, int], smooth: float = 0.05, penalty: float = 10.0):
+    def __init__(self, totals: dict[str, np.ndarray], rows: dict[str, int], smooth: float = 0.05, penalty: float = 10.0):
         self.langs = sorted(rows)
         self.penalty = penalty
         k = len(self.langs)
-        place = {x: i for i, x in enumerate(self.langs)}
         self.default = max(range(k), key=lambda i: rows[self.langs[i]]) if k else 0
-        counts = [np.full((k, 1 << BITS), smooth) for _ in GRAMS]
-        by_script = np.zeros((len(NAMES), k))
-        for lang in self.langs:
-            own = [(w, n) for x, w, n in words if x == lang]
-            if not own:
-                continue
-            times = np.array([n for _, n in own], float)
-            grams, letter, kind = gram_features([w for w, _ in own])
-            for c, (g, of) in zip(counts, grams):
-                c[place[lang]] += np.bincount(g, times[of], 1 << BITS)
-            by_script[:, place[lang]] += np.bincount(kind, times * letter, len(NAMES))
+        every = np.array([totals[x] for x in self.langs], float).reshape(k, COUNTS)
+        counts = np.split(every[:, : -len(NAMES)] + smooth, len(GRAMS), axis=1)
+        by_script = every[:, -len(NAMES) :].T
         self.tables = [np.ascontiguousarray((np.log(c) - np.log(c.sum(1, keepdims=True))).T.astype(np.float32)) for c in counts]
         self.allowed = by_script > 0.001 * by_script.sum(0, keepdims=True)
 
@@ -110,7 +104,7 @@ class LanguageModel:
         start = 0
         while start < len(words):
             size, end = 0, start
-            while end < len(words) and (end == start or size < 150_000):
+            while end < len(words) and (end == start or size < SPELT):
                 size += len(words[end]) + 1
                 end += 1
             grams, letter[start:end], kind = gram_features(words[start:end])
@@ -223,27 +217,45 @@ def fold(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def learn(docs: DataFrame, rows_per_lang: int = 300, words_per_row: int = 3000, penalty: float = 10.0) -> LanguageModel:
-    """Fit on a bounded sample of the labelled rows whose fold isn't 0. What reaches the driver
-    are word counts of at most about rows_per_lang * words_per_row words a language."""
+def add_counts(words: list[str], times: np.ndarray, out: np.ndarray) -> None:
+    """Adds the n-grams and letters of words that occur so many times to a language's counts."""
+    long = [i for i, w in enumerate(words) if len(w) > LONGEST]
+    if long:
+        cut = [[w[a : a + LONGEST] for a in range(0, len(w), LONGEST)] for w in words]
+        times = np.repeat(times, [len(x) for x in cut])
+        words = [w for x in cut for w in x]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    start = 0
+    while start < len(words):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SPELT, "right")))
+        grams, letter, kind = gram_features(words[start:end])
+        own = times[start:end]
+        for i, (g, of) in enumerate(grams):
+            out[i << BITS : (i + 1) << BITS] += np.bincount(g, own[of], 1 << BITS).astype(np.int64)
+        out[-len(NAMES) :] += np.bincount(kind, own * letter, len(NAMES)).astype(np.int64)
+        start = end
+
+
+def learn(docs: DataFrame, penalty: float = 10.0) -> LanguageModel:
+    """Fit on all labelled rows whose fold isn't 0. What reaches the driver are COUNTS numbers for
+    each language."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 0))
     rows = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not rows:
-        return LanguageModel([], {}, penalty=penalty)
-    place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    share = F.create_map(*[x for lang, n in sorted(rows.items()) for x in (F.lit(lang), F.lit(min(1.0, rows_per_lang / n)))])
-    sample = known.where(place < share[F.col("lang")]).select("lang", "text")
+        return LanguageModel({}, {}, penalty=penalty)
+    place = {lang: i for i, lang in enumerate(sorted(rows))}
 
-    def words(batch):
-        counts: dict[tuple[str, str], int] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = [w[a : a + LONGEST] for w in text.lower().split() for a in range(0, len(w), LONGEST)]
-            for w in own[:: -(-len(own) // words_per_row) or 1]:
-                counts[lang, w] = counts.get((lang, w), 0) + 1
-        return {"lang": pa.array([x for x, _ in counts], pa.string()), "word": pa.array([x for _, x in counts], pa.string()), "n": pa.array(counts.values(), pa.int64())} if counts else None
+    def count(batch, out):
+        texts, langs = batch.column(1).cast(pa.large_string()), batch.column(0)
+        for lang in pc.unique(langs).to_pylist():
+            split = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pc.equal(langs, lang))))
+            coded = split.flatten().dictionary_encode()
+            words, times = coded.dictionary.to_pylist(), np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+            some = [i for i, w in enumerate(words) if w]
+            add_counts([words[i] for i in some], times[some], out[place[lang]])
 
-    got = arrow_map(sample, words, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return LanguageModel(sorted((r["lang"], r["word"], r["n"]) for r in got.toLocalIterator()), rows, penalty=penalty)
+    found = totals(known.select("lang", "text"), count, COUNTS, np.int64)
+    return LanguageModel({lang: found[i] for lang, i in place.items()}, rows, penalty=penalty)
 
 
 def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -264,6 +276,6 @@ def predict(docs: DataFrame, model: LanguageModel, carry: tuple[str, ...] = ())
     return arrow_map(shown, run, SCHEMA + more)
 
 
-def identify(docs: DataFrame, **bounds) -> DataFrame:
+def identify(docs: DataFrame, penalty: float = 10.0) -> DataFrame:
     """Learn from docs, then predict the language of each of its rows."""
-    return predict(docs, learn(docs, **bounds))
+    return predict(docs, learn(docs, penalty))

@@ -857,3 +857,23 @@ def test_latent_space_is_that_of_all_passages(spark, monkeypatch):
     own = np.diag(turned)
     assert own.min() > 0 and (np.diff(own) <= 1e-4 * own[0]).all() and abs(own.sum() - np.trace(exact)) < 1e-4 * own.sum()
     assert np.abs(turned - np.diag(own)).max() < 1e-4 * own[0]
+
+
+def test_all_words_of_all_labelled_rows_are_learned(spark):
+    """More rows of a language and longer rows than any bound; what is held out or has no label counts nothing."""
+    rng = random.Random(31)
+    rows = [(i, " ".join(rng.choices(["alpha", "Beta", "gamma1", "über", "x" * 150], k=rng.choice([1, 7, 40]))), rng.choice(["aa", "bb"])) for i in range(1400)]
+    rows += [(5000, "one two " * 4000, "aa"), (None, "never", "aa"), (5001, "unlabelled", None), (5002, None, "bb"), (5003, " ", "bb")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(6))
+    counts = {x: [np.zeros(1 << langid.BITS) for _ in langid.GRAMS] for x in ("aa", "bb")}
+    for doc_id, text, lang in rows:
+        if doc_id is None or not text or not lang or zlib.crc32(str(doc_id).encode()) % 5 == 0:
+            continue
+        own = [w[a : a + langid.LONGEST] for w in text.lower().split() for a in range(0, len(w), langid.LONGEST)]
+        for c, (g, _) in zip(counts[lang], langid.gram_features(own)[0] if own else ()):
+            np.add.at(c, g, 1)
+    assert model.langs == ["aa", "bb"]
+    for i, table in enumerate(model.tables):
+        for k, lang in enumerate(model.langs):
+            c = counts[lang][i] + 0.05
+            assert np.allclose(table[:, k], np.log(c) - np.log(c.sum()), atol=1e-5)
