@@ -36,12 +36,9 @@ from __future__ import annotations
 
 import re
 import string
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from medloom.llm.common import arrow_map, prepare, totals
@@ -57,13 +54,18 @@ CELL, PROBES = 256, 8
 STRETCH, PROJECTED = 100_000, 256
 #: Words of a block, half a passage, and blocks and words whose vectors are gathered at a time.
 HALF, GATHERED = 16, 4096
-#: Words whose terms are remembered.
-KEPT = 1 << 18
+#: Bytes whose words are hashed at a time.
+HASHED = 1 << 18
 #: Share of the documents from which a term weighs little; least share of an item's weight that a
 #: window needs, and its least cosine.
 COMMON, GATE, COSINE = 0.1, 0.5, 0.4
 SURE, LIKELY, ANSWER_SHARE, ANSWER_WORDS = 0.8, 0.6, 0.8, 5
 
+_WHITE = re.compile(rb"\s")
+_IS_WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Of XXH3: parts of its secret, by length of the word, and its factors.
+_SECRET = np.array([0x87275A9B, 0xC73AB174C5ECD5A2, 0x6782737BEA4239B9, 0xAF56BC3B0996523A], np.uint64)
+_PRIMES = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x9FB21C651E98DF25, 0x165667919E3779F9], np.uint64)
 _TABLE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: Scripts without spaces between words.
 _UNSPACED = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff])")
@@ -81,20 +83,79 @@ def words_of(text: str) -> list[bytes]:
     return spaced(text).split()
 
 
-def coded(texts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The different words of the texts, their number for each word of each text, and the number of
-    words of each text that has any."""
-    own = [w for t in texts if t and (w := spaced(t))]
-    split = pc.ascii_split_whitespace(pa.array(own, pa.large_binary()).cast(pa.large_string()))
-    found = split.flatten().dictionary_encode()
-    return found.dictionary.cast(pa.large_binary()).to_pylist(), np.asarray(found.indices), np.asarray(pc.list_value_length(split)).astype(np.int64)
+def hashed(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH3 hash of each word of each text, and the number of words of each text. The joined texts
+    are gone through in pieces of some HASHED bytes that end between words."""
+    own = [spaced(t) if t else b"" for t in texts]
+    data, found, starts = b" ".join(own), [], []
+    a = 0
+    while a < len(data):
+        cut = _WHITE.search(data, a + HASHED)
+        b = cut.start() if cut else len(data)
+        piece, places = _hashed(data[a:b])
+        found.append(piece)
+        starts.append(places + a)
+        a = b
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(len(own), np.int64)
+    ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1)
+    return np.concatenate(found), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """XXH3 of the words between white space, by its rules for up to 3, 8 and 16 bytes on all words of
+    such a length at once, and their starts; longer ones are left to the library."""
+    from xxhash import xxh3_64_intdigest
+
+    padded = b" " * 8 + data + b" " * 8
+    text = np.frombuffer(padded, np.uint8)
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+    white = _IS_WHITE[text]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    size = end - start
+    out = np.empty(len(start), np.uint64)
+    at = np.flatnonzero(size <= 3)
+    if len(at):
+        a, n = start[at], size[at]
+        first, middle, last = (text[x].astype(np.uint64) for x in (a, a + (n >> 1), a + n - 1))
+        h = (first << 16 | middle << 24 | last | n.astype(np.uint64) << 8) ^ _SECRET[0]
+        h = (h ^ h >> 33) * _PRIMES[0]
+        h = (h ^ h >> 29) * _PRIMES[1]
+        out[at] = h ^ h >> 32
+    at = np.flatnonzero((size > 3) & (size <= 8))
+    if len(at):
+        h = ((eight[end[at] - 8] >> 32) + (eight[start[at]] << 32)) ^ _SECRET[1]
+        h = (h ^ (h << 49 | h >> 15) ^ (h << 24 | h >> 40)) * _PRIMES[2]
+        h = (h ^ (h >> 35) + size[at].astype(np.uint64)) * _PRIMES[2]
+        out[at] = h ^ h >> 28
+    at = np.flatnonzero((size > 8) & (size <= 16))
+    if len(at):
+        a, b = eight[start[at]] ^ _SECRET[2], eight[end[at] - 8] ^ _SECRET[3]
+        h = size[at].astype(np.uint64) + a.byteswap() + b + _folded(a, b)
+        h = (h ^ h >> 37) * _PRIMES[3]
+        out[at] = h ^ h >> 32
+    for k in np.flatnonzero(size > 16).tolist():
+        out[k] = xxh3_64_intdigest(padded[start[k] : end[k]])
+    return out, start - 8
+
+
+def _folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The halves of the 128-bit products, one xor the other."""
+    low = np.uint64(0xFFFFFFFF)
+    x, y = a & low, b & low
+    p, q = x * y, (a >> 32) * y
+    cross = (p >> 32) + (q & low) + x * (b >> 32)
+    return (q >> 32) + (cross >> 32) + (a >> 32) * (b >> 32) ^ (cross << 32 | p & low)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return _hashed(b" ".join(words))[0]
 
 
 def features_of(words: list[bytes], size: int) -> np.ndarray:
     """The feature of each word."""
-    from xxhash import xxh3_64_intdigest
-
-    return np.array([xxh3_64_intdigest(w) for w in words], np.uint64).astype(np.int64) & (size - 1)
+    return hashes_of(words).astype(np.int64) & (size - 1)
 
 
 def places_of(item: list) -> dict:
@@ -119,9 +180,8 @@ class Space:
 
     def __init__(self, size: int, known: np.ndarray):
         self.size, self.known, self.terms = size, known, int(known.sum())
-        self.term = np.where(known, np.cumsum(known) - 1, self.terms)
+        self.term = np.where(known, np.cumsum(known) - 1, self.terms).astype(np.int32)
         self.weight = np.zeros(self.terms + 1, np.float32)
-        self.kept: dict[bytes, int] = {}
         self.idf = np.zeros(size + 1, np.float32)
         self.vectors = np.zeros((size + 1, 1), np.float32)
 
@@ -133,12 +193,8 @@ class Space:
         """Terms (places among the known features) of the texts' words in blocks of HALF, a row each,
         and the blocks that the next one of the same text follows: each is the first half of a
         passage. Some STRETCH words come at a time, long texts in stretches that share a block."""
-        words, index, sizes = coded(texts)
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = [w for w in words if w not in self.kept]
-        self.kept.update(zip(new, self.term[features_of(new, self.size)].tolist()) if new else ())
-        terms = np.fromiter(map(self.kept.__getitem__, words), np.int32, len(words))[index]
+        hashes, sizes = hashed(texts)
+        terms, sizes = self.term[hashes & np.uint64(self.size - 1)], sizes[sizes > 0]
         held, size = [], 0
         for end, n in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
             for a in range(end - n, max(end - n + 1, end - HALF), STRETCH):
@@ -239,16 +295,26 @@ class Index:
             if len(own) < SHORTEST:
                 self.short.setdefault(len(own), {}).setdefault(tuple(own), []).append((i, answer))
         self.space, self.cosine, self.sure, self.likely = space, cosine, sure, likely
-        self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, own, _ in self.items for w in own))}
-        self.n = len(self.vocabulary)
-        self.feature = np.r_[features_of(list(self.vocabulary), space.size) if self.n else np.zeros(0, np.int64), space.size]
+        # words are numbered in the order in which they come, by their hashes: words of equal hash, if
+        # ever, have one number, which leaves nothing out
+        vocabulary = hashes_of(list(dict.fromkeys(w for _, own, _ in self.items for w in own)))
+        self.n = len(vocabulary)
+        self.feature = np.r_[(vocabulary & np.uint64(space.size - 1)).astype(np.int64), space.size]
+        self.number = np.argsort(vocabulary, kind="stable").astype(np.int32)
+        self.hashes = vocabulary[self.number]
         self.longest = max((len(w) for _, w, _ in self.items), default=0)
         self.first_words = frozenset(own[0] for of in self.short.values() for own in of)
+        self.first_hashes = hashes_of(list(self.first_words))
         self._places: dict[int, dict] = {}
         self._project()
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(self.n)), np.int32, len(words))
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the word of each hash, n if no item has it."""
+        if not self.n:
+            return np.zeros(len(hashes), np.int32)
+        place = np.searchsorted(self.hashes, hashes)
+        place[place == self.n] = 0
+        return np.where(self.hashes[place] == hashes, self.number[place], np.int32(self.n))
 
     def _project(self) -> None:
         """Set the items' vectors, widths and weights, and which rare words of theirs must be there."""
@@ -257,7 +323,7 @@ class Index:
         size, self.answers, postings = len(self.items), [], []
         self.width, self.need, self.reach = (np.zeros(size, np.int64) for _ in range(3))
         for k, (_, own, answer) in enumerate(self.items):
-            ids = self.ids(own)
+            ids = self.ids(hashes_of(own))
             rare = sorted(dict.fromkeys(ids.tolist()), key=lambda t: (-float(weight[t]), t))
             words = dict(zip(ids.tolist(), own))
             self.answers.append(answer or [words[t] for t in rare[:ANSWER_WORDS]])
@@ -279,26 +345,64 @@ class Index:
         postings.sort()
         self.posted = np.array([k for _, k in postings], np.int64)
         self.first_post = np.searchsorted(np.array([t for t, _ in postings], np.int64), np.arange(self.n + 2))
+        self.posts = np.diff(self.first_post)
+        self.within = self.width + 2 * self.reach
 
     def places(self, k: int) -> dict:
         if k not in self._places:
             self._places[k] = places_of(self.items[k][1])
         return self._places[k]
 
-    def leaks(self, text: str):
-        """Item id, cosine, common share and answer share of each item that leaks."""
-        words = words_of(text)
-        best: dict[int, tuple] = {}
-        if self.items:
-            for start in range(0, len(words), STRETCH):
-                # stretches overlap by more than a window with its surroundings
-                for k, *found in self._stretch(words[start : start + STRETCH + 4 * max(WIDTHS) + 2 * self.longest]):
-                    if k not in best or best[k][1] < found[1]:
-                        best[k] = found
-        for k, found in sorted(best.items()):
-            yield self.items[k][0], *found
-        if self.short and not self.first_words.isdisjoint(words):
-            yield from self._short(text, words)
+    def leaks(self, texts: list):
+        """The text's place, item id, cosine, common share and answer share of each item that leaks
+        into one of the texts."""
+        hashes, sizes = hashed(texts)
+        ends = np.cumsum(sizes)
+        for k, own in self._long(texts, hashes, ends.tolist(), sizes.tolist()) if self.items else ():
+            for i, found in sorted(own.items()):
+                yield k, self.items[i][0], *found
+        if self.short:
+            for k in np.unique(np.searchsorted(ends, np.flatnonzero(np.isin(hashes, self.first_hashes)), "right")).tolist():
+                for found in self._short(texts[k], words_of(texts[k])):
+                    yield k, *found
+
+    def _long(self, texts: list, hashes: np.ndarray, ends: list[int], sizes: list[int]):
+        """The best find of each item that leaks into a text, for each text with such items."""
+        at, words, best = -1, [], {}
+        for k, start, ids, found in self._candidates(hashes, ends, sizes):
+            if k != at:
+                if best:
+                    yield at, best
+                at, words, best = k, words_of(texts[k]), {}
+            for i, *own in self._stretch(words[start : start + len(ids)], ids, found):
+                if i not in best or best[i][1] < own[1]:
+                    best[i] = own
+        if best:
+            yield at, best
+
+    def _candidates(self, hashes: np.ndarray, ends: list[int], sizes: list[int]):
+        """Text, start, word numbers and windows of each stretch of a text that may hold an item.
+        Stretches overlap by more than a window with its surroundings; short texts are looked
+        through together."""
+        held, total = [], 0
+        for k, (end, n) in enumerate(zip(ends, sizes)):
+            for start in range(0, n, STRETCH):
+                size = min(n - start, STRETCH + 4 * max(WIDTHS) + 2 * self.longest)
+                held.append((k, start, end - n + start, size))
+                total += size
+                if total >= STRETCH:
+                    yield from self._together(hashes, held)
+                    held, total = [], 0
+        yield from self._together(hashes, held)
+
+    def _together(self, hashes: np.ndarray, held: list[tuple]):
+        sizes = np.array([x[3] for x in held], np.int64)
+        if not sizes.sum():
+            return
+        ids = self.ids(np.concatenate([hashes[a : a + n] for _, _, a, n in held]))
+        ends = np.cumsum(sizes)
+        for j, found in self.windows(ids, sizes):
+            yield held[j][0], held[j][1], ids[ends[j] - sizes[j] : ends[j]], found
 
     def _short(self, text: str, words: list[bytes]):
         there, lines = None, None
@@ -316,44 +420,51 @@ class Index:
                         if size >= LEAST or own in lines:
                             yield item, 1.0, 1.0, 1.0
 
-    def windows(self, ids: np.ndarray) -> dict[int, np.ndarray]:
-        """Starts of the windows of each width that can hold an item."""
-        first, last = self.first_post[ids], self.first_post[ids + 1]
-        at = np.flatnonzero(last > first)
+    def windows(self, ids: np.ndarray, sizes: np.ndarray):
+        """Starts of the windows of each width that can hold an item, in each stretch of so many words
+        that has any."""
+        at = np.flatnonzero(self.posts[ids])
         if not len(at):
-            return {}
-        counts = last[at] - first[at]
-        place = np.repeat(at, counts)
-        item = self.posted[np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[at], counts)]
-        key = np.sort(item * (len(ids) + 1) + place)
-        item, place = key // (len(ids) + 1), key % (len(ids) + 1)
+            return
+        # stretches lie further apart than the words of one window
+        apart = np.cumsum(sizes) - sizes + np.arange(len(sizes)) * (int(self.within.max()) + 1)
+        bits = int(apart[-1] + sizes[-1]).bit_length()
+        own = ids[at]
+        counts = self.posts[own]
+        place = (np.arange(len(ids)) + np.repeat(apart - (np.cumsum(sizes) - sizes), sizes))[at]
+        post = np.arange(int(counts.sum())) + np.repeat(self.first_post[own] - (np.cumsum(counts) - counts), counts)
+        key = np.sort(self.posted[post] << bits | np.repeat(place, counts))
+        item, place = key >> bits, key & (1 << bits) - 1
         end = np.arange(len(key)) + self.need[item] - 1
         end[end >= len(key)] = 0
-        go = np.flatnonzero((item[end] == item) & (place[end] >= place) & (place[end] - place <= self.width[item] + 2 * self.reach[item]))
+        go = np.flatnonzero((item[end] == item) & (place[end] >= place) & (place[end] - place <= self.within[item]))
         if not len(go):
-            return {}
-        middle, width = (place[go] + place[end[go]]) // 2, self.width[item[go]]
-        out = {}
+            return
+        of = np.searchsorted(apart, place[go], "right") - 1
+        middle, width = (place[go] + place[end[go]]) // 2 - apart[of], self.width[item[go]]
+        out: dict[int, dict] = {}
         for w in np.unique(width).tolist():
             stride = max(1, w // 4)
             base = np.maximum(0, middle[width == w] - w // 2) // stride
-            starts = np.unique(np.r_[base, base + 1]) * stride
-            out[w] = starts[starts < max(1, len(ids))]
-        return out
-
-    def _stretch(self, words: list[bytes]):
-        ids = self.ids(words)
+            both = of[width == w] << bits | base
+            both = np.unique(np.concatenate([both, both + 1]))
+            own, starts = both >> bits, (both & (1 << bits) - 1) * stride
+            inside = starts < sizes[own]
+            own, starts = own[inside], starts[inside]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            for j, part in zip(own[first].tolist(), np.split(starts, first[1:])):
+                out.setdefault(j, {})[w] = part
+        yield from sorted(out.items())
+
+    def _stretch(self, words: list[bytes], ids: np.ndarray, found: dict[int, np.ndarray]):
         best: dict[int, tuple] = {}
-        found = self.windows(ids)
-        if not found:
-            return
-        rows = np.r_[self.feature[ids], np.full(max(WIDTHS), self.space.size)]
+        rows = np.concatenate([self.feature[ids], np.full(max(WIDTHS), self.space.size)])
         weight = self.space.idf[rows]
         for width, starts in found.items():
             stride = max(1, width // 4)
             for part in np.split(starts, range(PROJECTED, len(starts), PROJECTED)):
                 at = part[:, None] + np.arange(width)
-                own = np.einsum("sw,swd->sd", weight[at], self.space.vectors[rows[at]])
+                own = np.einsum("sw,swd->sd", weight[at], self.space.vectors.take(rows[at], axis=0))
                 own /= np.maximum(np.linalg.norm(own, axis=1), 1e-6)[:, None]
                 for r, k, close in self.cells[width].near(own, weight[at].sum(1), self.cosine):
                     s, size = int(part[r]), len(self.items[k][1])
@@ -376,12 +487,13 @@ def _frequencies(docs: DataFrame, space: Space) -> tuple[np.ndarray, int]:
     size, known = space.size, space.known
 
     def count(batch):
-        counts: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            if text:
-                counts.update(set(words_of(text)))
-        own, n = features_of(list(counts), size), np.fromiter(counts.values(), np.int64, len(counts))
-        sums = np.bincount(own[known[own]], n[known[own]], size).astype(np.int64) if len(own) else np.zeros(size, np.int64)
+        hashes, sizes = hashed(batch.column(0).to_pylist())
+        at = np.flatnonzero(known[hashes & np.uint64(size - 1)])
+        # the low bits of a word's hash, with its feature, above its row: each once
+        bits = batch.num_rows.bit_length()
+        own = np.sort(hashes[at] << bits | np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)[at])
+        own = own[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])] if len(own) else own
+        sums = np.bincount((own >> bits & np.uint64(size - 1)).astype(np.int64), minlength=size)
         there = np.flatnonzero(sums)
         return {"term": pa.array(np.r_[there, size]), "n": pa.array(np.r_[sums[there], batch.num_rows])}
 
@@ -470,9 +582,8 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, sure: fl
 
 def _searched(rows: DataFrame, shared) -> DataFrame:
     def run(batch):
-        out = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            out += [(doc_id, *found) for found in shared.value.leaks(text or "")]
+        ids = batch.column(0).to_pylist()
+        out = [(ids[k], *found) for k, *found in shared.value.leaks(batch.column(1).to_pylist())]
         if not out:
             return None
         return {c: pa.array(x, pa.int64() if i < 2 else pa.float64()) for i, (c, x) in enumerate(zip(("doc_id", "item_id", "cosine", "common_share", "answer_share"), zip(*out)))}
@@ -492,8 +603,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...], cosin
 
 def _without(rows: DataFrame, place: int, shared) -> DataFrame:
     def run(batch):
-        stay = [next(shared.value.leaks(t or ""), None) is None for t in batch.column(place).to_pylist()]
-        kept = batch.filter(pa.array(stay, pa.bool_()))
+        stay = np.ones(batch.num_rows, bool)
+        stay[[k for k, *_ in shared.value.leaks(batch.column(place).to_pylist())]] = False
+        kept = batch.filter(pa.array(stay))
         return {c: kept.column(i) for i, c in enumerate(kept.schema.names)} if kept.num_rows else None
 
     return arrow_map(rows, run, rows.schema)

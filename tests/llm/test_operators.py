@@ -877,3 +877,43 @@ def test_all_words_of_all_labelled_rows_are_learned(spark):
         for k, lang in enumerate(model.langs):
             c = counts[lang][i] + 0.05
             assert np.allclose(table[:, k], np.log(c) - np.log(c.sum()), atol=1e-5)
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """As the library does, but with no call for a word of up to 16 bytes, whatever the number of words."""
+    rng = random.Random(41)
+    letters = ["a", "b", "q", "0", "é", "ß", "я", "地", "\x00", "\x1f", "\x85"]
+    texts = ["".join(rng.choices(letters, k=n)) for n in range(1, 40) for _ in range(30)]
+    texts = [" ".join(rng.choices(texts, k=rng.choice([0, 1, 2, 30]))) + rng.choice(["", " ", "\n\t", "\v\f\r!"]) for _ in range(300)] + [None, "", "...", "\n"]
+    words = [decontam.words_of(t or "") for t in texts]
+    want, calls, library = [xxhash.xxh3_64_intdigest(w) for own in words for w in own], [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or library(w))
+    for pieces in (decontam.HASHED, 7, 100):
+        monkeypatch.setattr(decontam, "HASHED", pieces)
+        hashes, sizes = decontam.hashed(texts)
+        assert hashes.tolist() == want and sizes.tolist() == list(map(len, words))
+    calls.clear()
+    known = np.ones(1 << 8, bool)
+    for _ in decontam.Space(1 << 8, known).passages([" ".join(f"word{i}" for i in range(5000))]):
+        pass
+    assert decontam.features_of([b"one", b"two"], 1 << 8).tolist() == [library(w) & 255 for w in (b"one", b"two")] and not calls
+
+
+def test_texts_searched_together_stay_apart(spark, monkeypatch):
+    """Texts of one batch give what each gives alone; halves of an item in neighbouring texts are no leak."""
+    rng = random.Random(43)
+    words = ITEM.split()
+    half = [" ".join(words[:9]), " ".join(words[9:])]
+    texts = [f"w1 w2 {half[0]}", f"{half[1]} w3 w4", None, "", filled(rng, 20, ITEM), half[0], half[1], ITEM, filled(rng, 150, NEAR, 90), "who wrote hamlet", "who wrote", filled(rng, 5, f"{ITEM} {NEAR}")] * 3
+    bench = spark.createDataFrame([(1, ITEM), (2, filled(rng, 12)), (3, "who wrote hamlet")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    items = [(r["item_id"], r["text"], None) for r in bench.collect()]
+    index = decontam.Index(items, decontam.fit(docs, bench.withColumn("answer", F.lit(None))), decontam.COSINE, decontam.SURE, decontam.LIKELY)
+    close = lambda found: [(k, i, *(round(x, 5) for x in shares)) for k, i, *shares in found]
+    alone = [(k, *found) for k, t in enumerate(texts) for _, *found in index.leaks([t])]
+    together = list(index.leaks(texts))
+    key = lambda x: (x[0], x[1])
+    assert sorted(close(together)) == sorted(close(alone))
+    assert {key(x) for x in together} == {(k, 1) for k in range(36) if k % 12 in (4, 7, 8, 11)} | {(k, 3) for k in range(36) if k % 12 == 9}
+    monkeypatch.setattr(decontam, "STRETCH", 16)
+    assert {key(x) for x in index.leaks(texts)} == {key(x) for x in together}
